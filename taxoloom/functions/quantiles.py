@@ -98,7 +98,7 @@ def _bracketed(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[
             spot = (count[c] - 1) * p
             low, high = math.floor(spot), math.ceil(spot)
             a, b = brackets[c, low].value, brackets[c, high].value
-            out[c].append(a if low == high else (high - spot) * a + (spot - low) * b)
+            out[c].append(a if a == b else (high - spot) * a + (spot - low) * b)
     return out
 
 
