@@ -19,6 +19,7 @@ DATE_LAYOUTS = [
     (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", ["yyyy-M-d H:mm:ss"]),
     (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d+$", ["yyyy-M-d H:mm:ss.[SSSSSSSSS][SSSSSS][SSS]"]),
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", ["yyyy-MM-dd'T'HH:mm:ss"]),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+$", ["yyyy-MM-dd'T'HH:mm:ss.[SSSSSSSSS][SSSSSS][SSS]"]),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
     (r"^[A-Z][a-z]{2} \d{1,2} \d{4}$", ["MMM d yyyy"]),
