@@ -385,3 +385,13 @@ def intents(concepts: DataFrame, ctx: FormalContext) -> DataFrame:
     """``(intent, i, m, attribute fields…)``: the attributes each concept fixes."""
     codes = concepts.select("intent", F.posexplode("intent").alias("j", "code")).where(F.col("code") != NONE)
     return codes.join(ctx.attributes, ["j", "code"])
+
+
+def describe(concepts: DataFrame, ctx: FormalContext) -> DataFrame:
+    """The concepts with one text column per context column: the value or bin ordinal fixed."""
+    parts = intents(concepts.select("intent").distinct(), ctx)
+    texts = F.coalesce("value", F.col("code").cast("string"))
+    wide = parts.groupBy("intent").agg(
+        *[F.max(F.when(F.col("j") == j, texts)).alias(c.name) for j, c in enumerate(ctx.columns)]
+    )
+    return concepts.join(wide, "intent", "left")
