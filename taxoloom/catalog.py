@@ -24,6 +24,7 @@ from .operators.profile import (
     summarise,
 )
 from .operators.taxonomy import Taxonomy
+from .plans.local import local_frame
 from .plans.scratch import scratch_path
 from .plans.session import configure
 from .sources import meta_from_config, read_ntriples, read_table, with_row_id, write_ntriples, write_stats, write_turtle
@@ -167,7 +168,7 @@ def src_4(spark, sf_dir):
                 rows.append((name, fmt, True))
             except ValueError:
                 rows.append((name, fmt, False))
-    return spark.createDataFrame(rows, "table_name string, format string, readable boolean")
+    return local_frame(spark, rows, "table_name string, format string, readable boolean")
 
 
 @query("src_5")
@@ -189,7 +190,7 @@ def src_7(spark, sf_dir):
     found = detect_types(df)
     setting = {m.name: {"type": m.user_type, "include": m.include} for m in found if m.name != "o_custkey"}
     path = scratch_path(spark, "config")
-    spark.createDataFrame([(json.dumps({"columns": setting}),)], "value string").coalesce(1).write.text(path)
+    local_frame(spark, [(json.dumps({"columns": setting}),)], "value string").coalesce(1).write.text(path)
     return meta_from_config(df, path).to_df(spark).select(
         F.col("column").alias("column_name"), "ordinal", "user_type", "include"
     )
@@ -274,7 +275,7 @@ def typ_2(spark, sf_dir):
 @query("typ_3")
 def typ_3(spark, sf_dir):
     meta = detect_types(table(spark, sf_dir, "customer")).set("c_custkey", include=False)
-    return spark.createDataFrame([(m.name, m.user_type) for m in meta.usable()], "column_name string, user_type string")
+    return local_frame(spark, [(m.name, m.user_type) for m in meta.usable()], "column_name string, user_type string")
 
 
 def _numbers(summary: DataFrame) -> DataFrame:
@@ -561,7 +562,8 @@ def con_6(spark, sf_dir):
         tax.add_subconcept(tax.root_id, [R("l_returnflag", "=", "R")], "d"),
     ]
     made = tax.find_intersections(parts)
-    names = spark.createDataFrame(
+    names = local_frame(
+        spark,
         [(i, "".join(tax[s].name for s in tax[i].source_ids)) for i in made], "concept_id string, pair string"
     )
     return tax.sizes(made).join(names, "concept_id").select("pair", "size")
@@ -672,19 +674,20 @@ def som_1(spark, sf_dir):
         except ValueError:
             ok = False
         rows.append((size, epochs, ok, som.suggested_epochs(n)))
-    return spark.createDataFrame(rows, "map_size int, epochs int, accepted boolean, suggested int")
+    return local_frame(spark, rows, "map_size int, epochs int, accepted boolean, suggested int")
 
 
 @query("som_2")
 def som_2(spark, sf_dir):
     book = som.init_codebook(_som_input(spark, sf_dir), 3, 7)
-    return spark.createDataFrame([(i, [float(x) for x in b]) for i, b in enumerate(book)], "unit int, x array<double>")
+    return local_frame(spark, [(i, [float(x) for x in b]) for i, b in enumerate(book)], "unit int, x array<double>")
 
 
 @query("som_3")
 def som_3(spark, sf_dir):
     _, model = _fit(spark, sf_dir)
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         [(i, [round(float(x), 6) for x in p]) for i, p in enumerate(model.prototypes)], "unit int, x array<double>"
     )
 
@@ -692,7 +695,8 @@ def som_3(spark, sf_dir):
 @query("som_4")
 def som_4(spark, sf_dir):
     _, model = _fit(spark, sf_dir)
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         [(e, round(d, 6), c, round(x, 6)) for e, d, c, x in model.history], "epoch int, dist double, units int, loss double"
     )
 
@@ -707,7 +711,8 @@ def som_5(spark, sf_dir):
 def som_6(spark, sf_dir):
     enc, model = _fit(spark, sf_dir)
     best, weight = som.select_best_column(enc.features, model.gate)
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         [(c, round(w, 6), c == best) for c, w in weight.items()], "column_name string, weight double, best boolean"
     )
 
@@ -726,7 +731,7 @@ def _ranges(spark, found: dict) -> DataFrame:
         low = next((float(r.value) for r in f.restrictions if r.operator == ">="), None)
         high = next((float(r.value) for r in f.restrictions if r.operator == "<"), None)
         rows.append((c, low, high, round(f.f1, 6), f.support))
-    return spark.createDataFrame(rows, "cluster int, low double, high double, f1 double, support long")
+    return local_frame(spark, rows, "cluster int, low double, high double, f1 double, support long")
 
 
 @query("som_8")
@@ -744,7 +749,7 @@ def som_9(spark, sf_dir):
         (c, f.restrictions[0].operator, f.restrictions[0].value[:10], round(f.f1, 6), f.support)
         for c, f in search.characterise(s, sorted(s.sizes)).items()
     ]
-    return spark.createDataFrame(rows, "cluster int, operator string, day string, f1 double, support long")
+    return local_frame(spark, rows, "cluster int, operator string, day string, f1 double, support long")
 
 
 @query("som_10")
@@ -1005,7 +1010,7 @@ def rdf_2(spark, sf_dir):
 @query("rdf_3")
 def rdf_3(spark, sf_dir):
     tax = orders_taxonomy(spark, sf_dir)
-    names = spark.createDataFrame(list(rdf.name_map(tax).items()), "concept_id string, name string")
+    names = local_frame(spark, list(rdf.name_map(tax).items()), "concept_id string, name string")
     return names.join(tax.sizes(), "concept_id")
 
 
@@ -1019,7 +1024,7 @@ def rdf_4(spark, sf_dir):
 def rdf_5(spark, sf_dir):
     """Class triples, each with the rows of its class."""
     tax = orders_taxonomy(spark, sf_dir)
-    uris = spark.createDataFrame(list(rdf.class_uris(tax, CONCEPT_NS).items()), "concept_id string, s string")
+    uris = local_frame(spark, list(rdf.class_uris(tax, CONCEPT_NS).items()), "concept_id string, s string")
     return rdf.class_triples(tax, CONCEPT_NS).join(uris.join(tax.sizes(), "concept_id"), "s").select("s", "p", "o", "size")
 
 
@@ -1095,7 +1100,7 @@ def rdf_collisions(spark, sf_dir):
 
 
 def _classes(spark, sf_dir):
-    t = orders_triples(spark, sf_dir)
+    t = stats.structure(orders_triples(spark, sf_dir))
     return t, stats.named_classes(t), stats.subclass_edges(t)
 
 

@@ -24,7 +24,9 @@ def safe_name(c: Column) -> Column:
     """Local name of a value: word characters and hyphens, starting with a letter."""
     squeezed = F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w-]", "_"), "_+", "_")
     trimmed = F.regexp_replace(squeezed, "^_|_$", "")
-    return F.when(trimmed.rlike(r"^\p{L}"), trimmed).otherwise(F.concat(F.lit("x_"), trimmed))
+    named = F.when(trimmed.rlike(r"^\p{L}"), trimmed).otherwise(F.concat(F.lit("x_"), trimmed))
+    # Most values are safe as they are, which one match settles.
+    return F.when(c.rlike("^[A-Za-z](_?[A-Za-z0-9-])*$"), c).otherwise(named)
 
 
 def safe_name_text(text: str) -> str:

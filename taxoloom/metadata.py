@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .functions import parsing
+from .plans.local import local_frame
 
 SEMANTIC_TYPES = ("numeric", "categorical", "date", "title_id")
 
@@ -76,7 +77,8 @@ class Metadata:
         return [m for m in self if m.include and m.user_type != "title_id"]
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
+        return local_frame(
+            spark,
             [(m.name, m.ordinal, m.detected_type, m.user_type, m.include) for m in self],
             "column string, ordinal int, detected_type string, user_type string, include boolean",
         )

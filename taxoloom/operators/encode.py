@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..metadata import ColumnMeta, Metadata
+from ..plans.local import local_frame
 from ..plans.numbering import contiguous_ids
 from ..sources.rowid import ROW_ID
 from .profile import value_counts
@@ -127,10 +128,10 @@ def encode_long(
     scales = _scales(df, scaled)
     texts = [m for m in used if m.user_type == "categorical"]
     spark = df.sparkSession
-    plain = spark.createDataFrame(
-        [(m.ordinal, m.name, None) for m in scaled], "ordinal int, column string, value string"
+    plain = local_frame(
+        spark, [(m.ordinal, m.name, None) for m in scaled], "ordinal int, column string, value string"
     )
-    ordinals = spark.createDataFrame([(m.ordinal, m.name) for m in texts], "ordinal int, column string")
+    ordinals = local_frame(spark, [(m.ordinal, m.name) for m in texts], "ordinal int, column string")
     domain = plain
     if texts:
         domain = plain.unionByName(value_counts(df, texts).drop("n").join(ordinals, "column"))

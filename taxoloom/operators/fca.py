@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..metadata import ColumnMeta, Metadata
+from ..plans.local import local_frame
 from ..plans.numbering import contiguous_ids
 from ..plans.scratch import settle
 from ..sources.rowid import ROW_ID
@@ -148,7 +149,8 @@ def _dictionary(clear: DataFrame, columns: list[ContextColumn]):
         if c.edges is not None
         for code, name, lo, hi, closed in c.bins()
     ]
-    attributes = spark.createDataFrame(
+    attributes = local_frame(
+        spark,
         bins,
         "j int, code int, column string, kind string, value string, name string, lo double, hi double, hi_incl boolean",
     )

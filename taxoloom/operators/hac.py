@@ -19,6 +19,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.local import local_frame
 from ..plans.numbering import contiguous_ids
 from ..plans.scratch import settle
 from .encode import Encoded
@@ -61,7 +62,8 @@ def micro_clusters(encoded: Encoded, m: int, seed: int = 0) -> Encoded:
     points = encoded.df.withColumn("vector", array_to_vector("features"))
     model = KMeans(k=m, seed=seed, featuresCol="vector", predictionCol="micro").fit(points)
     spark = encoded.df.sparkSession
-    centers = spark.createDataFrame(
+    centers = local_frame(
+        spark,
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
         "micro int, features array<double>",
     )
@@ -100,8 +102,8 @@ def hac(encoded: Encoded, linkage: str = "ward", metric: str = "euclidean") -> D
     keyed = rows.join(points.select("features", "point"), "features").select("k", "point")
     leaves = contiguous_ids(keyed, "leaf", ["point", "k"])
     start = np.concatenate([[0], np.cumsum(w)[:-1]])
-    spans = spark.createDataFrame(
-        [(p, int(start[p]), int(w[p])) for p in range(m)], "point long, start long, w long"
+    spans = local_frame(
+        spark, [(p, int(start[p]), int(w[p])) for p in range(m)], "point long, start long, w long"
     )
     joined = leaves.join(spans, "point")
     inner = _within_points(joined, n)
@@ -109,7 +111,7 @@ def hac(encoded: Encoded, linkage: str = "ward", metric: str = "euclidean") -> D
     # Node that stands for a whole point once its equal rows are merged.
     top = np.where(w == 1, start, n + (start - np.arange(m)) + (w - 2))
     merged = _merge_points(spark, x, w, linkage, metric)
-    outer = spark.createDataFrame(_number(merged, top, w, n + (n - m)), MERGES)
+    outer = local_frame(spark, _number(merged, top, w, n + (n - m)), MERGES)
     tree = settle(inner.unionByName(outer), "merges")
     return Dendrogram(tree, leaves.select(F.col("k").alias(key), "leaf"), n, key)
 
@@ -241,9 +243,9 @@ def _merge_points(spark, x: np.ndarray, w: np.ndarray, linkage: str, metric: str
             state["x"], state["w"] = x[order], w[order].astype(float)
             state["first"] = np.concatenate([[0], np.cumsum([len(members[c]) for c in live])[:-1]])
         shared = spark.sparkContext.broadcast(state)
-        asked = spark.createDataFrame([(at[c],) for c in stale], "c long").repartition(
-            max(1, min(len(stale) // ROWS_PER_TASK + 1, 4 * spark.sparkContext.defaultParallelism))
-        )
+        asked = local_frame(spark, [(at[c],) for c in stale], "c long")
+        tasks = min(len(stale) // ROWS_PER_TASK + 1, 4 * spark.sparkContext.defaultParallelism)
+        asked = asked.repartition(tasks) if tasks > 1 else asked.coalesce(1)
         answers = asked.mapInArrow(_nearest(shared, linkage, metric), "c long, near long, d double").collect()
         shared.unpersist()
         for r in answers:
@@ -272,13 +274,13 @@ def cut_tree(tree: Dendrogram, max_depth: int = 3) -> tuple[DataFrame, DataFrame
     levels below the root concept. Only the leaves of the cut hold rows.
     """
     spark, n = tree.merges.sparkSession, tree.n
-    root = spark.createDataFrame(
-        [("root", "Root", None, 0, n)], "id string, name string, parent_id string, depth int, size long"
+    root = local_frame(
+        spark, [("root", "Root", None, 0, n)], "id string, name string, parent_id string, depth int, size long"
     )
     if n < 2:
         return root, tree.leaves.select(F.lit("root").alias("concept_id"), tree.key)
     sizes = tree.merges.select(F.col("node").alias("at"), "left", "right", F.col("size").alias("n"))
-    level = spark.createDataFrame([(tree.root, "0")], "node long, path string")
+    level = local_frame(spark, [(tree.root, "0")], "node long, path string")
     kept = []
     for depth in range(1, max_depth + 1):
         level = settle(level.join(sizes, level["node"] == sizes["at"], "left").drop("at"), "cut")

@@ -23,8 +23,10 @@ from ..functions.names import (
     safe_name_text,
 )
 from ..metadata import ColumnMeta, Metadata
+from ..plans.local import local_frame
 from .fca import Lattice, hasse, intents, most_specific, number_concepts
 from .predicate import Restriction
+from .profile import value_counts
 from .taxonomy import Concept, Taxonomy
 
 TRIPLE = "s string, p string, o string, o_kind string, o_datatype string"
@@ -47,7 +49,7 @@ def _text(s: str, p: str, o: str, datatype: str | None = None) -> tuple:
 
 
 def _frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, TRIPLE)
+    return local_frame(spark, rows, TRIPLE)
 
 
 # -- columns ------------------------------------------------------------------
@@ -75,21 +77,17 @@ def property_triples(spark: SparkSession, meta: Metadata, cns: str) -> DataFrame
 
 
 def _categories(df: DataFrame, meta: Metadata, cns: str) -> DataFrame | None:
-    """Distinct ``(column, value, uri)`` of the categorical columns."""
+    """Distinct ``(column, value, uri)`` of the categorical columns.
+
+    Names are formed after the distinct, so their cost does not grow with rows.
+    """
     texts = [m for m in meta if m.user_type == "categorical"]
     if not texts:
         return None
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(m.name).alias("column"),
-                m.text.alias("value"),
-                value_uri(cns, m.name, m.text).alias("uri"),
-            )
-            for m in texts
-        ]
-    )
-    return df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    uri = F.lit(None).cast("string")
+    for m in texts:
+        uri = F.when(F.col("column") == m.name, value_uri(cns, m.name, F.col("value"))).otherwise(uri)
+    return value_counts(df, texts).select("column", "value", uri.alias("uri"))
 
 
 def value_triples(df: DataFrame, meta: Metadata, cns: str) -> DataFrame | None:
@@ -136,18 +134,29 @@ def entity(ens: str, key: Column) -> Column:
     return F.concat(F.lit(ens + "entity_"), key.cast("string"))
 
 
-def row_triples(df: DataFrame, meta: Metadata, cns: str, ens: str, key: str) -> DataFrame:
-    """The individual of each row with its property values: no shuffle."""
+def row_triples(
+    df: DataFrame, meta: Metadata, cns: str, ens: str, key: str, classes: list[tuple[Column, str]] | None = None
+) -> DataFrame:
+    """The individual of each row with its property values: no shuffle.
+
+    ``classes`` lists (condition, class URI) pairs that type the row.
+    """
     s = entity(ens, F.col(f"`{key}`"))
     cells = [_column_triple(s, RDF_TYPE, F.lit(OWL + "NamedIndividual"), "uri")]
+    for hit, uri in classes or []:
+        cells.append(F.when(hit, _column_triple(s, RDF_TYPE, F.lit(uri), "uri")))
     for m in meta:
         p = property_uri(cns, m.name)
         if m.user_type == "categorical":
             cells.append(_column_triple(s, p, value_uri(cns, m.name, m.text), "uri"))
         else:
             cells.append(_column_triple(s, p, literal_text(m), "literal", RANGES[m.user_type]))
-    # Columns may share a property name; equal triples of a row count once.
-    return df.select(F.inline(F.array_distinct(F.array(*cells)))).where(F.col("o").isNotNull())
+    triples = F.array(*cells)
+    names = [property_uri(cns, m.name) for m in meta] + [uri for _, uri in classes or []]
+    if len(set(names)) < len(names):
+        # Columns or concepts share a name; equal triples of a row count once.
+        triples = F.array_distinct(triples)
+    return df.select(F.inline(triples)).where(F.col("o").isNotNull())
 
 
 def type_triples(membership: DataFrame, ens: str, key: str) -> DataFrame:
@@ -316,44 +325,45 @@ def _union(parts: list[DataFrame | None]) -> DataFrame:
     return out
 
 
-def _minimal(tax: Taxonomy) -> list[tuple[str, list[str]]]:
-    """Each concept with its child concepts, to find the most specific ones of a row."""
-    return [(c.id, [k for k in c.child_ids if k in tax.concepts]) for c in tax.concepts.values()]
-
-
-def concept_types(tax: Taxonomy, cns: str, typing: str = "all") -> DataFrame:
-    """``(key, o)``: the classes of each row, in one scan without a shuffle.
+def _held_classes(tax: Taxonomy, cns: str, typing: str) -> list[tuple[Column, str]]:
+    """(condition on the concept flags, class URI) of each way a row is typed.
 
     ``all`` gives every concept of the row, ``most_specific`` those without a
     child that also holds it, ``leaf`` those without children.
     """
     if typing not in ("all", "most_specific", "leaf"):
         raise ValueError("typing must be 'all', 'most_specific' or 'leaf'")
-    classes, cells = class_uris(tax, cns), []
-    for i, children in _minimal(tax):
+    classes, out = class_uris(tax, cns), []
+    for c in tax.concepts.values():
+        children = [k for k in c.child_ids if k in tax.concepts]
         if typing == "leaf" and children:
             continue
-        hit = F.col(f"is_{i}")
+        hit = F.col(f"is_{c.id}")
         if typing == "most_specific":
             for k in children:
                 hit = hit & ~F.col(f"is_{k}")
-        cells.append(F.when(hit, F.lit(classes[i])))
-    flags = tax._flags(list(tax.concepts), [tax.key])
-    held = F.array_distinct(F.array_compact(F.array(*cells)))
-    return flags.select(F.col(f"`{tax.key}`"), F.explode(held).alias("o"))
+        out.append((hit, classes[c.id]))
+    return out
+
+
+def concept_types(tax: Taxonomy, cns: str, typing: str = "all") -> DataFrame:
+    """``(key, o)``: the classes of each row, in one scan without a shuffle."""
+    flags = tax.flags(list(tax.concepts), [tax.key])
+    held = F.array_compact(F.array(*[F.when(hit, F.lit(uri)) for hit, uri in _held_classes(tax, cns, typing)]))
+    return flags.select(F.col(f"`{tax.key}`"), F.explode(F.array_distinct(held)).alias("o"))
 
 
 def export_triples(tax: Taxonomy, concept_ns: str, entity_ns: str, typing: str = "all") -> DataFrame:
     """The whole taxonomy with its table as triples."""
     cns, ens = namespace(concept_ns, "#"), namespace(entity_ns, "/")
+    flags = tax.flags(list(tax.concepts), list(dict.fromkeys([tax.key, *tax.meta.columns])))
     return _union(
         [
             property_triples(tax.spark, tax.meta, cns),
             class_triples(tax, cns),
             axiom_triples(tax, cns),
             value_triples(tax.df, tax.meta, cns),
-            type_triples(concept_types(tax, cns, typing), ens, tax.key),
-            row_triples(tax.df, tax.meta, cns, ens, tax.key),
+            row_triples(flags, tax.meta, cns, ens, tax.key, _held_classes(tax, cns, typing)),
         ]
     )
 
@@ -382,7 +392,8 @@ def _subclass_table(pairs: DataFrame) -> DataFrame:
 def intent_axioms(named: DataFrame, lattice: Lattice, meta: Metadata, cns: str) -> DataFrame:
     """Axioms of formal concepts: one restriction, or an intersection of several."""
     spark = named.sparkSession
-    columns = spark.createDataFrame(
+    columns = local_frame(
+        spark,
         [(m.name, property_uri(cns, m.name), f"{cns}{safe_name_text(m.name)}_") for m in meta],
         "column string, prop string, stem string",
     )

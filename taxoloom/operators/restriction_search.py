@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..metadata import ColumnMeta
+from ..plans.scratch import settle
 from .predicate import Restriction
 
 # The quantiles tried as thresholds.
@@ -62,9 +63,11 @@ def best_values(df: DataFrame, cluster: str, m: ColumnMeta, key: str) -> DataFra
 
 
 def _category_counts(df: DataFrame, cluster: str, m: ColumnMeta, key: str):
+    """Hits per (cluster, value), totals per value and rows per cluster, from one scan."""
     cells = df.groupBy(cluster, m.text.alias("value")).agg(
         F.count(F.lit(1)).alias("hits"), F.min(F.col(f"`{key}`")).alias("first_key")
     )
+    cells = settle(cells, "cells")
     counts = cells.where(F.col("value").isNotNull()).select(cluster, "value", "hits")
     totals = (
         cells.where(F.col("value").isNotNull())

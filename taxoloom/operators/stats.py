@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import OWL, RDF_TYPE, RDFS
 from ..functions.quantiles import exact_quantiles
+from ..plans.local import local_frame
 from ..plans.scratch import settle
 from ..sources.writers import STATS_COLUMNS
 
@@ -25,6 +26,16 @@ def _types(triples: DataFrame) -> DataFrame:
     return triples.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "uri")).select("s", "o")
 
 
+def structure(triples: DataFrame) -> DataFrame:
+    """The triples the statistics look at, written once.
+
+    The input is read a single time; every metric then scans this table with
+    its filters pushed to the files.
+    """
+    wanted = F.col("p").isin(RDF_TYPE, SUBCLASS, OWL + "equivalentClass")
+    return settle(triples.where(wanted), "structure")
+
+
 def named_classes(triples: DataFrame) -> DataFrame:
     """Named classes, declared or implied by ``subClassOf``, without Thing."""
     declared = _types(triples).where(F.col("o") == OWL + "Class").select(F.col("s").alias("class"))
@@ -56,11 +67,11 @@ def class_instances(triples: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def individuals(triples: DataFrame, classes: DataFrame) -> DataFrame:
+def individuals(triples: DataFrame, classes: DataFrame, instances: DataFrame | None = None) -> DataFrame:
     """Named individuals, declared or typed by a named class."""
     declared = _types(triples).where((F.col("o") == OWL + "NamedIndividual") & _is_named("s"))
-    typed = class_instances(triples, classes).select("individual")
-    return declared.select(F.col("s").alias("individual")).unionByName(typed).distinct()
+    typed = class_instances(triples, classes) if instances is None else instances
+    return declared.select(F.col("s").alias("individual")).unionByName(typed.select("individual")).distinct()
 
 
 def roots(classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -104,9 +115,10 @@ def class_depths(classes: DataFrame, edges: DataFrame) -> DataFrame:
     return classes.join(longest, "class", "left").na.fill(0, ["depth"])
 
 
-def instance_counts(triples: DataFrame, classes: DataFrame) -> DataFrame:
+def instance_counts(triples: DataFrame, classes: DataFrame, instances: DataFrame | None = None) -> DataFrame:
     """``(class, n)`` for every class, zeros included."""
-    held = class_instances(triples, classes).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    instances = class_instances(triples, classes) if instances is None else instances
+    held = instances.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     return classes.join(held, "class", "left").na.fill(0, ["n"])
 
 
@@ -115,11 +127,14 @@ def branching(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("parent").alias("class")).agg(F.count(F.lit(1)).alias("n_children"))
 
 
-def coverage(triples: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Share of individuals typed by a class that is not a root."""
-    below = classes.join(roots(classes, edges), "class", "left_anti")
-    held = class_instances(triples, below).select("individual", F.lit(1).alias("hit"))
-    total = individuals(triples, classes).select("individual", F.lit(0).alias("hit"))
+def coverage(
+    triples: DataFrame, classes: DataFrame, edges: DataFrame, instances: DataFrame | None = None
+) -> DataFrame:
+    """Number of individuals, and the share typed by a class that is not a root."""
+    instances = class_instances(triples, classes) if instances is None else instances
+    top = roots(classes, edges)
+    held = instances.join(top, "class", "left_anti").select("individual", F.lit(1).alias("hit"))
+    total = individuals(triples, classes, instances).select("individual", F.lit(0).alias("hit"))
     per = held.unionByName(total).groupBy("individual").agg(F.max("hit").alias("hit"))
     return per.agg(
         F.count(F.lit(1)).alias("n_individuals"),
@@ -163,12 +178,24 @@ def _median(df: DataFrame, column: str) -> float:
     return round(got, 3) if got is not None else 0.0
 
 
+def _collect_metrics(parts: list[DataFrame]) -> dict:
+    """The values of several one-row tables, from one job."""
+    rows = None
+    for part in parts:
+        cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in part.columns]
+        part = part.select(F.inline(F.array(*cells)))
+        rows = part if rows is None else rows.unionByName(part)
+    return {r["metric"]: int(r["x"]) if r["metric"].startswith("n_") else r["x"] for r in rows.collect()}
+
+
 def taxonomy_stats(triples: DataFrame, file: str) -> DataFrame:
     """One row of statistics; each metric is one aggregate over its own small table."""
     spark = triples.sparkSession
+    triples = structure(triples)
     classes = settle(named_classes(triples), "classes")
     edges = settle(subclass_edges(triples), "edges")
-    counts = settle(instance_counts(triples, classes), "counts")
+    instances = settle(class_instances(triples, classes), "instances")
+    counts = settle(instance_counts(triples, classes, instances), "counts")
     depths = settle(class_depths(classes, edges), "depths")
     leaf = counts.join(leaf_classes(classes, edges), "class", "left_semi")
     got: dict = {"file": file}
@@ -185,17 +212,16 @@ def taxonomy_stats(triples: DataFrame, file: str) -> DataFrame:
         _spread(counts, "n", "avg_inst", "std_inst"),
         counts.agg(F.count_if(F.col("n") == 0).alias("n_empty_classes")),
         _spread(leaf, "n", "avg_leaf_inst", "std_leaf_inst"),
-        coverage(triples, classes, edges),
+        coverage(triples, classes, edges, instances),
         axiom_counts(triples, classes),
     ]
-    for part in parts:
-        got.update(part.first().asDict())
+    got.update(_collect_metrics(parts))
     got["med_inst"], got["med_leaf_inst"] = _median(counts, "n"), _median(leaf, "n")
     whole = {"file": "string"}
     schema = ", ".join(
         f"{c} {whole.get(c, 'long' if c.startswith('n_') else 'double')}" for c in STATS_COLUMNS
     )
-    return spark.createDataFrame([tuple(got[c] for c in STATS_COLUMNS)], schema)
+    return local_frame(spark, [tuple(got[c] for c in STATS_COLUMNS)], schema)
 
 
 def stats_of_many(spark: SparkSession, sources: dict[str, object]) -> DataFrame:

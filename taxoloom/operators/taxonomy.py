@@ -14,6 +14,7 @@ import operator as op
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..metadata import Metadata, metadata_from_types
+from ..plans.local import local_frame
 from ..sources.rowid import ROW_ID
 from .predicate import Restriction, restrictions_to_column
 
@@ -241,7 +242,7 @@ class Taxonomy:
 
     def overlaps(self, ids: list[str]) -> set[tuple[str, str]]:
         """Pairs of ``ids`` with a common row, from one scan."""
-        flags = self._flags(ids)
+        flags = self.flags(ids)
         if len(ids) <= WIDE_PAIRS:
             pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
             got = flags.agg(
@@ -372,7 +373,7 @@ class Taxonomy:
             layers[n].append(i)
         return layers
 
-    def _flags(self, ids: list[str], keep: list[str] | None = None) -> DataFrame:
+    def flags(self, ids: list[str], keep: list[str] | None = None) -> DataFrame:
         """A boolean column ``is_<id>`` per concept, each computed once per row.
 
         Flags build on earlier flags rather than on nested predicates, so the
@@ -396,7 +397,7 @@ class Taxonomy:
         ids = list(self.concepts) if ids is None else ids
         keep = [self.key] if keep is None else keep
         held = F.array_compact(F.array(*[F.when(F.col(f"is_{i}"), F.lit(i)) for i in ids]))
-        return self._flags(ids, keep).select(
+        return self.flags(ids, keep).select(
             F.explode(held).alias("concept_id"), *[F.col(f"`{k}`") for k in keep]
         )
 
@@ -406,7 +407,7 @@ class Taxonomy:
         """``(seq, concept_id, size, covered)`` for every concept in one pass."""
         children = {i: [k for k in self[i].child_ids if k in self.concepts] for i in ids}
         needed = list(dict.fromkeys(ids + [k for i in ids for k in children[i]]))
-        flags = self._flags(needed)
+        flags = self.flags(needed)
 
         def covered(i: str) -> Column:
             if not children[i]:
@@ -444,7 +445,7 @@ class Taxonomy:
             .groupBy("seq", "concept_id")
             .agg(F.count(F.lit(1)).alias("size"), F.count_if("hit").alias("covered"))
         )
-        all_ids = self.spark.createDataFrame([(self[i].seq, i) for i in ids], "seq int, concept_id string")
+        all_ids = local_frame(self.spark, [(self[i].seq, i) for i in ids], "seq int, concept_id string")
         return all_ids.join(counted, ["seq", "concept_id"], "left").na.fill(0, ["size", "covered"])
 
     def sizes(self, ids: list[str] | None = None) -> DataFrame:
@@ -470,7 +471,7 @@ class Taxonomy:
             for c in self.concepts.values()
             for n, child in enumerate(c.child_ids)
         ]
-        return self.spark.createDataFrame(rows, "parent_id string, child_id string, ord int")
+        return local_frame(self.spark, rows, "parent_id string, child_id string, ord int")
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         return self.nodes(), self.edges()
@@ -482,7 +483,7 @@ class Taxonomy:
                 c.seq,
                 c.name,
                 c.origin,
-                [(r.column, r.operator, str(r.value)) for r in c.restrictions],
+                [{"column": r.column, "operator": r.operator, "value": str(r.value)} for r in c.restrictions],
                 list(c.parent_ids),
                 list(c.child_ids),
                 list(c.source_ids),
@@ -491,7 +492,8 @@ class Taxonomy:
             )
             for c in self.concepts.values()
         ]
-        return self.spark.createDataFrame(
+        return local_frame(
+            self.spark,
             rows,
             "id string, seq int, name string, origin string, "
             "restrictions array<struct<column:string,operator:string,value:string>>, "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .local import local_frame
 from .scratch import settle
 
 # monotonically_increasing_id keeps the partition in the bits above this one.
@@ -37,7 +38,7 @@ def contiguous_ids(
     for row in counts:
         offsets.append((row["_part"], running))
         running += row["n"]
-    shift = spark.createDataFrame(offsets, "_part long, _shift long")
+    shift = local_frame(spark, offsets, "_part long, _shift long")
     position = F.col("_pos").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     return (
         staged.withColumn("_part", part)
