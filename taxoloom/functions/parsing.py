@@ -12,7 +12,7 @@ NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 # What counts as the text of a number, and the date layouts that
 # are read, each as (shape, formats tried in order).
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INFINITY_TEXT = r"(?i)^[+-]?inf(inity)?$"
+INFINITY_TEXT = r"^[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?$"
 DATE_LAYOUTS = [
     (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
     (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", ["yyyy-M-d H:mm"]),
@@ -52,8 +52,7 @@ def as_number(c: Column, dtype: T.DataType) -> Column:
     if is_date(dtype):
         return epoch_micros(c, dtype).cast("double") * 1000.0
     text = F.trim(c.cast("string"))
-    ok = text.rlike(NUMBER_TEXT) | text.rlike(INFINITY_TEXT)
-    return F.when(ok, text.try_cast("double"))
+    return F.when(text.rlike(f"{NUMBER_TEXT}|{INFINITY_TEXT}"), text.try_cast("double"))
 
 
 def as_time(c: Column, dtype: T.DataType) -> Column:
@@ -72,7 +71,9 @@ def as_time(c: Column, dtype: T.DataType) -> Column:
         value = F.coalesce(*tries) if len(tries) > 1 else tries[0]
         hit = text.rlike(shape)
         reading = F.when(hit, value) if reading is None else reading.when(hit, value)
-    return reading.cast("timestamp_ntz")
+    # Text in none of the layouts is settled by one match.
+    known = text.rlike("|".join(shape for shape, _ in DATE_LAYOUTS))
+    return F.when(known, reading).cast("timestamp_ntz")
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:

@@ -2,10 +2,11 @@
 
 The built-in ``percentile`` keeps every distinct value of a column in one
 aggregation buffer. That is the fastest way while the input is small, so it is
-used below a checked number of cells. Beyond it each wanted order statistic is
-bracketed by ``approx_percentile``, the rows around the bracket are counted, and
-the bracket is narrowed until it pins one value or holds few enough rows to
-sort. Every pass is a scan with a constant-size result.
+used below a checked number of cells. Beyond it approximate quantiles are put
+around every wanted order statistic, the rows at and between them are counted,
+and the gap that holds the statistic is searched again until it pins one value
+or has few enough rows to sort. Every pass is a scan with a constant-size
+result.
 """
 
 from __future__ import annotations
@@ -23,25 +24,48 @@ ACCURACY = 10_000
 
 
 @dataclass
-class _Bracket:
-    """Where the ``rank``-th smallest of the rows strictly inside (lo, hi) lies."""
+class _Target:
+    """The ``rank``-th smallest of the ``inside`` rows of ``column`` strictly within (lo, hi)."""
 
     column: str
-    target: int
     rank: int
     inside: int
     lo: float | None = None
     hi: float | None = None
     value: float | None = None
 
-    def rows(self) -> Column:
-        c = F.col(f"`{self.column}`")
-        keep = c.isNotNull()
-        if self.lo is not None:
-            keep = keep & (c > F.lit(self.lo))
-        if self.hi is not None:
-            keep = keep & (c < F.lit(self.hi))
-        return F.when(keep, c)
+    @property
+    def bracket(self) -> tuple:
+        return (self.column, self.lo, self.hi)
+
+
+def _within(bracket: tuple) -> Column:
+    """The column where it lies in the bracket, else NULL."""
+    column, lo, hi = bracket
+    c = F.col(f"`{column}`")
+    keep = c.isNotNull()
+    if lo is not None:
+        keep = keep & (c > F.lit(lo))
+    if hi is not None:
+        keep = keep & (c < F.lit(hi))
+    return F.when(keep, c)
+
+
+def position(value: Column, edges: list[float], exact: bool = False) -> Column:
+    """How many of the sorted ``edges`` are at or below ``value``, by binary search.
+
+    With ``exact``, twice that number, less one where ``value`` equals an edge.
+    """
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            if exact and low:
+                return F.when(value == F.lit(edges[low - 1]), F.lit(2 * low - 1)).otherwise(F.lit(2 * low))
+            return F.lit(2 * low if exact else low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(edges[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(edges))
 
 
 def exact_quantiles(
@@ -75,18 +99,17 @@ def _bracketed(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[
     sizes = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(names)]).first()
     count = {c: sizes[f"n{i}"] for i, c in enumerate(names)}
 
-    brackets: dict[tuple[str, int], _Bracket] = {}
+    targets: dict[tuple[str, int], _Target] = {}
     for c, ps in wanted.items():
         for p in ps:
             if count[c]:
                 spot = (count[c] - 1) * p
                 for k in (math.floor(spot), math.ceil(spot)):
-                    brackets.setdefault((c, k), _Bracket(c, k, k, count[c]))
+                    targets.setdefault((c, k), _Target(c, k, count[c]))
 
-    while any(b.value is None for b in brackets.values()):
-        todo = [b for b in brackets.values() if b.value is None]
-        _sort_small(df, [b for b in todo if b.inside <= SORTED_ROWS])
-        _narrow(df, [b for b in todo if b.inside > SORTED_ROWS])
+    while open_ := [t for t in targets.values() if t.value is None]:
+        _sort_small(df, [t for t in open_ if t.inside <= SORTED_ROWS])
+        _narrow(df, [t for t in open_ if t.inside > SORTED_ROWS])
 
     out: dict[str, list[float | None]] = {}
     for c, ps in wanted.items():
@@ -97,64 +120,82 @@ def _bracketed(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[
                 continue
             spot = (count[c] - 1) * p
             low, high = math.floor(spot), math.ceil(spot)
-            a, b = brackets[c, low].value, brackets[c, high].value
+            a, b = targets[c, low].value, targets[c, high].value
             out[c].append(a if a == b else (high - spot) * a + (spot - low) * b)
     return out
 
 
-def _sort_small(df: DataFrame, todo: list[_Bracket]) -> None:
-    if not todo:
-        return
-    got = df.agg(
-        *[
-            F.element_at(F.array_sort(F.collect_list(b.rows())), b.rank + 1).alias(f"v{i}")
-            for i, b in enumerate(todo)
-        ]
-    ).first()
-    for i, b in enumerate(todo):
-        b.value = got[f"v{i}"]
+def _by_bracket(targets: list[_Target]) -> dict[tuple, list[_Target]]:
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault(t.bracket, []).append(t)
+    return groups
 
 
-def _narrow(df: DataFrame, todo: list[_Bracket]) -> None:
-    if not todo:
+def _sort_small(df: DataFrame, targets: list[_Target]) -> None:
+    """Sort the few rows left in a bracket and read the ranks off."""
+    groups = _by_bracket(targets)
+    if not groups:
+        return
+    rows = df.agg(
+        *[F.array_sort(F.collect_list(_within(b))).alias(f"r{i}") for i, b in enumerate(groups)]
+    )
+    picks = [
+        F.array(*[F.get(F.col(f"r{i}"), F.lit(t.rank)) for t in ts]).alias(f"v{i}")
+        for i, ts in enumerate(groups.values())
+    ]
+    got = rows.select(*picks).first()
+    for i, ts in enumerate(groups.values()):
+        for t, v in zip(ts, got[f"v{i}"]):
+            t.value = v
+
+
+def _narrow(df: DataFrame, targets: list[_Target]) -> None:
+    """Put approximate quantiles around every target and count the rows between them."""
+    groups = list(_by_bracket(targets).items())
+    if not groups:
         return
     margin = 2.0 / ACCURACY
-    picks = df.agg(
-        *[
-            F.percentile_approx(
-                b.rows(),
-                [
-                    max(0.0, (b.rank + 0.5) / b.inside - margin),
-                    min(1.0, (b.rank + 0.5) / b.inside + margin),
-                ],
-                ACCURACY,
-            ).alias(f"e{i}")
-            for i, b in enumerate(todo)
-        ]
-    ).first()
-    edges = [tuple(picks[f"e{i}"]) for i in range(len(todo))]
     aggs = []
-    for i, (b, (lo, hi)) in enumerate(zip(todo, edges)):
-        v = b.rows()
-        aggs += [
-            F.count_if(v < F.lit(lo)).alias(f"below{i}"),
-            F.count_if(v == F.lit(lo)).alias(f"at_lo{i}"),
-            F.count_if((v > F.lit(lo)) & (v < F.lit(hi))).alias(f"mid{i}"),
-            F.count_if((v == F.lit(hi)) & F.lit(hi > lo)).alias(f"at_hi{i}"),
-        ]
-    got = df.agg(*aggs).first()
-    for i, (b, (lo, hi)) in enumerate(zip(todo, edges)):
-        below, at_lo = got[f"below{i}"], got[f"at_lo{i}"]
-        mid, at_hi = got[f"mid{i}"], got[f"at_hi{i}"]
-        k = b.rank
-        if k < below:
-            b.hi, b.inside = lo, below
-        elif k < below + at_lo:
-            b.value = lo
-        elif k < below + at_lo + mid:
-            b.lo, b.hi, b.inside, b.rank = lo, hi, mid, k - below - at_lo
-        elif k < below + at_lo + mid + at_hi:
-            b.value = hi
-        else:
-            gone = below + at_lo + mid + at_hi
-            b.lo, b.inside, b.rank = hi, b.inside - gone, k - gone
+    for i, (bracket, ts) in enumerate(groups):
+        ps = {
+            min(1.0, max(0.0, (t.rank + 0.5) / t.inside + side)) for t in ts for side in (-margin, margin)
+        }
+        aggs.append(F.percentile_approx(_within(bracket), sorted(ps), ACCURACY).alias(f"e{i}"))
+    picked = df.agg(*aggs).first()
+    edges = [sorted(set(picked[f"e{i}"])) for i in range(len(groups))]
+
+    cells = []
+    for i, (bracket, _) in enumerate(groups):
+        v = _within(bracket)
+        spot = F.when(v.isNotNull(), position(v, edges[i], exact=True))
+        cells.append(F.struct(F.lit(i).alias("g"), spot.alias("spot")))
+    rows = (
+        df.select(F.inline(F.array(*cells)))
+        .where(F.col("spot").isNotNull())
+        .groupBy("g", "spot")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+    counts: dict[int, dict[int, int]] = {}
+    for r in rows:
+        counts.setdefault(r["g"], {})[r["spot"]] = r["n"]
+    for i, (_, ts) in enumerate(groups):
+        for t in ts:
+            _place(t, edges[i], counts[i])
+
+
+def _place(t: _Target, edges: list[float], counts: dict[int, int]) -> None:
+    """Move a target to the spot that holds its rank: an edge, or the gap between two."""
+    before = 0
+    for spot in sorted(counts):
+        if t.rank < before + counts[spot]:
+            at = spot // 2
+            if spot % 2:
+                t.value = edges[at]
+            else:
+                t.lo = edges[at - 1] if at else t.lo
+                t.hi = edges[at] if at < len(edges) else t.hi
+                t.rank, t.inside = t.rank - before, counts[spot]
+            return
+        before += counts[spot]

@@ -141,22 +141,26 @@ def row_triples(
 
     ``classes`` lists (condition, class URI) pairs that type the row.
     """
-    s = entity(ens, F.col(f"`{key}`"))
+    classes = classes or []
+    # Each text is computed once per row, before the row becomes triples.
+    texts = [entity(ens, F.col(f"`{key}`")).alias("_s")]
+    texts += [hit.alias(f"_is{i}") for i, (hit, _) in enumerate(classes)]
+    for i, m in enumerate(meta):
+        text = value_uri(cns, m.name, m.text) if m.user_type == "categorical" else literal_text(m)
+        texts.append(text.alias(f"_o{i}"))
+    s = F.col("_s")
     cells = [_column_triple(s, RDF_TYPE, F.lit(OWL + "NamedIndividual"), "uri")]
-    for hit, uri in classes or []:
-        cells.append(F.when(hit, _column_triple(s, RDF_TYPE, F.lit(uri), "uri")))
-    for m in meta:
-        p = property_uri(cns, m.name)
-        if m.user_type == "categorical":
-            cells.append(_column_triple(s, p, value_uri(cns, m.name, m.text), "uri"))
-        else:
-            cells.append(_column_triple(s, p, literal_text(m), "literal", RANGES[m.user_type]))
+    for i, (_, uri) in enumerate(classes):
+        cells.append(F.when(F.col(f"_is{i}"), _column_triple(s, RDF_TYPE, F.lit(uri), "uri")))
+    for i, m in enumerate(meta):
+        kind, datatype = ("uri", None) if m.user_type == "categorical" else ("literal", RANGES[m.user_type])
+        cells.append(_column_triple(s, property_uri(cns, m.name), F.col(f"_o{i}"), kind, datatype))
     triples = F.array(*cells)
-    names = [property_uri(cns, m.name) for m in meta] + [uri for _, uri in classes or []]
+    names = [property_uri(cns, m.name) for m in meta] + [uri for _, uri in classes]
     if len(set(names)) < len(names):
         # Columns or concepts share a name; equal triples of a row count once.
         triples = F.array_distinct(triples)
-    return df.select(F.inline(triples)).where(F.col("o").isNotNull())
+    return df.select(*texts).select(F.inline(triples)).where(F.col("o").isNotNull())
 
 
 def type_triples(membership: DataFrame, ens: str, key: str) -> DataFrame:

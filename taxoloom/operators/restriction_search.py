@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, position
 from ..metadata import ColumnMeta
 from ..plans.scratch import settle
 from .predicate import Restriction
@@ -137,14 +137,6 @@ class CategorySearch:
 # -- ordered columns ----------------------------------------------------------
 
 
-def bucket_of(value: Column, thresholds: list[float]) -> Column:
-    """How many thresholds are at or below ``value``."""
-    out = F.lit(0)
-    for t in thresholds:
-        out = out + F.when(value >= F.lit(t), 1).otherwise(0)
-    return out
-
-
 class RangeSearch:
     """Best bound or half-open interval of any union of clusters."""
 
@@ -153,7 +145,7 @@ class RangeSearch:
         self.cuts = sorted(set(thresholds))
         self.tried = thresholds
         value = m.number if m.user_type == "numeric" else m.micros.cast("double")
-        bucket = F.when(value.isNotNull(), bucket_of(value, self.cuts)).otherwise(F.lit(-1))
+        bucket = F.when(value.isNotNull(), position(value, self.cuts)).otherwise(F.lit(-1))
         rows = df.groupBy(cluster, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
         self.sizes: dict = {}
         self.counts: dict = {}
