@@ -945,6 +945,12 @@ def hac_1(spark, sf_dir):
     return hac.hac(_suppliers(spark, sf_dir)).merges.withColumn("distance", F.round("distance", 6))
 
 
+@query("hac_1_totals")
+def hac_1_totals(spark, sf_dir):
+    merges = hac.hac(_suppliers(spark, sf_dir), "complete").merges
+    return merges.agg(F.count(F.lit(1)).alias("n_merges"), F.max("size").alias("root_size"))
+
+
 @query("hac_1_average")
 def hac_1_average(spark, sf_dir):
     return hac.hac(_suppliers(spark, sf_dir), "average", "cityblock").merges.withColumn("distance", F.round("distance", 6))

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Cells (rows x columns) up to which the one-buffer percentile is used.
-DIRECT_CELLS = 4_000_000
+DIRECT_CELLS = 200_000
 # Rows of a bracket that are sorted in one buffer.
 SORTED_ROWS = 10_000
-ACCURACY = 10_000
+ACCURACY = 2_000
 
 
 @dataclass
@@ -39,18 +39,6 @@ class _Target:
         return (self.column, self.lo, self.hi)
 
 
-def _within(bracket: tuple) -> Column:
-    """The column where it lies in the bracket, else NULL."""
-    column, lo, hi = bracket
-    c = F.col(f"`{column}`")
-    keep = c.isNotNull()
-    if lo is not None:
-        keep = keep & (c > F.lit(lo))
-    if hi is not None:
-        keep = keep & (c < F.lit(hi))
-    return F.when(keep, c)
-
-
 def position(value: Column, edges: list[float], exact: bool = False) -> Column:
     """How many of the sorted ``edges`` are at or below ``value``, by binary search.
 
@@ -132,57 +120,68 @@ def _by_bracket(targets: list[_Target]) -> dict[tuple, list[_Target]]:
     return groups
 
 
+def _rows_inside(df: DataFrame, brackets: list[tuple]) -> DataFrame:
+    """``(g, v)``: the values inside each bracket. Brackets of a column do not overlap."""
+    cells = []
+    for column in dict.fromkeys(b[0] for b in brackets):
+        own = {b: g for g, b in enumerate(brackets) if b[0] == column}
+        edges = sorted({x for _, lo, hi in own for x in (lo, hi) if x is not None})
+        groups = [None] * (2 * len(edges) + 1)
+        for (_, _, hi), g in own.items():
+            groups[2 * (len(edges) if hi is None else edges.index(hi))] = g
+        v = F.col(f"`{column}`")
+        spot = position(v, edges, exact=True)
+        g = F.get(F.array(*[F.lit(x).cast("int") for x in groups]), spot)
+        cells.append(F.struct(F.when(v.isNotNull(), g).alias("g"), v.alias("v")))
+    return df.select(F.inline(F.array(*cells))).where(F.col("g").isNotNull())
+
+
 def _sort_small(df: DataFrame, targets: list[_Target]) -> None:
     """Sort the few rows left in a bracket and read the ranks off."""
     groups = _by_bracket(targets)
     if not groups:
         return
-    rows = df.agg(
-        *[F.array_sort(F.collect_list(_within(b))).alias(f"r{i}") for i, b in enumerate(groups)]
+    ranks = F.array(*[F.array(*[F.lit(t.rank) for t in ts]) for ts in groups.values()])
+    picked = (
+        _rows_inside(df, list(groups))
+        .groupBy("g")
+        .agg(F.array_sort(F.collect_list("v")).alias("vs"))
+        .select("g", F.transform(F.get(ranks, F.col("g")), lambda k: F.get(F.col("vs"), k)).alias("picked"))
+        .collect()
     )
-    picks = [
-        F.array(*[F.get(F.col(f"r{i}"), F.lit(t.rank)) for t in ts]).alias(f"v{i}")
-        for i, ts in enumerate(groups.values())
-    ]
-    got = rows.select(*picks).first()
-    for i, ts in enumerate(groups.values()):
-        for t, v in zip(ts, got[f"v{i}"]):
+    found = {r["g"]: r["picked"] for r in picked}
+    for g, ts in enumerate(groups.values()):
+        for t, v in zip(ts, found[g]):
             t.value = v
 
 
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     """Put approximate quantiles around every target and count the rows between them."""
-    groups = list(_by_bracket(targets).items())
+    groups = _by_bracket(targets)
     if not groups:
         return
+    inside = _rows_inside(df, list(groups))
     margin = 2.0 / ACCURACY
     aggs = []
-    for i, (bracket, ts) in enumerate(groups):
+    for g, ts in enumerate(groups.values()):
         ps = {
             min(1.0, max(0.0, (t.rank + 0.5) / t.inside + side)) for t in ts for side in (-margin, margin)
         }
-        aggs.append(F.percentile_approx(_within(bracket), sorted(ps), ACCURACY).alias(f"e{i}"))
-    picked = df.agg(*aggs).first()
-    edges = [sorted(set(picked[f"e{i}"])) for i in range(len(groups))]
-
-    cells = []
-    for i, (bracket, _) in enumerate(groups):
-        v = _within(bracket)
-        spot = F.when(v.isNotNull(), position(v, edges[i], exact=True))
-        cells.append(F.struct(F.lit(i).alias("g"), spot.alias("spot")))
-    rows = (
-        df.select(F.inline(F.array(*cells)))
-        .where(F.col("spot").isNotNull())
-        .groupBy("g", "spot")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
+        own = F.when(F.col("g") == g, F.col("v"))
+        aggs.append(F.percentile_approx(own, sorted(ps), ACCURACY).alias(f"e{g}"))
+    picked = inside.agg(*aggs).first()
+    edges = [sorted(set(picked[f"e{g}"])) for g in range(len(groups))]
+
+    spot = F.lit(None).cast("int")
+    for g in range(len(groups)):
+        spot = F.when(F.col("g") == g, position(F.col("v"), edges[g], exact=True)).otherwise(spot)
+    rows = inside.groupBy("g", spot.alias("spot")).agg(F.count(F.lit(1)).alias("n")).collect()
     counts: dict[int, dict[int, int]] = {}
     for r in rows:
         counts.setdefault(r["g"], {})[r["spot"]] = r["n"]
-    for i, (_, ts) in enumerate(groups):
+    for g, ts in enumerate(groups.values()):
         for t in ts:
-            _place(t, edges[i], counts[i])
+            _place(t, edges[g], counts[g])
 
 
 def _place(t: _Target, edges: list[float], counts: dict[int, int]) -> None:

@@ -20,7 +20,7 @@ from ..functions.quantiles import exact_quantiles
 from ..metadata import ColumnMeta, Metadata
 from ..plans.local import local_frame
 from ..plans.numbering import contiguous_ids
-from ..plans.scratch import settle
+from ..plans.scratch import Parts, settle
 from ..sources.rowid import ROW_ID
 from .encode import scale_source
 
@@ -243,7 +243,7 @@ class Lattice:
 
     context: FormalContext
     concepts: DataFrame
-    steps: DataFrame
+    steps: DataFrame | None
     extents: DataFrame
     cut: bool
     depth: int
@@ -256,40 +256,37 @@ def fca(ctx: FormalContext, max_depth: int = 3) -> Lattice:
     free columns: no join between concepts and attributes. Levels are settled,
     so the lineage stays one level deep.
     """
-    width = len(ctx.columns)
-    top = ctx.objects.agg(closure(width).alias("intent"), F.sum("n").alias("size")).withColumn("depth", F.lit(0))
-    level = settle(top, "concepts")
-    extent = _root_extent(ctx, level)
-    concepts, extents, steps = level, extent, None
-    depth, cut = 0, True
+    spark, width = ctx.objects.sparkSession, len(ctx.columns)
+    concepts, steps, extents = Parts(spark, "concepts"), Parts(spark, "steps"), Parts(spark, "extents")
+    top = ctx.objects.agg(closure(width).alias("intent"), F.sum("n").alias("size"))
+    level = concepts.add(top.withColumn("depth", F.lit(0)))
+    extent = extents.add(_root_extent(ctx, level))
+    depth, cut, stepped = 0, True, False
     while depth < max_depth:
         grown = _grown(extent)
-        step = settle(
+        step = steps.add(
             grown.groupBy(F.col("intent").alias("parent"), "j", "code").agg(
                 closure(width).alias("child"), F.sum("n").alias("size")
-            ),
-            "steps",
+            )
         )
+        stepped = True
         fresh = (
-            step.join(concepts.select(F.col("intent").alias("child")), "child", "left_anti")
+            step.join(concepts.all().select(F.col("intent").alias("child")), "child", "left_anti")
             .groupBy("child")
             .agg(F.min(F.struct("parent", "j", "code")).alias("by"), F.max("size").alias("size"))
         )
         fresh = settle(fresh.select("child", "by.parent", "by.j", "by.code", "size"), "fresh")
-        steps = step if steps is None else steps.unionByName(step)
         if fresh.isEmpty():
             cut = False
             break
         depth += 1
-        extent = settle(
+        extent = extents.add(
             grown.withColumnRenamed("intent", "parent")
             .join(fresh.drop("size"), ["parent", "j", "code"])
-            .select(F.col("child").alias("intent"), "obj", "n"),
-            "extent",
+            .select(F.col("child").alias("intent"), "obj", "n")
         )
-        level = fresh.select(F.col("child").alias("intent"), "size", F.lit(depth).alias("depth"))
-        concepts, extents = concepts.unionByName(level), extents.unionByName(extent)
-    return Lattice(ctx, concepts, steps, extents, cut, depth)
+        concepts.add(fresh.select(F.col("child").alias("intent"), "size", F.lit(depth).alias("depth")))
+    return Lattice(ctx, concepts.all(), steps.all() if stepped else None, extents.all(), cut, depth)
 
 
 def _root_extent(ctx: FormalContext, level: DataFrame) -> DataFrame:

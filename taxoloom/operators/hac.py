@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.local import local_frame
 from ..plans.numbering import contiguous_ids
-from ..plans.scratch import settle
+from ..plans.scratch import Parts, settle
 from .encode import Encoded
 
 LINKAGES = ("ward", "complete", "average", "single")
@@ -281,11 +281,18 @@ def cut_tree(tree: Dendrogram, max_depth: int = 3) -> tuple[DataFrame, DataFrame
         return root, tree.leaves.select(F.lit("root").alias("concept_id"), tree.key)
     sizes = tree.merges.select(F.col("node").alias("at"), "left", "right", F.col("size").alias("n"))
     level = local_frame(spark, [(tree.root, "0")], "node long, path string")
-    kept = []
+    nodes = Parts(spark, "nodes")
     for depth in range(1, max_depth + 1):
-        level = settle(level.join(sizes, level["node"] == sizes["at"], "left").drop("at"), "cut")
-        kept.append(
-            level.select("node", "path", F.lit(depth).alias("depth"), F.coalesce("n", F.lit(1)).alias("size"))
+        joined = level.join(sizes, level["node"] == sizes["at"], "left")
+        level = nodes.add(
+            joined.select(
+                "node",
+                "path",
+                F.lit(depth).alias("depth"),
+                F.coalesce("n", F.lit(1)).cast("long").alias("size"),
+                "left",
+                "right",
+            )
         )
         inner = level.where(F.col("left").isNotNull())
         if depth == max_depth or inner.isEmpty():
@@ -298,12 +305,9 @@ def cut_tree(tree: Dendrogram, max_depth: int = 3) -> tuple[DataFrame, DataFrame
                 )
             )
         )
-    nodes = kept[0]
-    for k in kept[1:]:
-        nodes = nodes.unionByName(k)
     # Paths in text order are the tree in depth-first order.
     ids = settle(
-        contiguous_ids(nodes, "seq", ["path"], start=1).withColumn("id", F.format_string("c%02d", "seq")), "cut"
+        contiguous_ids(nodes.all(), "seq", ["path"], start=1).withColumn("id", F.format_string("c%02d", "seq")), "cut"
     )
     parents = ids.select(F.col("path").alias("up"), F.col("id").alias("parent"))
     up = F.expr("left(path, length(path) - 1)")

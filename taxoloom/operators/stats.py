@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.names import OWL, RDF_TYPE, RDFS
 from ..functions.quantiles import exact_quantiles
 from ..plans.local import local_frame
-from ..plans.scratch import settle
+from ..plans.scratch import Parts, settle
 from ..sources.writers import STATS_COLUMNS
 
 logger = logging.getLogger(__name__)
@@ -98,20 +98,19 @@ def class_depths(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     n = classes.count()
     edges = settle(edges, "edges")
-    front = settle(roots(classes, edges), "front")
-    reached, k = front.withColumn("depth", F.lit(0)), 0
+    reached, k = Parts(classes.sparkSession, "reached"), 0
+    front = reached.add(roots(classes, edges).withColumn("depth", F.lit(0)))
     while not front.isEmpty():
         k += 1
         if k > n:
             raise ValueError("the subclass relation has a cycle")
-        front = settle(
+        front = reached.add(
             front.join(edges, front["class"] == edges["parent"])
             .select(F.col("child").alias("class"))
-            .distinct(),
-            "front",
+            .distinct()
+            .withColumn("depth", F.lit(k))
         )
-        reached = reached.unionByName(front.withColumn("depth", F.lit(k)))
-    longest = reached.groupBy("class").agg(F.max("depth").alias("depth"))
+    longest = reached.all().groupBy("class").agg(F.max("depth").alias("depth"))
     return classes.join(longest, "class", "left").na.fill(0, ["depth"])
 
 

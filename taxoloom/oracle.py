@@ -788,6 +788,13 @@ ORACLE: dict[str, str] = {
     ),
     "som_12": SOM_12,
     "som_13": SOM_13,
+    "som_15": union(
+        [
+            f"SELECT 'Root' AS name, count(*) AS size, round(count(*) FILTER (WHERE {A}) / CAST(count(*) AS DOUBLE), 4) AS coverage, "
+            "false AS proposed FROM orders",
+            f"SELECT 'Expensive' AS name, count(*) FILTER (WHERE {A}) AS size, 0.0::DOUBLE AS coverage, false AS proposed FROM orders",
+        ]
+    ),
     "fca_1": union(
         f"SELECT '{c}=' || {c} AS attribute, count(*) AS n_rows FROM orders WHERE {c} IS NOT NULL GROUP BY {c}"
         for c in ("o_orderstatus", "o_orderpriority")
@@ -834,6 +841,7 @@ ORACLE: dict[str, str] = {
         ]
     )
     + ")",
+    "hac_1_totals": "SELECT count(*) - 1 AS n_merges, count(*) AS root_size FROM supplier",
     "hac_4": "SELECT 'root' AS concept_id, count(*) AS n FROM supplier",
     "hac_5_rows": "SELECT s_suppkey, CAST(1 AS BIGINT) AS n_leaves FROM supplier",
     "rdf_1": f"SELECT {CUST} AS s, '{CNS}Root' AS o FROM customer",

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -41,3 +41,26 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Parts:
+    """A table that grows by one written part per round of a loop.
+
+    Each part can be scanned alone, and the whole table is one scan however
+    many rounds there were.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._path, self._n = spark, scratch_path(spark, name), 0
+        self._schema: T.StructType | None = None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the next part and return it."""
+        path = f"{self._path}/part={self._n}"
+        self._n += 1
+        self._schema = self._schema or df.schema
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(f"{self._path}/part=*")
