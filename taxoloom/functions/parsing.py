@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+from .names import decimal_text
+
 NUMERIC_TYPES = (T.NumericType, T.BooleanType)
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
@@ -77,11 +79,14 @@ def as_time(c: Column, dtype: T.DataType) -> Column:
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
-    """STRING reading; NaN becomes NULL."""
+    """STRING reading; NaN becomes NULL, booleans are True and False, floats have no exponent."""
     if isinstance(dtype, T.StringType):
         return c
     if is_float(dtype):
-        return no_nan(c.cast("double")).cast("string")
+        endless = F.when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+        return F.coalesce(decimal_text(c.cast("double")), endless)
+    if isinstance(dtype, T.BooleanType):
+        return F.initcap(c.cast("string"))
     return c.cast("string")
 
 

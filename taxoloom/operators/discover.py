@@ -33,6 +33,8 @@ EPOCHS = (5, 5000)
 # One full-batch weight step stands for the ten mini-batches of a pass.
 WEIGHT_STEP = 0.1
 SETTLED = 1e-5
+# Sums up to which each is an aggregate column of its own.
+WIDE_SUMS = 256
 
 
 @dataclass
@@ -112,20 +114,35 @@ def _partial_sums(prototypes: np.ndarray, gate: np.ndarray):
     return run
 
 
+def _combined(partial: DataFrame, cells: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The partial sums of all tasks added up per unit."""
+    if cells <= WIDE_SUMS:
+        sums = F.array(*[F.sum(F.get("sums", F.lit(j))) for j in range(cells)])
+        for r in partial.groupBy("unit").agg(F.sum("n").alias("n"), sums.alias("sums")).collect():
+            # The gradient unit has one cell more than the prototypes.
+            yield r["unit"], r["n"], np.array([0.0 if x is None else x for x in r["sums"]])
+        return
+    count = {r["unit"]: r["n"] for r in partial.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
+    values = {u: np.zeros(cells) for u in count}
+    cell = partial.select("unit", F.posexplode("sums").alias("j", "x")).groupBy("unit", "j").agg(F.sum("x").alias("x"))
+    for r in cell.collect():
+        values[r["unit"]][r["j"]] = r["x"]
+    for u, n in count.items():
+        yield u, n, values[u]
+
+
 def _epoch(df: DataFrame, prototypes: np.ndarray, gate: np.ndarray):
     width = prototypes.shape[1]
     partial = df.select("features").mapInArrow(
         _partial_sums(prototypes, gate), "unit int, n long, sums array<double>"
     )
-    sums = [F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(width + 1)]
     total, count = np.zeros_like(prototypes), np.zeros(len(prototypes), dtype=np.int64)
     slope, away, rows = np.zeros(width), 0.0, 0
-    for r in partial.groupBy("unit").agg(F.sum("n").alias("n"), *sums).collect():
-        values = np.array([r[f"s{j}"] for j in range(width)])
-        if r["unit"] < 0:
-            slope, away, rows = values, r[f"s{width}"], r["n"]
+    for unit, n, values in _combined(partial, width + 1):
+        if unit < 0:
+            slope, away, rows = values[:width], values[width], n
         else:
-            total[r["unit"]], count[r["unit"]] = values, r["n"]
+            total[unit], count[unit] = values[:width], n
     return total, count, slope, away, rows
 
 

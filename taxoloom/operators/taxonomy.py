@@ -21,6 +21,8 @@ from .predicate import Restriction, restrictions_to_column
 # Above this many concepts, per-concept totals are grouped by concept id
 # instead of being separate aggregate columns of one row.
 WIDE_CONCEPTS = 150
+# Terms up to which one concept is a single filter over the scan.
+LARGE_PREDICATE = 200
 # Selections up to this size test their pairs as columns of one aggregate.
 WIDE_PAIRS = 24
 
@@ -58,6 +60,17 @@ def _combine(kind: str, parts: list[RowSet], empty: RowSet = ("none",)) -> RowSe
     return parts[0] if len(parts) == 1 else (kind, parts)
 
 
+def _terms(rows: RowSet, known: dict[int, int]) -> int:
+    """Number of terms of a row set written out in full."""
+    if id(rows) not in known:
+        kind, *args = rows
+        if kind in ("and", "or"):
+            known[id(rows)] = sum(_terms(x, known) for x in args[0])
+        else:
+            known[id(rows)] = _terms(args[0], known) if kind == "not" else 1
+    return known[id(rows)]
+
+
 def _row_set_from_json(text: str | None) -> RowSet | None:
     def build(x):
         kind, *args = x
@@ -345,9 +358,16 @@ class Taxonomy:
     # -- rows -----------------------------------------------------------------
 
     def rows(self, concept_id: str) -> DataFrame:
-        """The rows of one concept; its predicate reaches the scan."""
+        """The rows of one concept; its predicate reaches the scan.
+
+        A definition that would expand to a very large predicate is evaluated
+        flag by flag instead.
+        """
         if concept_id == self.root_id:
             return self.df
+        if _terms(self._expanded(concept_id, {}), {}) > LARGE_PREDICATE:
+            flags = self.flags([concept_id], self.df.columns)
+            return flags.where(F.col(f"is_{concept_id}")).drop(f"is_{concept_id}")
         return self.df.where(self.predicate(concept_id))
 
     def _levels(self, ids: list[str]) -> list[list[str]]:

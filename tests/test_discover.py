@@ -133,6 +133,14 @@ def test_training_does_not_depend_on_partitioning(spark):
     assert np.allclose(one.prototypes, many.prototypes) and np.allclose(one.weights, many.weights)
 
 
+def test_wide_sums_equal_narrow_sums(spark, monkeypatch):
+    df, meta = planted(spark)
+    narrow = fit_wsom(encode(df, meta), 2, epochs=5, seed=1)
+    monkeypatch.setattr("taxoloom.operators.discover.WIDE_SUMS", 1)
+    wide = fit_wsom(encode(df, meta), 2, epochs=5, seed=1)
+    assert np.allclose(narrow.prototypes, wide.prototypes) and np.allclose(narrow.weights, wide.weights)
+
+
 def test_codebook_repeats_rows(spark):
     df, meta = planted(spark, 5)
     book = init_codebook(encode(df, meta), 3, 0)

@@ -205,3 +205,25 @@ def test_predicates_reach_the_scan(spark, tmp_path):
     b = tax.add_subconcept(a, [R("y", "<", 20)])
     plan = tax.rows(b).select("row_id")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(x,10.0)" in plan and "LessThan(y,20)" in plan
+
+
+def test_deep_graphs_stay_small(spark):
+    df = spark.range(64).selectExpr("id as row_id", "cast(id as double) as x")
+    tax = Taxonomy(df, metadata_from_types(df, {"row_id": ("title_id", False)}))
+    a = tax.add_subconcept(tax.root_id, [R("x", ">=", 10)])
+    b = tax.add_subconcept(tax.root_id, [R("x", "<", 50)])
+    for _ in range(14):
+        # Each level uses both concepts of the level before: 2^n terms written out.
+        a, b = tax.union([a, b]), tax.intersection([a, b])
+    assert ids(tax, b) == set(range(10, 50)) and ids(tax, a) == set(range(64))
+    sizes = {r["concept_id"]: r["size"] for r in tax.sizes([a, b]).collect()}
+    assert sizes == {a: 64, b: 40}
+
+
+def test_categories_of_other_types(spark):
+    df = spark.createDataFrame([(0, True, 1e7), (1, False, 2.5), (2, None, float("nan"))], "row_id long, b boolean, x double")
+    meta = metadata_from_types(df, {"row_id": ("title_id", False), "b": ("categorical", True), "x": ("categorical", True)})
+    tax = Taxonomy(df, meta)
+    assert ids(tax, tax.add_subconcept(tax.root_id, [R("b", "=", True)])) == {0}
+    assert ids(tax, tax.add_subconcept(tax.root_id, [R("x", "=", "10000000.0")])) == {0}
+    assert ids(tax, tax.add_subconcept(tax.root_id, [R("x", "=", 2.5)])) == {1}
