@@ -994,7 +994,8 @@ def hac_5_rows(spark, sf_dir):
 
 
 def orders_triples(spark, sf_dir) -> DataFrame:
-    return rdf.export_triples(orders_taxonomy(spark, sf_dir), CONCEPT_NS, ENTITY_NS)
+    """What the statistics need of the orders taxonomy."""
+    return rdf.export_triples(orders_taxonomy(spark, sf_dir), CONCEPT_NS, ENTITY_NS, values=False)
 
 
 @query("rdf_1")
@@ -1185,7 +1186,7 @@ def sta_11(spark, sf_dir):
 @query("sta_12")
 def sta_12(spark, sf_dir):
     df, meta = customers(spark, sf_dir)
-    plain = rdf.export_triples(Taxonomy(df, meta, "c_custkey"), CONCEPT_NS, ENTITY_NS)
+    plain = rdf.export_triples(Taxonomy(df, meta, "c_custkey"), CONCEPT_NS, ENTITY_NS, values=False)
 
     def unreadable():
         raise ValueError("not an ontology")

@@ -135,28 +135,35 @@ def entity(ens: str, key: Column) -> Column:
 
 
 def row_triples(
-    df: DataFrame, meta: Metadata, cns: str, ens: str, key: str, classes: list[tuple[Column, str]] | None = None
+    df: DataFrame,
+    meta: Metadata,
+    cns: str,
+    ens: str,
+    key: str,
+    classes: list[tuple[Column, str]] | None = None,
+    values: bool = True,
 ) -> DataFrame:
     """The individual of each row with its property values: no shuffle.
 
     ``classes`` lists (condition, class URI) pairs that type the row.
+    ``values=False`` leaves the property values out.
     """
-    classes = classes or []
+    classes, columns = classes or [], list(meta) if values else []
     # Each text is computed once per row, before the row becomes triples.
     texts = [entity(ens, F.col(f"`{key}`")).alias("_s")]
     texts += [hit.alias(f"_is{i}") for i, (hit, _) in enumerate(classes)]
-    for i, m in enumerate(meta):
+    for i, m in enumerate(columns):
         text = value_uri(cns, m.name, m.text) if m.user_type == "categorical" else literal_text(m)
         texts.append(text.alias(f"_o{i}"))
     s = F.col("_s")
     cells = [_column_triple(s, RDF_TYPE, F.lit(OWL + "NamedIndividual"), "uri")]
     for i, (_, uri) in enumerate(classes):
         cells.append(F.when(F.col(f"_is{i}"), _column_triple(s, RDF_TYPE, F.lit(uri), "uri")))
-    for i, m in enumerate(meta):
+    for i, m in enumerate(columns):
         kind, datatype = ("uri", None) if m.user_type == "categorical" else ("literal", RANGES[m.user_type])
         cells.append(_column_triple(s, property_uri(cns, m.name), F.col(f"_o{i}"), kind, datatype))
     triples = F.array(*cells)
-    names = [property_uri(cns, m.name) for m in meta] + [uri for _, uri in classes]
+    names = [property_uri(cns, m.name) for m in columns] + [uri for _, uri in classes]
     if len(set(names)) < len(names):
         # Columns or concepts share a name; equal triples of a row count once.
         triples = F.array_distinct(triples)
@@ -357,8 +364,14 @@ def concept_types(tax: Taxonomy, cns: str, typing: str = "all") -> DataFrame:
     return flags.select(F.col(f"`{tax.key}`"), F.explode(F.array_distinct(held)).alias("o"))
 
 
-def export_triples(tax: Taxonomy, concept_ns: str, entity_ns: str, typing: str = "all") -> DataFrame:
-    """The whole taxonomy with its table as triples."""
+def export_triples(
+    tax: Taxonomy, concept_ns: str, entity_ns: str, typing: str = "all", values: bool = True
+) -> DataFrame:
+    """The whole taxonomy with its table as triples.
+
+    ``values=False`` leaves out the property values of the rows, which the
+    statistics do not look at.
+    """
     cns, ens = namespace(concept_ns, "#"), namespace(entity_ns, "/")
     flags = tax.flags(list(tax.concepts), list(dict.fromkeys([tax.key, *tax.meta.columns])))
     return _union(
@@ -367,7 +380,7 @@ def export_triples(tax: Taxonomy, concept_ns: str, entity_ns: str, typing: str =
             class_triples(tax, cns),
             axiom_triples(tax, cns),
             value_triples(tax.df, tax.meta, cns),
-            row_triples(flags, tax.meta, cns, ens, tax.key, _held_classes(tax, cns, typing)),
+            row_triples(flags, tax.meta, cns, ens, tax.key, _held_classes(tax, cns, typing), values),
         ]
     )
 

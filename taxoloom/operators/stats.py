@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import OWL, RDF_TYPE, RDFS
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import DIRECT_CELLS, exact_quantiles
 from ..plans.local import local_frame
 from ..plans.scratch import Parts, settle
 from ..sources.writers import STATS_COLUMNS
@@ -96,8 +96,10 @@ def class_depths(classes: DataFrame, edges: DataFrame) -> DataFrame:
     Round k holds the classes some path of k steps reaches, so the depth of a
     class is the last round it appears in. More rounds than classes mean a cycle.
     """
-    n = classes.count()
-    edges = settle(edges, "edges")
+    return _depths(classes, settle(edges, "edges"), classes.count())
+
+
+def _depths(classes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     reached, k = Parts(classes.sparkSession, "reached"), 0
     front = reached.add(roots(classes, edges).withColumn("depth", F.lit(0)))
     while not front.isEmpty():
@@ -172,9 +174,14 @@ def _spread(df: DataFrame, column: str, mean: str, std: str) -> DataFrame:
     )
 
 
-def _median(df: DataFrame, column: str) -> float:
-    got = exact_quantiles(df.select(F.col(column).cast("double").alias("x")), {"x": [0.5]})["x"][0]
-    return round(got, 3) if got is not None else 0.0
+def _median(df: DataFrame, column: str, name: str, n: int) -> DataFrame:
+    """A one-row table with the median of ``column`` over at most ``n`` rows."""
+    if n <= DIRECT_CELLS:
+        middle = F.percentile(column, F.lit(0.5))
+    else:
+        numbers = df.select(F.col(column).cast("double").alias("x"))
+        middle = F.lit(exact_quantiles(numbers, {"x": [0.5]}, rows=n)["x"][0])
+    return df.agg(F.coalesce(F.round(middle, 3), F.lit(0.0)).alias(name))
 
 
 def _collect_metrics(parts: list[DataFrame]) -> dict:
@@ -195,7 +202,8 @@ def taxonomy_stats(triples: DataFrame, file: str) -> DataFrame:
     edges = settle(subclass_edges(triples), "edges")
     instances = settle(class_instances(triples, classes), "instances")
     counts = settle(instance_counts(triples, classes, instances), "counts")
-    depths = settle(class_depths(classes, edges), "depths")
+    n = classes.count()
+    depths = settle(_depths(classes, edges, n), "depths")
     leaf = counts.join(leaf_classes(classes, edges), "class", "left_semi")
     got: dict = {"file": file}
     parts = [
@@ -213,9 +221,10 @@ def taxonomy_stats(triples: DataFrame, file: str) -> DataFrame:
         _spread(leaf, "n", "avg_leaf_inst", "std_leaf_inst"),
         coverage(triples, classes, edges, instances),
         axiom_counts(triples, classes),
+        _median(counts, "n", "med_inst", n),
+        _median(leaf, "n", "med_leaf_inst", n),
     ]
     got.update(_collect_metrics(parts))
-    got["med_inst"], got["med_leaf_inst"] = _median(counts, "n"), _median(leaf, "n")
     whole = {"file": "string"}
     schema = ", ".join(
         f"{c} {whole.get(c, 'long' if c.startswith('n_') else 'double')}" for c in STATS_COLUMNS
