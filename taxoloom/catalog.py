@@ -28,7 +28,7 @@ from .plans.local import local_frame
 from .plans.scratch import scratch_path
 from .plans.session import configure
 from .sources import meta_from_config, read_ntriples, read_table, with_row_id, write_ntriples, write_stats, write_turtle
-from .sources.writers import ntriple_lines, turtle_blocks
+from .sources.writers import turtle_blocks
 
 CONCEPT_NS = "http://example.org/orders/schema#"
 ENTITY_NS = "http://example.org/orders/data/"

@@ -51,7 +51,7 @@ class ContextColumn:
         return out
 
     def bins(self) -> list[tuple]:
-        """``(code, name, lo, hi, lo text, hi text, hi included)`` of every bin."""
+        """``(code, name, lo, hi, hi included)`` of every bin."""
         out = []
         for i in range(len(self.edges) - 1):
             lo, hi, closed = self.edges[i], self.edges[i + 1], i == len(self.edges) - 2

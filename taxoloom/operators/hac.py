@@ -26,7 +26,8 @@ from .encode import Encoded
 
 LINKAGES = ("ward", "complete", "average", "single")
 METRICS = ("euclidean", "sqeuclidean", "cityblock", "chebyshev", "cosine")
-# Distinct points clustered exactly, and cells of the point matrix held at once.
+# Distinct points clustered exactly, and cells of their matrix. Within this bound
+# the points are shared with every task and the merge order is kept on the driver.
 MOST_POINTS = 20_000
 MOST_CELLS = 20_000_000
 # Cells of one block of distances inside a task.
