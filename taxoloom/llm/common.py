@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space of the word rules: blank and the controls tab to carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text for one slice of a keyed exchange.
-BYTES_PER_SLICE = 8 << 20
+BYTES_PER_SLICE = 4 << 20
+#: Words that a task holds before it closes a block of documents.
+BLOCK_WORDS = 4_000_000
+_BLOCKS_PER_TASK = 24
+#: Rows of a keyed exchange; ``slice`` is negative for what belongs to the block itself.
+EXCHANGE = "block long, slice int, data binary"
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,14 +64,15 @@ def windows(words: np.ndarray, n: int, multiplier: np.uint64 = _MULTIPLIER) -> n
 
 
 def pack(values: np.ndarray) -> bytes:
-    """An integer array as planes of bytes, so that compression removes the empty high ones."""
+    """An integer array as compressed planes of bytes: the high planes are nearly empty."""
     values = np.ascontiguousarray(values)
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    planes = planes.reshape(np.dtype(dtype).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
@@ -76,10 +85,118 @@ def unpack_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpack(data, dtype), dtype=dtype)
 
 
-def slices_of(spark: SparkSession, docs: DataFrame, text: str) -> int:
-    """Number of slices of a keyed exchange: grows with the bytes of text."""
+def pack_flags(flags: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(flags).tobytes())
+
+
+def unpack_flags(data: bytes, n: int) -> np.ndarray:
+    bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.unpackbits(bits, count=n).astype(bool)
+
+
+class Block:
+    """Documents of one task as word numbers, small enough to hold and to send as one row.
+
+    ``ids`` and ``starts`` describe the documents; ``codes`` are their words one after another,
+    as places in ``vocab``. ``extra`` holds one array of whatever else an operator needs.
+    """
+
+    def __init__(self, ids: list, starts: np.ndarray, codes: np.ndarray, vocab: list[bytes], extra: list):
+        self.ids, self.starts, self.codes, self.vocab, self.extra = ids, starts, codes, vocab, extra
+
+    def keys(self) -> np.ndarray:
+        """A 64-bit key for each entry of ``vocab``."""
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.vocab), np.uint64, len(self.vocab))
+
+    def owners(self) -> np.ndarray:
+        """The place of its document for each word."""
+        return np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+
+    def dump(self) -> bytes:
+        parts = (self.ids, pack(self.starts), pack(self.codes.astype(np.int32)), b" ".join(self.vocab), self.extra)
+        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts))
+
+    @staticmethod
+    def load(data: bytes) -> Block:
+        ids, starts, codes, vocab, extra = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        return Block(ids, unpack(starts, np.int64), unpack(codes, np.int32).astype(np.int64), vocab.split(b" ") if vocab else [], extra)
+
+
+def blocks_of(
+    batches: Iterator[pa.RecordBatch], task: int, fold: Callable[[bytes], bytes], extra: str | None = None
+) -> Iterator[tuple[int, Block]]:
+    """Numbered blocks of a task's documents (columns ``doc_id`` and ``text``)."""
+    number = task << _BLOCKS_PER_TASK
+    vocab: dict[bytes, int] = {}
+    ids, codes, kept, held = [], [], [], 0
+
+    def close():
+        starts = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+        return Block(list(ids), starts, np.concatenate(codes), list(vocab), list(kept))
+
+    for batch in batches:
+        more = batch.column(extra).to_pylist() if extra else [None] * batch.num_rows
+        for doc_id, text, value in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), more):
+            words = fold(text).split()
+            for w in dict.fromkeys(words):
+                if w not in vocab:
+                    vocab[w] = len(vocab)
+            ids.append(doc_id)
+            codes.append(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)))
+            kept.append(value)
+            held += len(words) + 1
+            if held > BLOCK_WORDS:
+                yield number, close()
+                number += 1
+                vocab, ids, codes, kept, held = {}, [], [], [], 0
+    if ids:
+        yield number, close()
+
+
+def exchange_batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``EXCHANGE`` in batches of bounded bytes."""
+    held, size = [], 0
+
+    def batch():
+        arrays = [pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.int32(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "slice", "data"])
+
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size > 8 << 20:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def answer(requests: DataFrame, merge: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """Bring the requests of all blocks for a slice together; ``merge`` gives each its answer."""
+
+    def run(batches):
+        def rows():
+            for at, group in runs(batches, "slice"):
+                for row, data in zip(group, merge([r["data"] for r in group])):
+                    yield row["block"], at, data
+
+        return exchange_batches(rows())
+
+    return requests.repartition("slice").sortWithinPartitions("slice", "block").mapInArrow(run, EXCHANGE)
+
+
+def by_block(*tables: DataFrame) -> DataFrame:
+    """All rows of a block in one partition, in the order of their slices."""
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    return rows.repartition("block").sortWithinPartitions("block", "slice")
+
+
+def slices_of(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Number of slices of a keyed exchange, and the bytes of text that it grows with."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return int(max(8, -(-total // BYTES_PER_SLICE)))
+    return int(max(8, -(-total // BYTES_PER_SLICE))), total
 
 
 def cut_by_slice(keys: np.ndarray, bits: int, n_slices: int) -> np.ndarray:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination_digest
 from .exact_dedup import exact_owners
+from .substring_dedup import repeats_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op5_substring_dedup")
+def op5(spark, sf_dir):
+    return repeats_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontaminate")
+def op7(spark, sf_dir):
+    return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_exact_dedup")
 def op10(spark, sf_dir):
     return exact_owners(table(spark, sf_dir, "documents"))
