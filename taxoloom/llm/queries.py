@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_digest
 from .exact_dedup import exact_owners
+from .near_dedup import near_components
 from .substring_dedup import repeats_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op4_near_dedup")
+def op4(spark, sf_dir):
+    return near_components(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query("op5_substring_dedup")
 def op5(spark, sf_dir):
     return repeats_digest(table(spark, sf_dir, "documents"))
