@@ -123,7 +123,8 @@ class Block:
 
 
 def blocks_of(
-    batches: Iterator[pa.RecordBatch], task: int, fold: Callable[[bytes], bytes], extra: str | None = None
+    batches: Iterator[pa.RecordBatch], task: int, fold: Callable[[bytes], bytes], extra: str | None = None,
+    most_words: int = BLOCK_WORDS,
 ) -> Iterator[tuple[int, Block]]:
     """Numbered blocks of a task's documents (columns ``doc_id`` and ``text``)."""
     number = task << _BLOCKS_PER_TASK
@@ -145,7 +146,7 @@ def blocks_of(
             codes.append(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)))
             kept.append(value)
             held += len(words) + 1
-            if held > BLOCK_WORDS:
+            if held > most_words:
                 yield number, close()
                 number += 1
                 vocab, ids, codes, kept, held = {}, [], [], [], 0

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_digest
 from .exact_dedup import exact_owners
+from .html_text import extract_text
+from .language_id import predict_languages
+from .lm_score import score_texts
 from .near_dedup import near_components
+from .source_mix import mix_sources
 from .substring_dedup import repeats_digest
+from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_lm_score")
+def op1(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_html_text")
+def op3(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 @query("op4_near_dedup")
 def op4(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents"), percent=85)
@@ -41,6 +61,16 @@ def op7(spark, sf_dir):
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_source_mix")
+def op8(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op9_url_filter")
+def op9(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query("op10_exact_dedup")
 def op10(spark, sf_dir):
     return exact_owners(table(spark, sf_dir, "documents"))

@@ -76,3 +76,27 @@ reach AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
+
+ORACLE["op8_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('0:' || CAST(doc_id AS VARCHAR)) AS place FROM documents),
+s AS (
+  SELECT source, size, 2 * size AS most, k, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source)),
+b AS (SELECT sum(size)::BIGINT * 150 / 100 AS budget FROM s),
+r AS (
+  SELECT *, coalesce(sum(most) OVER (ORDER BY most::DOUBLE / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS given,
+         sum(w) OVER (ORDER BY most::DOUBLE / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS opened FROM s),
+level AS (
+  SELECT max(x) AS x FROM (
+    SELECT (budget - given)::DOUBLE / opened AS x, most, w FROM r, b) WHERE most > w * x),
+t AS (SELECT source, size AS source_size, k, least(most::DOUBLE, w * x) AS target FROM s, level),
+q AS (
+  SELECT d.*, source_size, k, target, sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT q.*, pass, CASE WHEN target > 0 THEN (pass * source_size + upto)::DOUBLE / target ELSE 0.0 END AS finish FROM q, (VALUES (0), (1)) v(pass)),
+f AS (SELECT *, sum(size) OVER (ORDER BY finish, k, pass, place, doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM p)
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN spent <= budget THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM f, b GROUP BY doc_id, size, source_size, target
+"""
