@@ -6,19 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from taxoloom.llm.decontaminate import drop_contaminated
 from taxoloom.llm.exact_dedup import drop_exact
+from taxoloom.llm.language_id import drop_undecided
+from taxoloom.llm.near_dedup import drop_near
+from taxoloom.llm.source_mix import mixed
 from taxoloom.plans.scratch import scratch_path
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one document stays."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones have; texts without a letter go."""
+    return drop_undecided(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, one document stays."""
     return drop_exact(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id stays."""
+    return drop_near(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least a twentieth of their words in benchmark passages go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, with ``copies``, the number of times that each is taken."""
+    return mixed(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("exact dedup", exact_dedup),
+    ("language ID", language),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("benchmark decontamination", decontaminate),
+    ("source mixing", mix),
 ]
 
+#: Language ID is a fitted model, so the rows are tested against a brute-force version.
 ORACLE_SQL = None
 
 

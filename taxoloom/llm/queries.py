@@ -10,6 +10,7 @@ from .decontaminate import contamination_digest
 from .exact_dedup import exact_owners
 from .html_text import extract_text
 from .language_id import predict_languages
+from .license_scan import scan_licenses
 from .lm_score import score_texts
 from .near_dedup import near_components
 from .source_mix import mix_sources
@@ -56,6 +57,11 @@ def op5(spark, sf_dir):
     return repeats_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op6_license_scan")
+def op6(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op7_decontaminate")
 def op7(spark, sf_dir):
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
