@@ -27,7 +27,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches by bytes: texts may be long, so a row count is no bound."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -165,7 +165,7 @@ def exchange_batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.Reco
     for row in rows:
         held.append(row)
         size += len(row[2])
-        if size > 8 << 20:
+        if size > 4 << 20:
             yield batch()
             held, size = [], 0
     if held:

@@ -39,7 +39,7 @@ from .common import (
 #: Documents whose crc32 of the id has this remainder are held out of training.
 FOLDS, HELD_OUT = 7, 2
 #: Words of a block; the automaton of a block has an arc for each of its distinct pairs.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 700_000
 _BLOCK = -1
 # Keys of the end of a text and of its start; no word has them, as words are not empty and have no blank.
 _END, _START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
@@ -237,11 +237,11 @@ def _scores(batches: Iterator[pa.RecordBatch], n_slices: int, model: dict):
     for _, group in runs(batches, "block"):
         texts, pairs, words, pair_counts = _opened(group, n_slices)
         automaton = BackoffAutomaton(words, pairs, pair_counts, texts.end, model)
+        del group, pairs, pair_counts  # as large as the automaton
         base = np.log10((words + 1) / (model["tokens"] + 1 * (model["distinct"] + 1)))
         sums = np.add.reduceat(base[texts.tokens], texts.bounds[:-1])
         known = np.add.reduceat((words[texts.tokens] > 0).astype(np.int64), texts.bounds[:-1])
-        tokens = texts.tokens.tolist()
-        scores = [automaton.score(tokens[a:b], texts.start) for a, b in zip(texts.bounds[:-1], texts.bounds[1:])]
+        scores = [automaton.score(texts.tokens[a:b].tolist(), texts.start) for a, b in zip(texts.bounds[:-1], texts.bounds[1:])]
         columns = texts.ids, texts.held, np.diff(texts.bounds), known, sums, scores
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
