@@ -17,7 +17,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text for one slice of a keyed exchange.
 BYTES_PER_SLICE = 4 << 20
 #: Words that a task holds before it closes a block of documents.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 _BLOCKS_PER_TASK = 24
 #: Rows of a keyed exchange; ``slice`` is negative for what belongs to the block itself.
 EXCHANGE = "block long, slice int, data binary"
