@@ -28,7 +28,6 @@ from .plans.local import local_frame
 from .plans.scratch import scratch_path
 from .plans.session import configure
 from .sources import meta_from_config, read_ntriples, read_table, with_row_id, write_ntriples, write_stats, write_turtle
-from .sources.writers import turtle_blocks
 
 CONCEPT_NS = "http://example.org/orders/schema#"
 ENTITY_NS = "http://example.org/orders/data/"
@@ -216,8 +215,12 @@ def snk_1(spark, sf_dir):
 def snk_2(spark, sf_dir):
     df, meta = customers(spark, sf_dir)
     triples = rdf.row_triples(df, meta, CONCEPT_NS, ENTITY_NS, "c_custkey")
-    write_turtle(triples, scratch_path(spark, "customer-ttl"), PREFIXES)
-    return turtle_blocks(triples, PREFIXES).select("s", F.col("value").alias("block_text"))
+    path = scratch_path(spark, "customer-ttl")
+    write_turtle(triples, path, PREFIXES)
+    # A block ends with a full stop and an empty line, as the prefixes before the first one do.
+    records = spark.read.option("lineSep", " .\n\n").text(path).where(~F.col("value").startswith("@prefix"))
+    name = F.regexp_extract("value", "^ent:(\\S+)", 1)
+    return records.select(F.concat(F.lit(ENTITY_NS), name).alias("s"), F.concat("value", F.lit(" .\n")).alias("block_text"))
 
 
 @query("snk_3")

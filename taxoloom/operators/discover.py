@@ -32,9 +32,6 @@ MAP_SIZES = (2, 20)
 EPOCHS = (5, 5000)
 # One full-batch weight step stands for the ten mini-batches of a pass.
 WEIGHT_STEP = 0.1
-SETTLED = 1e-5
-# Sums up to which each is an aggregate column of its own.
-WIDE_SUMS = 256
 
 
 @dataclass
@@ -116,19 +113,13 @@ def _partial_sums(prototypes: np.ndarray, gate: np.ndarray):
 
 def _combined(partial: DataFrame, cells: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """The partial sums of all tasks added up per unit."""
-    if cells <= WIDE_SUMS:
-        sums = F.array(*[F.sum(F.get("sums", F.lit(j))) for j in range(cells)])
-        for r in partial.groupBy("unit").agg(F.sum("n").alias("n"), sums.alias("sums")).collect():
-            # The gradient unit has one cell more than the prototypes.
-            yield r["unit"], r["n"], np.array([0.0 if x is None else x for x in r["sums"]])
-        return
-    count = {r["unit"]: r["n"] for r in partial.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
-    values = {u: np.zeros(cells) for u in count}
-    cell = partial.select("unit", F.posexplode("sums").alias("j", "x")).groupBy("unit", "j").agg(F.sum("x").alias("x"))
-    for r in cell.collect():
-        values[r["unit"]][r["j"]] = r["x"]
-    for u, n in count.items():
-        yield u, n, values[u]
+    # The number of rows travels as one more cell, so that the partial sums are read once.
+    cell = partial.select("unit", F.posexplode(F.concat(F.array(F.col("n").cast("double")), "sums")).alias("j", "x"))
+    found: dict[int, np.ndarray] = {}
+    for r in cell.groupBy("unit", "j").agg(F.sum("x").alias("x")).collect():
+        found.setdefault(r["unit"], np.zeros(cells + 1))[r["j"]] = r["x"] or 0.0
+    for unit, values in found.items():
+        yield unit, int(values[0]), values[1:]
 
 
 def _epoch(df: DataFrame, prototypes: np.ndarray, gate: np.ndarray):
@@ -150,7 +141,7 @@ def fit_wsom(
     encoded: Encoded,
     map_size: int = 5,
     sparsity: float = 0.01,
-    epochs: int = 20,
+    epochs: int = 100,
     seed: int = 0,
 ) -> WeightedSom:
     """Train prototypes and feature weights.
@@ -186,10 +177,7 @@ def fit_wsom(
             step = first / (1 - 0.9 ** (epoch + 1))
             spread = np.sqrt(second / (1 - 0.999 ** (epoch + 1)))
             som.weights = som.weights - WEIGHT_STEP * step / (spread + 1e-8)
-            shift = float(np.abs(moved - prototypes).max())
             prototypes = moved
-            if epoch + 1 >= EPOCHS[0] and radius <= 0.5 and shift < SETTLED:
-                break
     finally:
         rows_df.unpersist()
     som.prototypes = prototypes
@@ -248,7 +236,7 @@ def discover(
     concept: str,
     map_size: int = 5,
     sparsity: float = 0.01,
-    epochs: int = 20,
+    epochs: int = 100,
     merge_f1: float = 0.05,
     ignore: list[str] | None = None,
     seed: int = 0,

@@ -25,10 +25,6 @@ class Restriction:
     value: object
 
 
-def restriction(column: str, operator: str, value: object) -> Restriction:
-    return Restriction(column, operator, value)
-
-
 def value_text(value: object) -> str:
     return str(value)
 

@@ -131,7 +131,8 @@ def literal_text(m: ColumnMeta) -> Column:
 
 
 def entity(ens: str, key: Column) -> Column:
-    return F.concat(F.lit(ens + "entity_"), key.cast("string"))
+    """IRI of a row; characters of its key that an IRI cannot hold are percent-encoded."""
+    return F.concat(F.lit(ens + "entity_"), F.replace(F.url_encode(key.cast("string")), F.lit("+"), F.lit("%20")))
 
 
 def row_triples(

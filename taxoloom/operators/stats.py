@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import OWL, RDF_TYPE, RDFS
 from ..functions.quantiles import DIRECT_CELLS, exact_quantiles
 from ..plans.local import local_frame
 from ..plans.scratch import Parts, settle
+from ..sources.readers import MALFORMED
 from ..sources.writers import STATS_COLUMNS
 
 logger = logging.getLogger(__name__)
@@ -233,9 +235,10 @@ def taxonomy_stats(triples: DataFrame, file: str) -> DataFrame:
 
 
 def stats_of_many(spark: SparkSession, sources: dict[str, object]) -> DataFrame:
-    """One row per ontology; a source that cannot be read is skipped.
+    """One row per ontology; a source that cannot be read or parsed is skipped.
 
-    A source is a triples DataFrame, or a function that returns one.
+    A source is a triples DataFrame, or a function that returns one. Other failures, such as
+    those of the cluster, are raised.
     """
     out = None
     for file, source in sources.items():
@@ -243,6 +246,8 @@ def stats_of_many(spark: SparkSession, sources: dict[str, object]) -> DataFrame:
             triples = source() if callable(source) else source
             row = taxonomy_stats(triples, file)
         except Exception as problem:  # noqa: BLE001
+            if not isinstance(problem, (ValueError, AnalysisException)) and MALFORMED not in str(problem):
+                raise
             logger.warning("skipping %s: %s", file, problem)
             continue
         out = row if out is None else out.unionByName(row)

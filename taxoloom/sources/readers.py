@@ -16,12 +16,20 @@ NA_TOKENS = [
 ]
 FORMATS = ("csv", "tsv", "json", "parquet")
 
+MALFORMED = "malformed triple"
+LANG_STRING = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"
 _IRI = r"^<([^>]*)>"
-_TRIPLE = r'^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(.*?)\s*\.\s*$'
+_NODE = r"<[^>\s]*>|_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-:\u00B7]*[\p{L}\p{N}_\-:\u00B7])?"
+_QUOTED = r'"(?:[^"\\]|\\.)*"(?:\^\^<[^>\s]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?'
+_TRIPLE = rf"^\s*({_NODE})\s*<([^>\s]*)>\s*({_NODE}|{_QUOTED})\s*\.\s*(?:#.*)?$"
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read a table; the format defaults to the file extension."""
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = True) -> DataFrame:
+    """Read a table; the format defaults to the file extension.
+
+    Quoted cells of delimited files may hold line breaks. With ``multiline=False`` every line is a
+    record, so large files are split over tasks; a line with an unclosed quote then raises.
+    """
     fmt = fmt or os.path.splitext(path)[1].lower().lstrip(".")
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported file format: .{fmt}")
@@ -30,9 +38,9 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     elif fmt == "json":
         df = _read_json(spark, path)
     else:
-        df = _read_delimited(spark, path, "," if fmt == "csv" else "\t")
+        df = _read_delimited(spark, path, "," if fmt == "csv" else "\t", multiline)
     if not df.columns or df.isEmpty():
-        raise ValueError("File contains no data (0 rows or 0 columns)")
+        raise ValueError(f"nothing to read in {path}: it needs at least one row and one column")
     return df
 
 
@@ -44,21 +52,26 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def _read_delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
+def _read_delimited(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFrame:
     """Header row, NA texts as NULL, and a numeric type where every value is a number."""
+    if not multiline:
+        quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+        if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
+            raise ValueError(f"a quoted cell of {path} spans lines: read it with multiline=True")
     raw = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", False)
+        .option("multiLine", multiline)
         .csv(path)
     )
     if not raw.columns:
         return raw
     text = raw.select(
         *[
-            F.when(~F.trim(F.col(f"`{c}`")).isin(NA_TOKENS), F.col(f"`{c}`")).alias(c)
+            F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c)
             for c in raw.columns
         ]
     )
@@ -101,40 +114,58 @@ def meta_from_config(df: DataFrame, path: str) -> Metadata:
     return metadata_from_types(df, types)
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples from N-Triples files: one triple per line, so the input splits."""
+def read_ntriples(spark: SparkSession, path: str, languages: bool = False) -> DataFrame:
+    """Triples from N-Triples files: one triple per line, so the input splits.
+
+    A literal with a language has the datatype ``rdf:langString``; ``languages`` adds its tag
+    as ``o_lang``. A line that is neither a triple, a comment nor blank raises.
+    """
     lines = spark.read.text(path).select(F.trim("value").alias("line"))
     lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("#"))
-    subject = F.regexp_extract("line", _TRIPLE, 1)
-    obj = F.regexp_extract("line", _TRIPLE, 3)
+    lines = lines.where(
+        F.when(F.col("line").rlike(_TRIPLE), True).otherwise(F.raise_error(F.concat(F.lit(MALFORMED + ": "), "line")))
+    )
     parts = lines.select(
-        subject.alias("subject"), F.regexp_extract("line", _TRIPLE, 2).alias("p"), obj.alias("object")
+        F.regexp_extract("line", _TRIPLE, 1).alias("subject"),
+        F.regexp_extract("line", _TRIPLE, 2).alias("p"),
+        F.regexp_extract("line", _TRIPLE, 3).alias("object"),
     )
     kind = (
         F.when(F.col("object").startswith("<"), "uri")
         .when(F.col("object").startswith("_:"), "blank")
         .otherwise("literal")
     )
-    parts = parts.where(F.col("subject") != "").withColumn("o_kind", kind)
+    parts = parts.withColumn("o_kind", kind)
     lexical = F.regexp_extract("object", r'^"((?:[^"\\]|\\.)*)"', 1)
     datatype = F.regexp_extract("object", r'"\^\^<([^>]*)>$', 1)
+    lang = F.regexp_extract("object", r'"@([A-Za-z0-9-]+)$', 1)
+    literal = F.col("o_kind") == "literal"
     return parts.select(
-        F.when(F.col("subject").startswith("<"), F.regexp_extract("subject", _IRI, 1))
+        F.when(F.col("subject").startswith("<"), unescape(F.regexp_extract("subject", _IRI, 1)))
         .otherwise(F.col("subject"))
         .alias("s"),
-        "p",
-        F.when(F.col("o_kind") == "uri", F.regexp_extract("object", _IRI, 1))
+        unescape(F.col("p")).alias("p"),
+        F.when(F.col("o_kind") == "uri", unescape(F.regexp_extract("object", _IRI, 1)))
         .when(F.col("o_kind") == "blank", F.col("object"))
         .otherwise(unescape(lexical))
         .alias("o"),
         "o_kind",
-        F.when((F.col("o_kind") == "literal") & (datatype != ""), datatype).alias("o_datatype"),
+        F.when(literal & (lang != ""), LANG_STRING).when(literal & (datatype != ""), datatype).alias("o_datatype"),
+        *([F.when(literal & (lang != ""), lang).alias("o_lang")] if languages else []),
     )
 
 
 def unescape(c):
-    """Undo N-Triples string escapes; a backslash pair is parked first."""
+    """Undo N-Triples escapes; a backslash pair is parked first."""
     parked = F.replace(c, F.lit("\\\\"), F.lit("\u0000"))
-    for text, char in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
+    for text, char in (
+        ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")
+    ):
         parked = F.replace(parked, F.lit(text), F.lit(char))
+    codes = F.regexp_extract_all(parked, F.lit(r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"), F.lit(0))
+    parked = F.aggregate(
+        F.array_distinct(codes),
+        parked,
+        lambda text, code: F.replace(text, code, F.decode(F.unhex(F.lpad(F.substring(code, 3, 8), 8, "0")), "UTF-32")),
+    )
     return F.replace(parked, F.lit("\u0000"), F.lit("\\"))

@@ -15,6 +15,7 @@ from taxoloom.operators.discover import (
     init_codebook,
     resolve,
     select_best_column,
+    _combined,
     suggested_epochs,
 )
 from taxoloom.operators.encode import encode
@@ -133,12 +134,11 @@ def test_training_does_not_depend_on_partitioning(spark):
     assert np.allclose(one.prototypes, many.prototypes) and np.allclose(one.weights, many.weights)
 
 
-def test_wide_sums_equal_narrow_sums(spark, monkeypatch):
-    df, meta = planted(spark)
-    narrow = fit_wsom(encode(df, meta), 2, epochs=5, seed=1)
-    monkeypatch.setattr("taxoloom.operators.discover.WIDE_SUMS", 1)
-    wide = fit_wsom(encode(df, meta), 2, epochs=5, seed=1)
-    assert np.allclose(narrow.prototypes, wide.prototypes) and np.allclose(narrow.weights, wide.weights)
+def test_partial_sums_of_all_tasks_add_up(spark):
+    rows = [(0, 2, [1.0, 2.0]), (0, 3, [0.5, -1.0]), (3, 1, [0.0, 4.0]), (-1, 6, [1.0, 1.0])]
+    partial = spark.createDataFrame(rows, "unit int, n long, sums array<double>").repartition(3)
+    got = {unit: (n, sums.tolist()) for unit, n, sums in _combined(partial, 2)}
+    assert got == {0: (5, [1.5, 1.0]), 3: (1, [0.0, 4.0]), -1: (6, [1.0, 1.0])}
 
 
 def test_codebook_repeats_rows(spark):

@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from taxoloom.operators.rdf import entity
+from taxoloom.operators.stats import stats_of_many
 from taxoloom.plans.numbering import contiguous_ids
 from taxoloom.plans.scratch import checkpoint_root, settle
-from taxoloom.sources import meta_from_config, read_table, with_row_id
+from taxoloom.sources import meta_from_config, read_ntriples, read_table, with_row_id, write_ntriples
 
 
 def test_delimited(spark, tmp_path):
@@ -71,3 +73,56 @@ def test_settled_tables_live_in_the_shared_folder(spark):
     assert root == spark.conf.get("spark.checkpoint.dir")
     out = settle(spark.range(3))
     assert out.count() == 3 and out.inputFiles()[0].startswith(("file:" + root, "file://" + root))
+
+
+def test_quoted_line_breaks_and_blank_cells(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_text('k,v\n1,"a\nb"\n2," "\n3," NA "\n4,NA\n')
+    got = read_table(spark, str(path)).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "a\nb"), (2, " "), (3, " NA "), (4, None)]
+    with pytest.raises(ValueError, match="spans lines"):
+        read_table(spark, str(path), multiline=False)
+    flat = tmp_path / "flat.csv"
+    flat.write_text('k,v\n1,"a"\n2,b\n')
+    assert read_table(spark, str(flat), multiline=False).count() == 2
+
+
+def test_every_form_of_triple_is_read(spark, tmp_path):
+    path = tmp_path / "t.nt"
+    path.write_text(
+        "# comment\n\n<a><p><b>.\n<a> <p> \"x\"@en-GB . # end\n_:n <p> \"caf\\u00e9 \\U0001F600 \\\\u0041 \\' \\b\" .\n"
+        '<a> <p> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .\n',
+        encoding="utf-8",
+    )
+    got = {tuple(r) for r in read_ntriples(spark, str(path), languages=True).collect()}
+    assert got == {
+        ("a", "p", "b", "uri", None, None),
+        ("a", "p", "x", "literal", "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString", "en-GB"),
+        ("_:n", "p", "café 😀 \\u0041 ' \b", "literal", None, None),
+        ("a", "p", "1", "literal", "http://www.w3.org/2001/XMLSchema#integer", None),
+    }
+
+
+def test_malformed_triples_raise_and_statistics_skip_them(spark, tmp_path):
+    bad, good = tmp_path / "bad.nt", tmp_path / "good.nt"
+    bad.write_text("<a> <p> <b> .\nnot a triple\n")
+    good.write_text("<a> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#Class> .\n")
+    with pytest.raises(Exception, match="malformed triple"):
+        read_ntriples(spark, str(bad)).count()
+    table = stats_of_many(spark, {"bad": read_ntriples(spark, str(bad)), "good": read_ntriples(spark, str(good))})
+    assert [r["file"] for r in table.collect()] == ["good"]
+
+    def lost():
+        raise MemoryError("executor lost")
+
+    with pytest.raises(MemoryError):
+        stats_of_many(spark, {"lost": lost})
+
+
+def test_text_keys_make_valid_iris(spark, tmp_path):
+    rows = spark.createDataFrame([("a b>c", 1)], "k string, n long").select(
+        entity("http://e/", F.col("k")).alias("s"), F.lit("http://e/p").alias("p"), F.lit("x").alias("o"),
+        F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"),
+    )
+    write_ntriples(rows, str(tmp_path / "iris"))
+    assert [r["s"] for r in read_ntriples(spark, str(tmp_path / "iris")).collect()] == ["http://e/entity_a%20b%3Ec"]
