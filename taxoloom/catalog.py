@@ -662,7 +662,7 @@ def _som_input(spark, sf_dir) -> Encoded:
 
 def _fit(spark, sf_dir):
     enc = _som_input(spark, sf_dir)
-    return enc, som.fit_wsom(enc, map_size=3, epochs=8, seed=7)
+    return enc, som.fit_wsom(enc, seed=7)
 
 
 @query("som_1")
@@ -682,8 +682,11 @@ def som_1(spark, sf_dir):
 
 @query("som_2")
 def som_2(spark, sf_dir):
-    book = som.init_codebook(_som_input(spark, sf_dir), 3, 7)
-    return local_frame(spark, [(i, [float(x) for x in b]) for i, b in enumerate(book)], "unit int, x array<double>")
+    book = som.init_codebook(_som_input(spark, sf_dir), 5, 7)
+    start = local_frame(spark, [(i, [float(x) for x in b]) for i, b in enumerate(book)], "unit int, row array<double>")
+    return start.select("unit", F.posexplode("row").alias("feature_idx", "x")).withColumn(
+        "x", F.round("x", 4) + F.lit(0.0)
+    )
 
 
 @query("som_3")
@@ -800,7 +803,7 @@ def som_13(spark, sf_dir):
 def _discovered(spark, sf_dir):
     df, meta = orders(spark, sf_dir)
     tax = Taxonomy(df, meta, "o_orderkey")
-    return tax, som.discover(tax, tax.root_id, map_size=3, epochs=8, seed=7)
+    return tax, som.discover(tax, tax.root_id, seed=7)
 
 
 @query("som_14")
@@ -891,7 +894,7 @@ def fca_7(spark, sf_dir):
 @query("fca_8")
 def fca_8(spark, sf_dir):
     ctx = _context(spark, sf_dir, *CONTEXT)
-    found = fca.fca(ctx, 2).concepts
+    found = fca.fca(ctx).concepts
     return fca.describe(found, ctx).select(*[c.name for c in ctx.columns], "size", "depth")
 
 
@@ -903,7 +906,7 @@ def _named_intent(ctx: fca.FormalContext, concepts: DataFrame, name: str) -> Dat
 @query("fca_9")
 def fca_9(spark, sf_dir):
     ctx = _context(spark, sf_dir, *CONTEXT)
-    lat = fca.fca(ctx, 2)
+    lat = fca.fca(ctx)
     pairs, found = fca.hasse(lat), lat.concepts.select("intent")
     up = _named_intent(ctx, found, "parent_name").withColumnRenamed("intent", "parent")
     down = _named_intent(ctx, found, "child_name").withColumnRenamed("intent", "child")
@@ -913,7 +916,7 @@ def fca_9(spark, sf_dir):
 @query("fca_10")
 def fca_10(spark, sf_dir):
     ctx = _context(spark, sf_dir, *CONTEXT)
-    lat = fca.fca(ctx, 2)
+    lat = fca.fca(ctx)
     names = _named_intent(ctx, lat.concepts.select("intent"), "concept")
     return fca.most_specific(lat).join(names, "intent").select("o_orderkey", "concept")
 
@@ -921,7 +924,7 @@ def fca_10(spark, sf_dir):
 @query("fca_11")
 def fca_11(spark, sf_dir):
     ctx = _context(spark, sf_dir, *CONTEXT)
-    lat = fca.fca(ctx, 3)
+    lat = fca.fca(ctx)
     return fca.describe(fca.leaves(lat, fca.hasse(lat)), ctx).select(*[c.name for c in ctx.columns], "size")
 
 
@@ -930,7 +933,7 @@ def fca_12(spark, sf_dir):
     """Axiom triples of the lattice, counted by predicate."""
     df, meta = orders(spark, sf_dir)
     ctx = _context(spark, sf_dir, *CONTEXT)
-    lat = fca.fca(ctx, 3)
+    lat = fca.fca(ctx)
     named = fca.number_concepts(lat).withColumn("uri", F.concat(F.lit(CONCEPT_NS), F.col("id")))
     return rdf.intent_axioms(named, lat, meta, CONCEPT_NS).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
@@ -997,8 +1000,8 @@ def hac_5_rows(spark, sf_dir):
 
 
 def orders_triples(spark, sf_dir) -> DataFrame:
-    """What the statistics need of the orders taxonomy."""
-    return rdf.export_triples(orders_taxonomy(spark, sf_dir), CONCEPT_NS, ENTITY_NS, values=False)
+    """The whole orders taxonomy, row properties included."""
+    return rdf.export_triples(orders_taxonomy(spark, sf_dir), CONCEPT_NS, ENTITY_NS)
 
 
 @query("rdf_1")
@@ -1189,7 +1192,7 @@ def sta_11(spark, sf_dir):
 @query("sta_12")
 def sta_12(spark, sf_dir):
     df, meta = customers(spark, sf_dir)
-    plain = rdf.export_triples(Taxonomy(df, meta, "c_custkey"), CONCEPT_NS, ENTITY_NS, values=False)
+    plain = rdf.export_triples(Taxonomy(df, meta, "c_custkey"), CONCEPT_NS, ENTITY_NS)
 
     def unreadable():
         raise ValueError("not an ontology")

@@ -1,12 +1,10 @@
 """Exact quantiles that never gather a whole column in one task.
 
 The built-in ``percentile`` keeps every distinct value of a column in one
-aggregation buffer. That is the fastest way while the input is small, so it is
-used below a checked number of cells. Beyond it approximate quantiles are put
-around every wanted order statistic, the rows at and between them are counted,
-and the gap that holds the statistic is searched again until it pins one value
-or has few enough rows to sort. Every pass is a scan with a constant-size
-result.
+aggregation buffer. Here approximate quantiles are put around every wanted
+order statistic, the rows at and between them are counted, and the gap that
+holds the statistic is searched again until it pins one value or has few
+enough rows to sort. Every pass is a scan with a constant-size result.
 """
 
 from __future__ import annotations
@@ -16,8 +14,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Cells (rows x columns) up to which the one-buffer percentile is used.
-DIRECT_CELLS = 4_000_000
 # Rows of a bracket that are sorted in one buffer.
 SORTED_ROWS = 10_000
 ACCURACY = 2_000
@@ -56,34 +52,12 @@ def position(value: Column, edges: list[float], exact: bool = False) -> Column:
     return search(0, len(edges))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    wanted: dict[str, list[float]],
-    direct_cells: int | None = None,
-    rows: int | None = None,
-) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of DOUBLE columns free of NaN."""
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of DOUBLE columns free of NaN; None for a column without values."""
     if not wanted:
         return {}
-    limit = DIRECT_CELLS if direct_cells is None else direct_cells
-    df = df.select(*[F.col(f"`{c}`") for c in wanted])
-    if rows is None:
-        rows = df.count()
-    if rows * len(wanted) <= limit:
-        aggs = [
-            F.percentile(f"`{c}`", F.array(*[F.lit(float(p)) for p in ps])).alias(f"q{i}")
-            for i, (c, ps) in enumerate(wanted.items())
-        ]
-        got = df.agg(*aggs).first()
-        return {
-            c: list(got[f"q{i}"]) if got[f"q{i}"] is not None else [None] * len(ps)
-            for i, (c, ps) in enumerate(wanted.items())
-        }
-    return _bracketed(df, wanted)
-
-
-def _bracketed(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
     names = list(wanted)
+    df = df.select(*[F.col(f"`{c}`") for c in names])
     sizes = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(names)]).first()
     count = {c: sizes[f"n{i}"] for i, c in enumerate(names)}
 

@@ -59,9 +59,9 @@ def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def init_codebook(encoded: Encoded, map_size: int, seed: int) -> np.ndarray:
-    """map_size² rows in hash order of their key, repeated when there are fewer."""
+    """map_size² rows in hash order of their key and the seed, repeated when there are fewer."""
     cells = map_size * map_size
-    order = F.xxhash64(F.col(f"`{encoded.key}`"), F.lit(seed))
+    order = F.md5(F.concat(F.col(f"`{encoded.key}`").cast("string"), F.lit(f"|{seed}")))
     rows = (
         encoded.df.select("features", order.alias("h"), F.col(f"`{encoded.key}`").alias("k"))
         .orderBy("h", "k")

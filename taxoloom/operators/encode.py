@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,9 +13,6 @@ from ..plans.numbering import contiguous_ids
 from ..sources.rowid import ROW_ID
 from .profile import value_counts
 
-# Widest dense vector; ``encode_long`` has no such bound.
-DENSE_FEATURES = 4096
-
 
 @dataclass(frozen=True)
 class Feature:
@@ -68,47 +66,54 @@ def _z_score(m: ColumnMeta, scale: tuple[float, float]) -> Column:
     return F.coalesce((scale_source(m) - F.lit(mean)) / F.lit(std), F.lit(0.0))
 
 
-def _sorted_values(df: DataFrame, m: ColumnMeta, limit: int) -> list[str]:
-    """Distinct values in the order of the column's own type, at most ``limit`` + 1."""
+def _sorted_values(df: DataFrame, m: ColumnMeta) -> list[str]:
+    """Distinct values in the order of the column's own type."""
     values = df.where(m.present).select(m.ref.alias("v"), m.text.alias("t")).distinct()
-    return [r["t"] for r in values.orderBy("v").limit(limit + 1).collect()]
+    return [r["t"] for r in values.orderBy("v").collect()]
+
+
+def _one_hot(m: ColumnMeta, values: list[str]) -> Column:
+    """One cell per value; the values are one array literal, so a wide column is no wide plan."""
+    domain = F.from_json(F.lit(json.dumps(values)), "array<string>")
+    text = m.text
+    return F.transform(domain, lambda v: F.coalesce(v == text, F.lit(False)).cast("double"))
 
 
 @dataclass
 class Encoder:
-    """Feature map and cell expressions fitted on a whole table."""
+    """Feature map and, per source column, an array of cells, fitted on a whole table."""
 
     features: list[Feature]
-    cells: list[Column]
+    blocks: list[Column]
     key: str
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> Encoded:
         """Encode ``df``, or any part of the fitted table, next to its ``keep`` columns."""
-        array = F.array(*self.cells) if self.cells else F.array().cast("array<double>")
+        array = F.concat(*self.blocks) if self.blocks else F.array().cast("array<double>")
         raw = [F.col(f"`{c}`") for c in dict.fromkeys([self.key, *(keep or [])])]
         return Encoded(df.select(*raw, array.alias("features")), self.features, self.key)
 
 
 def fit_encoder(df: DataFrame, meta: Metadata, key: str = ROW_ID, ignore: list[str] | None = None) -> Encoder:
+    """The dense form has one feature per distinct value, and its feature map is a driver list.
+
+    For columns with very many values ``encode_long`` keeps the map a table.
+    """
     used, scaled = _scaled_columns(meta, ignore or [])
     scales = _scales(df, scaled)
     features: list[Feature] = []
-    cells: list[Column] = []
+    blocks: list[Column] = []
     for m in used:
         if m.user_type in ("numeric", "date"):
             features.append(Feature(len(features), m.name, m.name, m.user_type))
-            cells.append(_z_score(m, scales[m.name]))
+            blocks.append(F.array(_z_score(m, scales[m.name])))
             continue
-        values = _sorted_values(df, m, DENSE_FEATURES - len(features))
-        if len(features) + len(values) > DENSE_FEATURES:
-            raise ValueError(
-                f"column {m.name!r} needs more than {DENSE_FEATURES} dense features; "
-                "use encode_long or leave the column out"
-            )
-        for v in values:
-            features.append(Feature(len(features), f"{m.name}_{v}", m.name, "categorical", v))
-            cells.append(F.coalesce(m.text == F.lit(v), F.lit(False)).cast("double"))
-    return Encoder(features, cells, key)
+        values = _sorted_values(df, m)
+        features += [
+            Feature(len(features) + i, f"{m.name}_{v}", m.name, "categorical", v) for i, v in enumerate(values)
+        ]
+        blocks.append(_one_hot(m, values))
+    return Encoder(features, blocks, key)
 
 
 def encode(df: DataFrame, meta: Metadata, key: str = ROW_ID, ignore: list[str] | None = None) -> Encoded:

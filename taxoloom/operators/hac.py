@@ -55,11 +55,8 @@ def micro_clusters(encoded: Encoded, m: int, seed: int = 0) -> Encoded:
     """Replace each row by the centre of its k-means cluster.
 
     The reduction that lets ``hac`` handle any number of rows: clustering the
-    centres, weighted by their rows, approximates clustering the rows. Exact
-    when there are at most ``m`` distinct rows, which are then left as they are.
+    centres, weighted by their rows, approximates clustering the rows.
     """
-    if encoded.df.select("features").distinct().limit(m + 1).count() <= m:
-        return encoded
     points = encoded.df.withColumn("vector", array_to_vector("features"))
     model = KMeans(k=m, seed=seed, featuresCol="vector", predictionCol="micro").fit(points)
     spark = encoded.df.sparkSession

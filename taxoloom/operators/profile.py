@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import parsing
-from ..functions.quantiles import DIRECT_CELLS, exact_quantiles
+from ..functions.quantiles import exact_quantiles
 from ..metadata import ColumnMeta, Metadata
 
 # Thresholds and words of type detection and summaries.
@@ -50,7 +50,8 @@ def detect_types(df: DataFrame) -> Metadata:
     """Infer the semantic type of every column.
 
     One aggregate over all columns settles everything except identifiers;
-    exact distinct counts follow only for the text columns left undecided.
+    exact distinct counts follow only for the text columns left undecided, over
+    128-bit digests, so that long texts are not shuffled.
     """
     nested = [f.name for f in df.schema.fields if isinstance(f.dataType, parsing.NESTED_TYPES)]
     if nested:
@@ -86,7 +87,10 @@ def detect_types(df: DataFrame) -> Metadata:
 
     if undecided:
         cells = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in undecided]
+            *[
+                F.struct(F.lit(c).alias("column"), F.unhex(F.md5(F.col(f"`{c}`"))).alias("value"))
+                for c in undecided
+            ]
         )
         distinct = (
             df.select(F.inline(cells))
@@ -128,20 +132,12 @@ SUMMARY_SCHEMA = (
 )
 
 
-def _medians(df: DataFrame, columns: list[ColumnMeta], rows: int | None = None) -> dict[str, Column]:
-    """A median expression per column, usable inside ``df.agg``.
-
-    Small inputs take the one-buffer aggregate; larger ones are resolved first
-    and enter as literals.
-    """
+def _medians(df: DataFrame, columns: list[ColumnMeta]) -> dict[str, Column]:
+    """The median of every column as a literal, usable inside ``df.agg``."""
     if not columns:
         return {}
-    if rows is None:
-        rows = df.count()
-    if rows * len(columns) <= DIRECT_CELLS:
-        return {m.name: F.percentile(m.number, F.lit(0.5)) for m in columns}
     numbers = df.select(*[m.number.alias(m.name) for m in columns])
-    got = exact_quantiles(numbers, {m.name: [0.5] for m in columns}, rows=rows)
+    got = exact_quantiles(numbers, {m.name: [0.5] for m in columns})
     return {c: F.lit(v[0]).cast("double") for c, v in got.items()}
 
 

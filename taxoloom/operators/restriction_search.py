@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quantiles import exact_quantiles, position
 from ..metadata import ColumnMeta
+from ..plans.local import local_frame
 from ..plans.scratch import settle
 from .predicate import Restriction
 
 # The quantiles tried as thresholds.
 NUMERIC_STEPS = [p / 100 for p in range(5, 100, 5)]
 DATE_STEPS = [p / 100 for p in range(10, 100, 10)]
-# (cluster, value) counts held on the driver while clusters are merged.
-LOCAL_COUNTS = 500_000
 
 
 @dataclass(frozen=True)
@@ -79,55 +78,38 @@ def _category_counts(df: DataFrame, cluster: str, m: ColumnMeta, key: str):
 
 
 class CategorySearch:
-    """Best ``=`` restriction of any union of clusters."""
+    """Best ``=`` restriction of any union of clusters, from a settled table of counts."""
 
     def __init__(self, df: DataFrame, cluster: str, m: ColumnMeta, key: str):
-        self.column = m.name
+        self.column, self._cluster = m.name, cluster
         counts, totals, sizes = _category_counts(df, cluster, m, key)
-        self._cluster = cluster
-        self._table = counts.join(totals, "value")
+        self._table = settle(counts.join(totals, "value"), "categories")
+        self._kind = dict(self._table.dtypes)[cluster]
         self.sizes = {r[cluster]: r["size"] for r in sizes.collect()}
-        self._local = None
-        if self._table.count() <= LOCAL_COUNTS:
-            self._local = {}
-            for r in self._table.collect():
-                self._local.setdefault(r[cluster], []).append(
-                    (r["value"], r["hits"], r["support"], r["first_key"])
-                )
 
     def best(self, clusters: frozenset) -> Found | None:
-        size = sum(self.sizes[c] for c in clusters)
-        if self._local is None:
-            top = self._best_on_cluster(clusters, size)
-        else:
-            top = self._best_here(clusters, size)
-        if top is None:
-            return None
-        value, score, support = top
-        return Found((Restriction(self.column, "=", value),), score, support, (value,))
-
-    def _best_here(self, clusters: frozenset, size: int):
-        hits: dict[str, list] = {}
-        for c in clusters:
-            for value, n, support, first in self._local.get(c, []):
-                cell = hits.setdefault(value, [0, support, first])
-                cell[0] += n
-        scored = [(-f1(n, support, size), first, value, support) for value, (n, support, first) in hits.items()]
-        if not scored:
-            return None
-        score, _, value, support = min(scored)
-        return value, -score, support
-
-    def _best_on_cluster(self, clusters: frozenset, size: int):
-        top = (
-            self._table.where(F.col(self._cluster).isin(list(clusters)))
-            .groupBy("value", "support", "first_key")
+        return self.best_of([clusters])[0]
+
+    def best_of(self, unions: list[frozenset]) -> list[Found | None]:
+        """The best restriction of each union, all from one job."""
+        members = local_frame(
+            self._table.sparkSession,
+            [(i, sum(self.sizes[c] for c in u), c) for i, u in enumerate(unions) for c in u],
+            f"u int, size long, `{self._cluster}` {self._kind}",
+        )
+        hits = (
+            self._table.join(members, self._cluster)
+            .groupBy("u", "size", "value", "support", "first_key")
             .agg(F.sum("hits").alias("hits"))
-            .withColumn("f1", f1_column(F.col("hits"), F.col("support"), F.lit(size)))
-            .orderBy(F.desc("f1"), F.asc("first_key"))
-            .first()
+            .withColumn("f1", f1_column(F.col("hits"), F.col("support"), F.col("size")))
         )
-        return (top["value"], top["f1"], top["support"]) if top else None
+        first = Window.partitionBy("u").orderBy(F.desc("f1"), F.asc("first_key"))
+        top = hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") == 1)
+        out: list[Found | None] = [None] * len(unions)
+        for r in top.select("u", "value", "f1", "support").collect():
+            restriction = Restriction(self.column, "=", r["value"])
+            out[r["u"]] = Found((restriction,), r["f1"], r["support"], (r["value"],))
+        return out
 
     def strictly_inside(self, a: Found, b: Found) -> bool:
         """Rows of ``a`` are a proper part of those of ``b``: never for two values."""
@@ -174,6 +156,9 @@ class RangeSearch:
                 out += [(i + 1, j + 1, low, self.cuts[j]) for j in range(i + 1, len(self.cuts))]
         return out
 
+    def best_of(self, unions: list[frozenset]) -> list[Found | None]:
+        return [self.best(u) for u in unions]
+
     def best(self, clusters: frozenset) -> Found | None:
         if not self.usable:
             return None
@@ -250,7 +235,7 @@ def search_for(df: DataFrame, cluster: str, m: ColumnMeta, key: str):
 
 def characterise(search, clusters: list) -> dict:
     """The best restriction of every cluster, or None."""
-    return {c: search.best(frozenset([c])) for c in clusters}
+    return dict(zip(clusters, search.best_of([frozenset([c]) for c in clusters])))
 
 
 def cosine(a, b) -> float:
@@ -262,7 +247,8 @@ def merge_clusters(search, found: dict, centroids: dict, threshold: float) -> li
     """Join clusters whose common restriction beats both of their own by ``threshold``.
 
     The most similar pair of centroids is tried first, ties by the larger ids;
-    a refused pair is not tried again and the search restarts after a merge.
+    a refused pair is not tried again and the search restarts after a merge. All pairs
+    that are new in a round are searched in one job.
     """
     live = {}
     for c, result in found.items():
@@ -271,15 +257,19 @@ def merge_clusters(search, found: dict, centroids: dict, threshold: float) -> li
     fresh = len(live)
     refused: set[tuple[int, int]] = set()
     similar: dict[tuple[int, int], float] = {}
+    joint_of: dict[tuple[int, int], Found | None] = {}
     while True:
         ids = sorted(live)
         pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (a, b) not in refused]
         for a, b in pairs:
             if (a, b) not in similar:
                 similar[a, b] = cosine(live[a][1], live[b][1])
+        new = [p for p in pairs if p not in joint_of]
+        if new:
+            joint_of.update(zip(new, search.best_of([live[a][0] | live[b][0] for a, b in new])))
         for a, b in sorted(pairs, key=lambda p: (similar[p], p), reverse=True):
             both = live[a][0] | live[b][0]
-            joint = search.best(both)
+            joint = joint_of[a, b]
             needed = max(live[a][2].f1, live[b][2].f1) + threshold
             if joint is not None and joint.f1 >= needed:
                 middle = [(x + y) / 2 for x, y in zip(live[a][1], live[b][1])]

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import OWL, RDF_TYPE, RDFS
-from ..functions.quantiles import DIRECT_CELLS, exact_quantiles
+from ..functions.quantiles import exact_quantiles
 from ..plans.local import local_frame
 from ..plans.scratch import Parts, settle
 from ..sources.readers import MALFORMED
@@ -176,14 +176,10 @@ def _spread(df: DataFrame, column: str, mean: str, std: str) -> DataFrame:
     )
 
 
-def _median(df: DataFrame, column: str, name: str, n: int) -> DataFrame:
-    """A one-row table with the median of ``column`` over at most ``n`` rows."""
-    if n <= DIRECT_CELLS:
-        middle = F.percentile(column, F.lit(0.5))
-    else:
-        numbers = df.select(F.col(column).cast("double").alias("x"))
-        middle = F.lit(exact_quantiles(numbers, {"x": [0.5]}, rows=n)["x"][0])
-    return df.agg(F.coalesce(F.round(middle, 3), F.lit(0.0)).alias(name))
+def _median(df: DataFrame, column: str) -> float:
+    """The median of ``column``; 0 without rows."""
+    numbers = df.select(F.col(column).cast("double").alias("x"))
+    return exact_quantiles(numbers, {"x": [0.5]})["x"][0] or 0.0
 
 
 def _collect_metrics(parts: list[DataFrame]) -> dict:
@@ -223,10 +219,10 @@ def taxonomy_stats(triples: DataFrame, file: str) -> DataFrame:
         _spread(leaf, "n", "avg_leaf_inst", "std_leaf_inst"),
         coverage(triples, classes, edges, instances),
         axiom_counts(triples, classes),
-        _median(counts, "n", "med_inst", n),
-        _median(leaf, "n", "med_leaf_inst", n),
     ]
     got.update(_collect_metrics(parts))
+    got["med_inst"] = round(_median(counts, "n"), 3)
+    got["med_leaf_inst"] = round(_median(leaf, "n"), 3)
     whole = {"file": "string"}
     schema = ", ".join(
         f"{c} {whole.get(c, 'long' if c.startswith('n_') else 'double')}" for c in STATS_COLUMNS

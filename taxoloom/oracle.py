@@ -183,6 +183,14 @@ def hot_cells(first: int, column: str) -> str:
 
 SECONDS = "CAST(floor(epoch_us(o_orderdate) / 1000000) AS DOUBLE)"
 STATUSES = 3
+ENCODED = union(
+    [
+        hot_cells(0, "o_orderstatus"),
+        z_cell(STATUSES, "o_totalprice", "o_totalprice"),
+        z_cell(STATUSES + 1, "o_orderdate", SECONDS),
+        hot_cells(STATUSES + 2, "o_orderpriority"),
+    ]
+)
 
 
 # -- discovery ----------------------------------------------------------------
@@ -721,14 +729,7 @@ ORACLE: dict[str, str] = {
                round(x, 4) + 0.0 AS x
         FROM cell JOIN f ON cell.col = f.col AND cell.value IS NOT DISTINCT FROM f.value WHERE x <> 0
     """,
-    "enc_4": union(
-        [
-            hot_cells(0, "o_orderstatus"),
-            z_cell(STATUSES, "o_totalprice", "o_totalprice"),
-            z_cell(STATUSES + 1, "o_orderdate", SECONDS),
-            hot_cells(STATUSES + 2, "o_orderpriority"),
-        ]
-    ),
+    "enc_4": ENCODED,
     "enc_5": union([hot_cells(0, "o_orderstatus"), z_cell(STATUSES, "o_totalprice", "o_totalprice")]),
     "prd_1": f"SELECT o_orderkey, o_orderpriority FROM orders WHERE {B}",
     "prd_2": union(
@@ -773,6 +774,11 @@ ORACLE: dict[str, str] = {
         for n, c in enumerate(cs)
     ),
     "con_17": nodes(M, lambda i: f", CAST({i[1:]} AS INTEGER) AS seq", share=False),
+    "som_2": f"""
+        SELECT CAST(unit AS INTEGER) AS unit, feature_idx, x FROM ({ENCODED}) JOIN (
+            SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|7'), o_orderkey) - 1 AS unit
+            FROM orders) USING (o_orderkey) WHERE unit < 25
+    """,
     "som_1": """
         SELECT CAST(map_size AS INTEGER) AS map_size, CAST(epochs AS INTEGER) AS epochs,
                map_size BETWEEN 2 AND 20 AND epochs BETWEEN 5 AND 5000 AS accepted,
@@ -805,12 +811,12 @@ ORACLE: dict[str, str] = {
     "fca_5": f"WITH {CTX} SELECT o_orderkey, {FIELDS} FROM ctx",
     "fca_6": f"WITH {CTX} SELECT {FIELDS}, count(*) AS n FROM ctx GROUP BY s, t, p",
     "fca_7": CLOSED + f"SELECT {FIELDS}, size FROM cell WHERE fixed = 1",
-    "fca_8": CLOSED + f"SELECT {FIELDS}, size, CAST(depth AS INTEGER) AS depth FROM con WHERE depth <= 2",
+    "fca_8": CLOSED + f"SELECT {FIELDS}, size, CAST(depth AS INTEGER) AS depth FROM con WHERE depth <= 3",
     "fca_9": CLOSED
-    + f", d AS (SELECT * FROM con WHERE depth <= 2) SELECT {NAME.format('a')} AS parent_name, {NAME.format('b')} AS child_name "
+    + f", d AS (SELECT * FROM con WHERE depth <= 3) SELECT {NAME.format('a')} AS parent_name, {NAME.format('b')} AS child_name "
     f"FROM d a JOIN d b ON {wider('a', 'b')} WHERE NOT EXISTS (SELECT 1 FROM d m WHERE {wider('a', 'm')} AND {wider('m', 'b')})",
     "fca_10": CLOSED
-    + f", d AS (SELECT * FROM con WHERE depth <= 2), obj AS (SELECT DISTINCT s, t, p FROM ctx), "
+    + f", d AS (SELECT * FROM con WHERE depth <= 3), obj AS (SELECT DISTINCT s, t, p FROM ctx), "
     f"best AS (SELECT obj.s, obj.t, obj.p, {NAME.format('a')} AS concept FROM obj JOIN d a ON {holds('a', 'obj')} "
     f"WHERE NOT EXISTS (SELECT 1 FROM d m WHERE {holds('m', 'obj')} AND {wider('a', 'm')})) "
     "SELECT o_orderkey, concept FROM ctx JOIN best ON ctx.s IS NOT DISTINCT FROM best.s AND ctx.t IS NOT DISTINCT FROM best.t "

@@ -64,10 +64,7 @@ def test_numeric_search_equals_brute_force(spark, seed):
         assert tuple((r.operator, r.value) for r in found.restrictions) == top
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_category_search(spark, monkeypatch, local):
-    if not local:
-        monkeypatch.setattr(rs, "LOCAL_COUNTS", 0)
+def test_category_search(spark):
     rows = [(0, "b", 0), (1, "a", 0), (2, "a", 1), (3, "c", 1), (4, None, 1), (5, "c", 2), (6, None, 3)]
     df = spark.createDataFrame(rows, "row_id long, c string, cluster int")
     m = metadata_from_types(df, {"c": ("categorical", True)})["c"]
@@ -201,6 +198,9 @@ class Fixed:
         s = self.scores.get(clusters)
         return None if s is None else rs.Found((str(sorted(clusters)),), s, 1, (0, 1))
 
+    def best_of(self, unions):
+        return [self.best(u) for u in unions]
+
 
 def test_merging():
     one, two, three = (frozenset([i]) for i in (1, 2, 3))

@@ -140,11 +140,11 @@ def test_bracketed_quantiles_are_exact(spark, monkeypatch, kind):
     values = [make() for _ in range(4000)]
     df = spark.createDataFrame([(v if i % 50 else None, float(i)) for i, v in enumerate(values)], "x double, y double")
     ps = [0.0, 0.05, 1 / 3, 0.5, 0.77, 0.95, 1.0]
-    direct = q.exact_quantiles(df, {"x": ps, "y": [0.5]})
-    narrowed = q.exact_quantiles(df, {"x": ps, "y": [0.5]}, direct_cells=0)
-    assert narrowed == direct
+    shares = "array({})".format(", ".join(f"{p!r}d" for p in ps))
+    direct = df.selectExpr(f"percentile(x, {shares}) as x", "percentile(y, array(0.5d)) as y").first()
+    assert q.exact_quantiles(df, {"x": ps, "y": [0.5]}) == {"x": list(direct["x"]), "y": list(direct["y"])}
     empty = df.where("x > 1e308")
-    assert q.exact_quantiles(empty, {"x": [0.5]}, direct_cells=0) == {"x": [None]} == q.exact_quantiles(empty, {"x": [0.5]})
+    assert q.exact_quantiles(empty, {"x": [0.5]}) == {"x": [None]}
 
 
 def test_encoding(spark):
@@ -170,13 +170,14 @@ def test_encoding(spark):
     assert encode(df, metadata_from_types(df, {c: ("title_id", False) for c in df.columns})).features == []
 
 
-def test_wide_categories_are_refused_dense(spark, monkeypatch):
-    monkeypatch.setattr("taxoloom.operators.encode.DENSE_FEATURES", 3)
-    df = spark.range(5).selectExpr("id as row_id", "cast(id as string) as c")
+def test_wide_categories(spark):
+    df = spark.range(6000).selectExpr("id as row_id", "format_string('%05d \"é\\\\', id) as c", "id % 2 as x")
     meta = metadata_from_types(df, {"row_id": ("title_id", False), "c": ("categorical", True)})
-    with pytest.raises(ValueError):
-        encode(df, meta)
-    assert encode_long(df, meta)[0].count() == 5
+    enc = encode(df, meta)
+    assert enc.width == 6001
+    hot = enc.df.selectExpr("row_id", "array_position(slice(features, 1, 6000), 1d) as at", "aggregate(slice(features, 1, 6000), 0d, (a, b) -> a + b) as n")
+    assert hot.where("at <> row_id + 1 or n <> 1").count() == 0
+    assert encode_long(df, meta)[0].where("value = 1").count() == 6000
 
 
 def test_z_scores_of_iris(iris):
