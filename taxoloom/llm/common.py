@@ -94,6 +94,24 @@ def unpack_flags(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(bits, count=n).astype(bool)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_ids(docs: DataFrame, judged: DataFrame, out: Column, doc_id: str) -> DataFrame:
+    """``docs`` without the ids for which ``out`` holds in ``judged`` (``doc_id``); columns as they were.
+
+    Rows that share an id, or have none, go only if ``out`` holds for all of them.
+    """
+    name = free_name(docs, "gone")
+    gone = judged.groupBy("doc_id").agg(F.bool_and(out).alias("out")).filter("out").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
+
+
 class Block:
     """Documents of one task as word numbers, small enough to hold and to send as one row.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare, text_bytes
+from .common import prepare, text_bytes, without_ids
 
 #: Words of a window.
 WINDOW = 13
@@ -251,9 +251,11 @@ def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without contaminated documents; columns as they were."""
-    bad = contamination(docs, items, text, doc_id).filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without contaminated documents; columns as they were.
+
+    Rows that share an id, or have none, go only if all of them are contaminated.
+    """
+    return without_ids(docs, contamination(docs, items, text, doc_id), F.col("contaminated"), doc_id)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.scratch import settle
-from .common import BLANKS, prepare, text_bytes
+from .common import BLANKS, prepare, text_bytes, without_ids
 
 #: Bytes of distinct text that a task holds before it passes its groups on.
 HELD_BYTES = 48 << 20
@@ -213,6 +213,8 @@ def exact_owners(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that another row owns; columns as they were."""
-    gone = exact_owners(docs, text, doc_id).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without the documents that another one owns; columns as they were.
+
+    Rows that share an id, or have none, go only if others own them all.
+    """
+    return without_ids(docs, exact_owners(docs, text, doc_id), ~F.col("kept"), doc_id)

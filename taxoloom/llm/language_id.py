@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.scratch import settle
-from .common import mod_of_id, prepare
+from .common import mod_of_id, prepare, without_ids
 
 #: A public vocabulary of pieces, read on the driver.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -260,6 +260,8 @@ def predict_languages(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 
 
 def drop_undecided(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` without documents in no language; columns as they were."""
-    bad = predict_languages(docs, vocabulary).filter(F.col("lang_pred") == UNDECIDED).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without documents in no language; columns as they were.
+
+    Rows that share an id, or have none, go only if none of them is in a language.
+    """
+    return without_ids(docs, predict_languages(docs, vocabulary), F.col("lang_pred") == UNDECIDED, "doc_id")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.scratch import settle
-from .common import mix, pack_sorted, prepare, text_bytes, unpack_sorted, windows
+from .common import mix, pack_sorted, prepare, text_bytes, unpack_sorted, windows, without_ids
 from .graph import components
 
 #: Words of a shingle, and parts of 100 that two sets must share.
@@ -301,6 +301,5 @@ def near_components(
 def drop_near(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE
 ) -> DataFrame:
-    """``docs`` with one document of each component; columns as they were."""
-    gone = near_components(docs, text, doc_id, percent, shingle).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each component, and rows without an id; columns as they were."""
+    return without_ids(docs, near_components(docs, text, doc_id, percent, shingle), ~F.col("kept"), doc_id)

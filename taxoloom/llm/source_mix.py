@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.numbering import contiguous_ids
 from ..plans.scratch import settle
-from .common import WORD, prepare
+from .common import WORD, free_name, prepare
 from .ordered import running_sum
 
 #: Weights of the sources in order of their names, repeating.
@@ -107,8 +107,13 @@ def mix_sources(
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents that the mix takes, with ``copies``, the number of times that it takes them."""
-    taken = mix_sources(docs, **how).filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("copies")
+    """The documents that the mix takes, with ``copies``, the number of times that it takes them.
+
+    Rows that share an id, or have none, each get the most copies of any of them. A column
+    ``copies`` of ``docs`` is replaced.
+    """
+    doc_id, name = how.get("doc_id", "doc_id"), free_name(docs, "taken_id")
+    taken = mix_sources(docs, **how).filter("taken > 0").groupBy(F.col("doc_id").alias(name)).agg(
+        F.max(F.col("taken") / F.col("size")).cast("int").alias("copies")
     )
-    return docs.join(taken, F.col("doc_id") == F.col("_id")).drop("_id")
+    return docs.drop("copies").join(taken, F.col(doc_id).eqNullSafe(F.col(name))).drop(name)

@@ -2,6 +2,8 @@ import hashlib
 import re
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from taxoloom.llm.exact_dedup import Trie, drop_exact, exact_owners
 from taxoloom.llm.graph import components
 from taxoloom.llm.near_dedup import drop_near, near_components, signature, shingles
@@ -69,6 +71,20 @@ def test_empty_table_and_columns_kept(frame):
     assert kept.columns == ["doc_id", "text", "bucket", "u", "kept"] and {r["doc_id"] for r in kept.collect()} == {2, 3}
 
 
+def test_drops_lose_no_text_of_shared_or_missing_ids(frame):
+    rows = [(1, "a"), (None, "a "), (None, "only here"), (None, None), (2, "b"), (2, "a"), (3, "b"), (4, "only here ")]
+    docs = frame(rows).withColumn("gone", F.lit(1)).withColumn("_Gone", F.lit(2))
+    kept = drop_exact(docs)
+    assert kept.columns == docs.columns
+    # Id 3 goes (2 owns its text), as does 1 (the longer "a " owns it); the others hold a text of their own.
+    left = kept.collect()
+    assert sorted((r["doc_id"] or 0) for r in left) == [0, 0, 0, 2, 2, 4]
+    assert {(r["text"] or "").strip() for r in left} == {"a", "b", "only here", ""}
+    near = drop_near(docs)
+    assert near.columns == docs.columns and near.filter("doc_id IS NULL").count() == 3
+    assert {r["doc_id"] for r in near.collect() if r["doc_id"]} >= {1, 2}
+
+
 # near copies
 
 

@@ -143,6 +143,13 @@ def test_mix_meets_its_targets(spark, prose):
     assert mix_sources(docs.filter("false")).count() == 0
     assert mix_sources(docs.filter("text IS NULL OR text = ''")).agg(F.sum("taken")).first()[0] == 0
     assert mixed(docs.filter("doc_id > 0")).columns == [*docs.columns, "copies"]
+    clash = docs.withColumn("copies", F.lit("x")).withColumn("taken_id", F.lit(1))
+    mix = mixed(clash)
+    assert mix.columns == [*docs.columns, "taken_id", "copies"]
+    # Rows that share id 0 do not multiply; the row without an id may be taken too.
+    want = {r["doc_id"] for r in got if r["taken"] > 0}
+    rows_of = Counter(r["doc_id"] for r in clash.collect() if r["doc_id"] in want)
+    assert Counter(r["doc_id"] for r in mix.collect()) == rows_of
 
 
 def test_url_rules_and_propagation(spark):
