@@ -4,7 +4,7 @@ A page becomes a tree of its elements. Menus, forms, scripts and other parts tha
 article text are cut off. Every remaining node gets its link-adjusted number of characters per tag,
 and the sum of its children's densities. The node with the largest sum leads to the threshold: the
 smallest density on the way from it to the body. Subtrees that reach the threshold give their
-node with the largest sum, or the article element around it, and its text is the page's text.
+node with the largest sum, and its text is the page's text.
 
 Pages are independent, so the work is one pass over the table without a shuffle.
 """
@@ -178,22 +178,12 @@ def _chosen(body: _Node) -> list[_Node]:
     while stack:
         node = stack.pop()
         if node.density >= threshold and node.chars:
-            found.append(_whole(max(_in_order(node), key=lambda n: n.sum) if node.sum else node))
+            found.append(max(_in_order(node), key=lambda n: n.sum) if node.sum else node)
         else:
             stack += [c for c in reversed(node.children) if isinstance(c, _Node) and not c.cut]
     return found
 
 
-def _whole(node: _Node) -> _Node:
-    """The element that the page itself marks as the article around a node, or the node."""
-    above = node
-    while above is not None:
-        if above.tag in ("article", "main"):
-            return above
-        above = above.parent
-    return node
-
-
 def _blocks(top: _Node) -> list[str]:
     out: list[str] = []
     parts: list[str] = []

@@ -201,3 +201,10 @@ def test_pipeline_agrees_with_its_operators(spark, tables):
             if tuple(w[k : k + 13]) in windows:
                 hit |= set(range(k, k + 13))
         assert not hit or 20 * len(hit) < len(w)
+
+
+def test_main_text_leaves_out_what_main_wraps_beside_the_article():
+    p = "<p>" + "Plain words of the article go on for a while. " * 4 + "</p>"
+    teasers = "<ul class=latest>" + "".join(f"<li><a href=/{k}>Short teaser {k}</a></li>" for k in range(8)) + "</ul>"
+    para = ("Plain words of the article go on for a while. " * 4).strip()
+    assert main_text(f"<body><main><div>{p * 3}</div>{teasers}</main></body>") == "\n\n".join([para] * 3)
