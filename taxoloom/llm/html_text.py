@@ -3,8 +3,8 @@
 A page becomes a tree of its elements. Menus, forms, scripts and other parts that are never
 article text are cut off. Every remaining node gets its link-adjusted number of characters per tag,
 and the sum of its children's densities. The node with the largest sum leads to the threshold: the
-smallest density on the way from it to the body. Subtrees that reach the threshold give their
-node with the largest sum, and its text is the page's text.
+smallest density on the way from it to the body. Subtrees that reach the threshold each give their
+node with the largest sum; their texts, with the headings that open them, are the page's text.
 
 Pages are independent, so the work is one pass over the table without a shuffle.
 """
@@ -40,6 +40,7 @@ SIBLINGS = {
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
     "tfoot": {"thead", "tbody", "tr", "td", "th"},
 }
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SCOPES = set("html body table ul ol dl div section article aside main nav header footer form".split())
 PARTS = set(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -51,12 +52,14 @@ _BLANK = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = (
+        "tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "blocks", "density", "sum", "best"
+    )
 
     def __init__(self, tag: str, parent: _Node | None, cut: bool = False):
         self.tag, self.parent, self.cut, self.children = tag, parent, cut, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.sum = 0.0
+        self.blocks, self.density, self.sum, self.best = False, 0.0, 0.0, self
 
 
 def _is_part(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
@@ -141,47 +144,119 @@ def _ratio(a: float, b: float) -> float:
     return a / (b or 1)
 
 
-def _measure(body: _Node) -> list[_Node]:
-    """Set every node's counts, density and sum of densities."""
+def _count(node: _Node, link: bool) -> None:
+    """Set a node's counts from those of its children."""
+    own = sum(len(_BLANK.sub("", c)) for c in node.children if isinstance(c, str))
+    below = [c for c in node.children if isinstance(c, _Node) and not c.cut]
+    node.chars = own + sum(c.chars for c in below)
+    node.tags = sum(c.tags + 1 for c in below)
+    node.link_tags = sum(c.link_tags + (c.tag == "a") for c in below)
+    node.link_chars = node.chars if link else sum(c.link_chars for c in below)
+    node.blocks = any(c.tag not in INLINE or c.blocks for c in below)
+
+
+def _weigh(node: _Node, share: float) -> None:
+    """Set a node's density; ``share`` of the page's characters are in links."""
+    plain = _ratio(node.chars, node.tags)
+    base = math.log(_ratio(node.chars, node.chars - node.link_chars) * node.link_chars + share * node.chars + math.e)
+    if base > 1 and node.chars:
+        # Characters and tags per link character and link tag; the more links a page has, the less they count for.
+        weight = math.log(_ratio(node.chars, node.link_chars) * max(_ratio(node.tags, node.link_tags), 1)) / math.log(base)
+        plain *= max(weight, 0.0)
+    node.density = plain
+
+
+def _measure(body: _Node) -> None:
+    """Set every node's counts, density, sum of densities, and the node with the largest sum in its subtree."""
     nodes = _in_order(body)
-    links = {id(n) for n in nodes if n.tag == "a"}
     for node in reversed(nodes):
-        own = sum(len(_BLANK.sub("", c)) for c in node.children if isinstance(c, str))
-        below = [c for c in node.children if isinstance(c, _Node) and not c.cut]
-        node.chars = own + sum(c.chars for c in below)
-        node.tags = sum(c.tags + 1 for c in below)
-        node.link_tags = sum(c.link_tags + (id(c) in links) for c in below)
-        node.link_chars = node.chars if id(node) in links else sum(c.link_chars for c in below)
+        _count(node, node.tag == "a")
     share = _ratio(body.link_chars, body.chars)
     for node in reversed(nodes):
-        plain = _ratio(node.chars, node.tags)
-        base = math.log(_ratio(node.chars, node.chars - node.link_chars) * node.link_chars + share * node.chars + math.e)
-        if base > 1 and node.chars:
-            # Characters and tags per link character and link tag; the more links a page has, the less they count for.
-            weight = math.log(_ratio(node.chars, node.link_chars) * max(_ratio(node.tags, node.link_tags), 1)) / math.log(base)
-            plain *= max(weight, 0.0)
-        node.density = plain
+        _weigh(node, share)
+        below = [c for c in node.children if isinstance(c, _Node) and not c.cut]
         # Formatting inside a line is no part of the page's layout: it counts as tags, not as a subtree.
-        node.sum = sum(c.density for c in node.children if isinstance(c, _Node) and not c.cut and c.tag not in INLINE)
-    return nodes
+        node.sum = sum(c.density for c in below if c.tag not in INLINE)
+        node.best = max([node, *(c.best for c in below)], key=lambda n: n.sum)
+
+
+def _parts(node: _Node, share: float) -> list[_Node]:
+    """A node's children that are not cut off; texts and formatting between them stand together as one subtree."""
+    if not node.blocks:
+        return []
+    out: list[_Node] = []
+    run: list = []
+
+    def end():
+        if run:
+            loose = _Node("#run", node)
+            loose.children = list(run)
+            _count(loose, False)
+            _weigh(loose, share)
+            if loose.chars:
+                out.append(loose)
+        run.clear()
+
+    for child in node.children:
+        if isinstance(child, str) or child.tag in INLINE and not child.blocks:
+            run.append(child)
+        else:
+            end()
+            if not child.cut:
+                out.append(child)
+    end()
+    return out
+
+
+def _opened(part: _Node) -> list[_Node]:
+    """Headings that open a section for what follows a node beside it."""
+    among = part.children if part.tag in ("header", "hgroup") else [part]
+    return [n for n in among if isinstance(n, _Node) and n.tag in HEADINGS and n.chars and not n.cut]
+
+
+def _starts_with(node: _Node) -> str:
+    """The tag of the heading that a subtree starts with; a tag behind all headings without one."""
+    while node.tag not in HEADINGS:
+        first = next((c for c in node.children if (c.strip() if isinstance(c, str) else c.chars and not c.cut)), "")
+        if isinstance(first, str):
+            return "h7"
+        node = first
+    return node.tag
 
 
 def _chosen(body: _Node) -> list[_Node]:
-    """The subtrees whose text is the article, in page order."""
-    nodes = _measure(body)
-    best = max(nodes, key=lambda n: n.sum)
-    threshold, node = best.density, best
+    """The subtrees whose text is the article, in page order.
+
+    Each subtree that reaches the threshold gives its node with the largest sum, and so do those
+    beside and below it that are not inside such a node. A heading goes with the subtrees whose
+    section it opens: those after it inside its parent, up to a heading of its rank.
+    """
+    _measure(body)
+    threshold, node = body.best.density, body.best
     while node is not body:
         node = node.parent
         threshold = min(threshold, node.density)
-    found, stack = [], [body]
+    share = _ratio(body.link_chars, body.chars)
+    marked: set[int] = set()
+    order: dict[_Node, int] = {}
+    found: dict[_Node, None] = {}
+    stack: list[tuple[_Node, tuple[_Node, ...]]] = [(body, ())]
     while stack:
-        node = stack.pop()
+        node, opened = stack.pop()
+        order[node] = len(order)
         if node.density >= threshold and node.chars:
-            found.append(max(_in_order(node), key=lambda n: n.sum) if node.sum else node)
-        else:
-            stack += [c for c in reversed(node.children) if isinstance(c, _Node) and not c.cut]
-    return found
+            marked.add(id(node.best))
+        if id(node) in marked:
+            first = _starts_with(node)
+            found.update(dict.fromkeys([*(h for h in opened if h.tag < first), node]))
+            continue
+        below = []
+        for part in _parts(node, share):
+            below.append((part, opened))
+            for heading in _opened(part):
+                opened = (*(h for h in opened if h.tag < heading.tag), heading)
+        stack += reversed(below)
+    return sorted(found, key=order.__getitem__)
 
 
 def _blocks(top: _Node) -> list[str]:
@@ -220,7 +295,7 @@ def main_text(html: str | None) -> str:
     tree.close()
     nodes = _in_order(tree.root)
     body = next((n for n in nodes if n.tag == "body"), tree.root)
-    return "\n\n".join(block for node in dict.fromkeys(_chosen(body)) for block in _blocks(node))
+    return "\n\n".join(block for node in _chosen(body) for block in _blocks(node))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -208,3 +208,17 @@ def test_main_text_leaves_out_what_main_wraps_beside_the_article():
     teasers = "<ul class=latest>" + "".join(f"<li><a href=/{k}>Short teaser {k}</a></li>" for k in range(8)) + "</ul>"
     para = ("Plain words of the article go on for a while. " * 4).strip()
     assert main_text(f"<body><main><div>{p * 3}</div>{teasers}</main></body>") == "\n\n".join([para] * 3)
+
+
+def test_main_text_joins_all_subtrees_that_reach_the_threshold():
+    def p(c):
+        return f"<p>{c * 200}</p>"
+
+    split = f"<div>{p('a') * 3}</div><div>{p('b') * 3}</div>"
+    whole = ["a" * 200] * 3 + ["b" * 200] * 3
+    assert main_text(f"<body>{split}</body>") == "\n\n".join(whole)
+    page = f"<body><h1>Head</h1><div class=date>Today</div>{split}<h2>More</h2><h2>Next</h2><div><div>{p('c')}</div></div><h2>End</h2></body>"
+    assert main_text(page) == "\n\n".join(["Head", *whole, "Next", "c" * 200])
+    # Text without an element of its own, and a subtree below one that does not reach the threshold.
+    thin = "<div>" + "<i></i>" * 400 + f"<div>{p('d')}</div></div>"
+    assert main_text(f"<body>{'e' * 300}<div>{p('a') * 3}</div>{thin}</body>") == "\n\n".join(["e" * 300, *whole[:3], "d" * 200])
