@@ -24,7 +24,7 @@ from .common import mod_of_id, prepare, without_ids
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Documents whose crc32 of the id has this remainder are held out of training.
 FOLDS, HELD_OUT = 4, 2
-#: Labelled documents per language that the pieces are fitted on (expected number, drawn by hash).
+#: Distinct labelled texts per language that the pieces are fitted on (expected number, drawn by hash).
 LEARN_DOCUMENTS = 1000
 ITERATIONS = 3
 UNDECIDED = "und"
@@ -34,6 +34,7 @@ _WORDS_HELD = 400_000
 #: Probability of a character that no piece has, and weight of a piece not seen in a language.
 _UNKNOWN, _PSEUDO = 1e-7, 0.01
 _BASE = np.uint64(0x100000001B3)
+_LETTER = "\\p{L}"
 
 
 def read_pieces(path: str = VOCABULARY) -> list[str]:
@@ -158,21 +159,35 @@ class LanguageModel:
         self.langs, self.pieces, self.weights, self.prior = langs, pieces, weights, prior
 
 
+def draw(labelled: DataFrame, documents: int) -> tuple[DataFrame, dict[str, int]]:
+    """About ``documents`` distinct texts of each language (``lang, text``), or all of fewer, and the languages' rows.
+
+    Texts are drawn by their hash and stay once each, so copies neither add to a language's
+    texts nor keep others out. Texts without a letter are never judged, so none is drawn.
+    """
+    rows = labelled.filter("lang IS NOT NULL").select("text", "lang").filter(F.col("text").rlike(_LETTER))
+    hashed = F.xxhash64("text")
+    found = (
+        rows.groupBy("lang", hashed.alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).orderBy("lang").collect()
+    )
+    whole = 1 << 40
+    shares = [F.lit(x) for r in found for x in (r["lang"], min(whole, -(-documents * whole // r["texts"])))]
+    share = F.create_map(*shares)[F.col("lang")] if shares else F.lit(0)
+    return rows.filter(F.pmod(hashed, F.lit(whole)) < share).select("lang", "text").distinct(), {r["lang"]: r["n"] for r in found}
+
+
 def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, documents: int = LEARN_DOCUMENTS) -> LanguageModel:
     """Fit piece probabilities on ``text`` and non-null ``lang`` of ``labelled``.
 
-    About ``documents`` rows of each language are used, drawn by a hash of the text, so a language
-    with a large share of the rows costs no more than another. The number of languages is assumed
-    to be that of a label set.
+    About ``documents`` distinct texts of each language are used, so a language with a large share
+    of the rows costs no more than another. The number of languages is assumed to be that of a
+    label set. Without a labelled text that has a letter and a piece, the model has no languages.
     """
-    rows = labelled.filter("lang IS NOT NULL").select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
     pieces = read_pieces(vocabulary)
-    if not sizes:
-        return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0))
-    whole = 1 << 20
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(whole, -(-documents * whole // n)))])
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(whole)) < share[F.col("lang")])
+    drawn, sizes = draw(labelled, documents)
+    if not sizes or not pieces:
+        return LanguageModel([], [], np.zeros((1, 0)), np.zeros(0))
     words = settle(
         drawn.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")),
         "words",
@@ -190,6 +205,8 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, documents: int = LEAR
         weights = {lang: np.append((t + _PSEUDO) / (t.sum() + _PSEUDO * len(t)), 0.0) for lang, t in totals.items()}
     # A piece that no language uses has nearly the same weight in all of them: leave it out.
     used = np.flatnonzero(sum(totals.values()) > 1e-6)
+    if not len(used):
+        return LanguageModel([], [], np.zeros((1, 0)), np.zeros(0))
     table = np.vstack([np.stack([weights[lang][used] for lang in sizes], 1), np.zeros((1, len(sizes)))])
     prior = np.log(np.array(list(sizes.values())) / sum(sizes.values()))
     return LanguageModel(list(sizes), [pieces[k] for k in used], table, prior)
@@ -247,7 +264,7 @@ def identify(docs: DataFrame, model: LanguageModel, held: Column, text: str = "t
     prepare(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"),
-        F.col(text).cast("string").alias("text"), F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("letter"),
+        F.col(text).cast("string").alias("text"), F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias("letter"),
     )
     return rows.mapInArrow(partial(_predict, model=model), "doc_id long, held_out boolean, lang_pred string, score double")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from taxoloom.llm.decontaminate import contamination, contamination_digest, drop_contaminated, without_hits
 from taxoloom.llm.html_text import extract_text, main_text
-from taxoloom.llm.language_id import PieceTable, drop_undecided, log_likelihoods, predict_languages
+from taxoloom.llm.language_id import PieceTable, draw, drop_undecided, fit, identify, log_likelihoods, predict_languages
 from taxoloom.llm.license_scan import TEMPLATES, scan_licenses
 from taxoloom.llm.source_mix import mix_sources, mixed
 from taxoloom.llm.url_filter import judge_urls
@@ -222,3 +222,17 @@ def test_main_text_joins_all_subtrees_that_reach_the_threshold():
     # Text without an element of its own, and a subtree below one that does not reach the threshold.
     thin = "<div>" + "<i></i>" * 400 + f"<div>{p('d')}</div></div>"
     assert main_text(f"<body>{'e' * 300}<div>{p('a') * 3}</div>{thin}</body>") == "\n\n".join(["e" * 300, *whole[:3], "d" * 200])
+
+
+def test_copies_do_not_decide_what_languages_are_learned_from(spark, frame, prose):
+    other = ["der", "die", "und", "ist", "nicht", "ein", "ich", "sie", "mit", "auf", "für", "werden"]
+    rows = [(k, prose(k % 10, 40, other), "de") for k in range(6000)] + [(9000 + k, prose(100 + k, 40), "en") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = identify(docs, fit(docs, documents=20), F.lit(False)).collect()
+    assert {(r["doc_id"] < 9000, r["lang_pred"]) for r in got} == {(True, "de"), (False, "en")}
+    drawn = Counter(r["lang"] for r in draw(docs, 20)[0].collect())
+    assert drawn["de"] == 10 and 5 <= drawn["en"] <= 40
+    # Copies of a text that is drawn do not come along, and labelled rows without words teach nothing.
+    assert draw(docs.filter("doc_id % 10 = 0 AND doc_id < 9000"), 1)[0].count() == 1
+    blank = frame([(1, " "), (2, "some words"), (3, None)]).withColumn("lang", F.when(F.col("doc_id") != 2, "en"))
+    assert [(r["lang_pred"], r["score"]) for r in predict_languages(blank).collect()] == [("und", 0.0)] * 3
