@@ -19,7 +19,7 @@ RULES = (
 )
 #: Share of a host's rank that it passes on; a host is blocked from this share of distrust in its rank.
 DAMPING, BLOCKED_FROM = 0.85, 0.5
-#: The loop ends when no round moves more than this.
+#: The loop ends when no host's rank moves by more than this share of it.
 TOLERANCE = 1e-4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ADDRESS = "(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -58,7 +58,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
     """``kind, host, rank`` of every host that trust (kind 0) or distrust (kind 1) reaches.
 
     ``seeds`` has ``kind, host``. What a host without edges would pass on is lost. A round
-    is a join and a sum, written to the shared folder; rounds end when ranks settle.
+    is a join and a sum, written to the shared folder; rounds end when every host's rank settles
+    relative to itself, so a host that is newly reached asks for another round, and the number of
+    seeds does not matter.
     """
     both = edges.select(F.lit(0).alias("kind"), "src", "dst", "weight").unionByName(
         edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -80,7 +82,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
             moved.unionByName(base).unionByName(last).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")),
             "ranks",
         )
-        change = after.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        change = after.agg(F.max(F.when(F.col("rank") > 0, F.abs(F.col("rank") - F.col("old")) / F.col("rank")))).first()[0] or 0.0
         ranks = after.select("kind", "host", "rank")
         if change < tolerance:
             return ranks

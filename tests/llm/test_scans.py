@@ -236,3 +236,12 @@ def test_copies_do_not_decide_what_languages_are_learned_from(spark, frame, pros
     assert draw(docs.filter("doc_id % 10 = 0 AND doc_id < 9000"), 1)[0].count() == 1
     blank = frame([(1, " "), (2, "some words"), (3, None)]).withColumn("lang", F.when(F.col("doc_id") != 2, "en"))
     assert [(r["lang_pred"], r["score"]) for r in predict_languages(blank).collect()] == [("und", 0.0)] * 3
+
+
+def test_url_verdicts_do_not_depend_on_the_number_of_seeds(spark):
+    chain = [(k, f"http://h{k}.example.com/", f'<a href="http://{"s0.net" if k == 1 else f"h{k - 1}.example.com"}/">t</a>') for k in range(1, 7)]
+    linked = spark.createDataFrame(chain, "page_id long, url string, html string")
+    for seeds in (10, 30_000):
+        alone = spark.range(seeds).select((F.col("id") + 100).alias("page_id"), F.format_string("http://s%d.net/", "id").alias("url"), F.lit("").alias("html"))
+        got = judge_urls(linked.unionByName(alone)).filter("page_id < 100").collect()
+        assert len(got) == 6 and all(r["verdict"] == "block" for r in got)
