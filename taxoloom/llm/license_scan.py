@@ -4,11 +4,12 @@ Templates are texts that a person keeps, so their inverted index is small and tr
 tasks. A template's fingerprints are the smallest of every few neighbouring word-run hashes; a text
 that repeats enough of the template shares some of them. Hits that lie on nearly the same diagonal
 are one candidate, and an alignment inside a band around it finds how many of the template's
-words are there, and where. Documents are independent: one pass, no shuffle.
+words are there, and where; what lies beside a match is aligned again. Documents are independent: one pass, no shuffle.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 from itertools import repeat
@@ -73,35 +74,43 @@ def winnow(hashes: np.ndarray, neighbours: int) -> np.ndarray:
 class TemplateIndex:
     """Words and fingerprints of all templates."""
 
-    def __init__(self, templates: dict[str, str], run: int = RUN, neighbours: int = NEIGHBOURS):
+    def __init__(
+        self, templates: dict[str, str], run: int = RUN, neighbours: int = NEIGHBOURS, percent: int = COVERAGE_PERCENT
+    ):
         self.names = sorted(templates)
-        self.run, self.neighbours = run, neighbours
         self.vocab: dict[bytes, int] = {}
         self.words = [
             np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(templates[n].encode())], np.int64)
             for n in self.names
         ]
-        found: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, words in enumerate(self.words):
-            hashes = windows(words.astype(np.uint64), min(run, len(words))) if len(words) else np.zeros(0, np.uint64)
-            for at in winnow(hashes, neighbours).tolist():
-                found.setdefault(int(hashes[at]), []).append((k, at))
-        self.postings = found
-        self.keys = np.array(sorted(found), np.uint64)
+            if not len(words):
+                continue
+            # A text with as few of the words as count, none added, has a stretch of this many in a row.
+            least = max(-(-percent * len(words) // 100), 1)
+            whole = -(-least // (len(words) - least + 1))
+            size = min(run, whole)
+            hashes = windows(words.astype(np.uint64), size)
+            for at in winnow(hashes, max(min(neighbours, whole - size + 1), 1)).tolist():
+                found.setdefault(size, {}).setdefault(int(hashes[at]), []).append((k, at))
+        self.postings = {size: (np.array(sorted(hashes), np.uint64), hashes) for size, hashes in sorted(found.items())}
 
     def hits(self, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """For each template, places in the text and in the template of equal fingerprints."""
         out: dict[int, list[tuple[int, int]]] = {}
-        # Only runs of words that templates have can be fingerprints of templates.
-        inside = np.lib.stride_tricks.sliding_window_view(codes > 0, self.run).all(axis=1)
-        places = np.flatnonzero(inside)
-        if not len(places) or not len(self.keys):
-            return out
-        hashes = windows(codes.astype(np.uint64), self.run)[places]
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        for k in np.flatnonzero(self.keys[at] == hashes).tolist():
-            for template, place in self.postings[int(hashes[k])]:
-                out.setdefault(template, []).append((int(places[k]), place))
+        for size, (keys, postings) in self.postings.items():
+            if len(codes) < size:
+                continue
+            # Only runs of words that templates have can be fingerprints of templates.
+            places = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(codes > 0, size).all(axis=1))
+            if not len(places):
+                continue
+            hashes = windows(codes.astype(np.uint64), size)[places]
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            for k in np.flatnonzero(keys[at] == hashes).tolist():
+                for template, place in postings[int(hashes[k])]:
+                    out.setdefault(template, []).append((int(places[k]), place))
         return out
 
 
@@ -136,8 +145,6 @@ def scan_words(index: TemplateIndex, words: list[bytes], percent: int, band: int
 
     Of matches that overlap, the one with more matched words stays, then the one with the higher coverage.
     """
-    if len(words) < index.run:
-        return []
     codes = np.fromiter(map(index.vocab.get, words, repeat(0)), np.int64, len(words))
     found = []
     for template, hits in index.hits(codes).items():
@@ -154,18 +161,39 @@ def scan_words(index: TemplateIndex, words: list[bytes], percent: int, band: int
             else:
                 groups.append([(place, at)])
         for group in groups:
-            diagonals = sorted(place - at for place, at in group)
-            middle = diagonals[len(diagonals) // 2]
-            low = max(middle - band, 0)
-            text = codes[low : middle + len(pattern) + band + 1].tolist()
-            matched, start, stop = align(pattern, text, middle - low, band)
-            if 100 * matched >= percent * len(pattern):
-                found.append((index.names[template], matched, matched / len(pattern), low + start, low + stop))
+            for matched, start, stop in _spans(pattern, codes, group, percent, band):
+                found.append((index.names[template], matched, matched / len(pattern), start, stop))
     out: list[tuple[str, int, float, int, int]] = []
+    starts: list[int] = []
     for match in sorted(found, key=lambda m: (-m[1], -m[2], m[3], m[0])):
-        if all(match[4] <= other[3] or match[3] >= other[4] for other in out):
-            out.append(match)
-    return sorted(out, key=lambda m: m[3])
+        at = bisect_right(starts, match[3])
+        if (not at or out[at - 1][4] <= match[3]) and (at == len(out) or match[4] <= out[at][3]):
+            starts.insert(at, match[3])
+            out.insert(at, match)
+    return out
+
+
+def _spans(pattern: list[int], codes: np.ndarray, hits: list[tuple[int, int]], percent: int, band: int):
+    """Matched words, start and stop of all matches of one candidate: the best one, then those left and right of it."""
+    pending = [(hits, 0, len(codes))]
+    while pending:
+        hits, low, high = pending.pop()
+        if not hits:
+            continue
+        diagonals = sorted(place - at for place, at in hits)
+        middle = diagonals[len(diagonals) // 2]
+        first = max(middle - band, low)
+        text = codes[first : max(min(middle + len(pattern) + band + 1, high), first)].tolist()
+        matched, start, stop = align(pattern, text, middle - first, band)
+        start, stop = first + start, first + stop
+        if 100 * matched >= percent * len(pattern):
+            yield matched, start, stop
+            pending.append(([h for h in hits if h[0] < start], low, start))
+            pending.append(([h for h in hits if h[0] >= stop], stop, high))
+        elif diagonals[-1] - diagonals[0] > band:
+            # The band around the middle does not hold all of them.
+            pending.append(([h for h in hits if h[0] - h[1] < middle], low, high))
+            pending.append(([h for h in hits if h[0] - h[1] > middle], low, high))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], index: TemplateIndex, percent: int, band: int):
@@ -195,14 +223,14 @@ def scan_licenses(
     Words are runs of ASCII letters and digits and of characters beyond ASCII, with A-Z
     lower-cased. ``coverage`` is the share of the template's words that the alignment matched, at
     least ``percent`` of 100; the span is in words of the document, its end exclusive. A notice
-    that occurs again is another match.
+    that occurs again is another match, also right after the first.
 
     A null or empty text and one without notices has no row. A null id is kept. Rows that repeat a
-    document are scanned each. An empty table, or no templates, gives no rows. Templates shorter than
-    a hashed run cannot match. Other columns are not read.
+    document are scanned each. An empty table, or no templates, gives no rows. Short
+    templates have shorter hashed runs, so that one with missing words is still found. Other columns are not read.
     """
     prepare(docs.sparkSession)
-    index = TemplateIndex(TEMPLATES if templates is None else templates)
+    index = TemplateIndex(TEMPLATES if templates is None else templates, percent=percent)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(
         partial(_scan, index=index, percent=percent, band=band),

@@ -245,3 +245,16 @@ def test_url_verdicts_do_not_depend_on_the_number_of_seeds(spark):
         alone = spark.range(seeds).select((F.col("id") + 100).alias("page_id"), F.format_string("http://s%d.net/", "id").alias("url"), F.lit("").alias("html"))
         got = judge_urls(linked.unionByName(alone)).filter("page_id < 100").collect()
         assert len(got) == 6 and all(r["verdict"] == "block" for r in got)
+
+
+def test_license_notices_that_adjoin_or_miss_words(frame):
+    mit, nc, gpl, apache = (TEMPLATES[k] for k in ("MIT", "CC-BY-NC-4.0", "GPL-3.0", "Apache-2.0 header"))
+    rows = [(1, " ".join([mit] * 40)), (2, f"a: {mit} b and c: {mit} d: {nc} {nc} e: {mit}"), (3, "It is Released under MIT License here"),
+            (4, f"{gpl} {gpl} x {gpl}"), (5, f"{apache} {apache}"), (6, f"Released the MIT License. {mit}"), (7, "released")]
+    got = {}
+    for r in scan_licenses(frame(rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["first_word"], r["license"], r["matched"]))
+    assert sorted(got[1]) == [(5 * k, "MIT", 5) for k in range(40)]
+    assert [x[1] for x in sorted(got[2])] == ["MIT", "MIT", "CC-BY-NC-4.0", "CC-BY-NC-4.0", "MIT"]
+    assert got[3] == [(2, "MIT", 4)] and sorted(got[6]) == [(0, "MIT", 4), (4, "MIT", 5)] and 7 not in got
+    assert [x[1] for x in got[4]] == ["GPL-3.0"] * 3 and [x[1] for x in got[5]] == ["Apache-2.0 header"] * 2
