@@ -271,14 +271,25 @@ def identify(docs: DataFrame, model: LanguageModel, held: Column, text: str = "t
 
 def predict_languages(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``identify`` with a model fitted on the documents whose crc32 of the id, modulo 4, is not 2."""
+    return _learned(docs, vocabulary)[0]
+
+
+def _learned(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, LanguageModel]:
     prepare(docs.sparkSession)
     held = mod_of_id("doc_id", FOLDS) == HELD_OUT
-    return identify(docs, fit(docs.filter(~held), vocabulary), held)
+    model = fit(docs.filter(~held), vocabulary)
+    return identify(docs, model, held), model
 
 
 def drop_undecided(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` without documents in no language; columns as they were.
 
-    Rows that share an id, or have none, go only if none of them is in a language.
+    If no language was learned, documents with a letter stay. Rows that share an id, or have none, go
+    only if none of them is in a language.
     """
-    return without_ids(docs, predict_languages(docs, vocabulary), F.col("lang_pred") == UNDECIDED, "doc_id")
+    judged, model = _learned(docs, vocabulary)
+    out = F.col("lang_pred") == UNDECIDED
+    if not model.langs:
+        judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").rlike(_LETTER), F.lit(False)).alias("letter"))
+        out = ~F.col("letter")
+    return without_ids(docs, judged, out, "doc_id")

@@ -258,3 +258,8 @@ def test_license_notices_that_adjoin_or_miss_words(frame):
     assert [x[1] for x in sorted(got[2])] == ["MIT", "MIT", "CC-BY-NC-4.0", "CC-BY-NC-4.0", "MIT"]
     assert got[3] == [(2, "MIT", 4)] and sorted(got[6]) == [(0, "MIT", 4), (4, "MIT", 5)] and 7 not in got
     assert [x[1] for x in got[4]] == ["GPL-3.0"] * 3 and [x[1] for x in got[5]] == ["Apache-2.0 header"] * 2
+
+
+def test_documents_stay_when_no_language_was_learned(frame):
+    docs = frame([(1, "some words"), (2, "123 !"), (3, None), (4, "more")]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in drop_undecided(docs).collect()) == [1, 4]
