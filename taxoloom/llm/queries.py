@@ -15,6 +15,7 @@ from .lm_score import score_texts
 from .near_dedup import near_components
 from .source_mix import mix_sources
 from .substring_dedup import repeats_digest
+from .token_align import align_tokens
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +81,8 @@ def op9(spark, sf_dir):
 @query("op10_exact_dedup")
 def op10(spark, sf_dir):
     return exact_owners(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_align")
+def op13(spark, sf_dir):
+    return align_tokens(table(spark, sf_dir, "documents"))
