@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_repeats import byte_repeats_digest
+from .collocations import collocations
 from .decontaminate import contamination_digest
 from .exact_dedup import exact_owners
 from .html_text import extract_text
@@ -83,6 +85,16 @@ def op10(spark, sf_dir):
     return exact_owners(table(spark, sf_dir, "documents"))
 
 
+@query("op11_byte_repeats")
+def op11(spark, sf_dir):
+    return byte_repeats_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations")
+def op12(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_token_align")
 def op13(spark, sf_dir):
     return align_tokens(table(spark, sf_dir, "documents"))

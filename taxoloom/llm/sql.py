@@ -100,3 +100,56 @@ f AS (SELECT *, sum(size) OVER (ORDER BY finish, k, pass, place, doc_id ROWS UNB
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN spent <= budget THEN size ELSE 0 END) AS BIGINT) AS taken
 FROM f, b GROUP BY doc_id, size, source_size, target
 """
+
+ORACLE["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p) WHERE len(w) > 0),
+tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (
+  SELECT lang, s, count(*) AS f FROM (
+    SELECT lang, w[i : i + m - 1] AS s FROM (
+      SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(m)))
+  GROUP BY lang, s HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.s, c.f AS a, x.f AS l, y.f AS r, k,
+         CAST((CAST(1000000 AS HUGEINT) * c.f * c.f) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len(s))) AS k FROM c WHERE len(s) > 1) c
+  JOIN c x ON x.lang = c.lang AND x.s = c.s[1:k] JOIN c y ON y.lang = c.lang AND y.s = c.s[k + 1 : len(c.s)]),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, s ORDER BY score, k) AS first FROM cuts) WHERE first = 1),
+around AS (
+  SELECT lang, s, max(f) AS most FROM (
+    SELECT lang, s[1:2] AS s, f FROM c WHERE len(s) = 3 UNION ALL SELECT lang, s[2:3], f FROM c WHERE len(s) = 3)
+  GROUP BY lang, s),
+kept AS (
+  SELECT best.lang, array_to_string(best.s, ' ') AS phrase, a, l, r, score
+  FROM best LEFT JOIN around ON around.lang = best.lang AND around.s = best.s WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT kept.*, n, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM kept JOIN tot ON tot.lang = kept.lang) WHERE rank <= 2000
+"""
+
+ORACLE["op11_byte_repeats"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+marked AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (
+    SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM late)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM marked GROUP BY doc_id, island),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM spans),
+cut AS (
+  SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop,
+         string_agg(substr(h, 2 * upto + 1, 2 * (a - upto)), '' ORDER BY a) AS kept
+  FROM gaps JOIN d ON d.doc_id = gaps.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN cut.doc_id IS NULL THEN h ELSE concat(kept, substr(h, 2 * stop + 1)) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
