@@ -18,6 +18,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,13 +79,27 @@ class TwoTokenizers:
         self.size_a = np.fromiter(map(len, self.bytes_a), np.int64, len(self.bytes_a))
         self.size_b = np.fromiter(map(len, self.bytes_b), np.int64, len(self.bytes_b))
 
+        # Every id as text with each of the signs that may follow it.
+        names = max(len(self.bytes_a), len(self.bytes_b))
+        signed = [str(i).encode() + sign for i in range(names) for sign in (b",", b"|", b";")]
+        self.signed = np.frombuffer(b"".join(signed), np.uint8)
+        self.signed_size = np.fromiter(map(len, signed), np.int64, len(signed))
+        self.signed_at = np.cumsum(self.signed_size) - self.signed_size
+
     def encode(self, pieces: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of pieces that begin with a blank; the second tokenizer adds that blank itself."""
         texts = [p.decode("utf-8", "replace") for p in pieces]
-        a = [e.ids for e in self.first.encode_batch(texts, add_special_tokens=False)]
+        a = [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)]
         b = self.second.encode([t[1:] for t in texts], num_threads=1) if texts else []
         return a, b
 
+    def spelled(self, pieces: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Which pieces both encodings spell byte by byte."""
+        return [
+            b"".join(map(self.bytes_a.__getitem__, x)) == p and b"".join(map(self.bytes_b.__getitem__, y)) == p
+            for p, x, y in zip(pieces, a, b)
+        ]
+
 
 @lru_cache(maxsize=1)
 def _tokenizers(byte_bpe: bytes, piece_bpe: bytes) -> TwoTokenizers:
@@ -110,35 +125,67 @@ def _pieces(buf: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> np.ndarr
     return np.union1d(cuts, starts[:-1])
 
 
+_OF_ONE_GO = 1 << 15
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
+
+
 class PieceLinks:
-    """Tokens, groups and links of the distinct pieces of a block, each as counts and one long array."""
+    """Tokens, groups and links of the distinct pieces of a block, each as counts and one long array.
+
+    ``texts`` are the groups of each piece as text, every group with its closing sign.
+    """
 
     def __init__(self, tokenizers: TwoTokenizers, pieces: list[bytes]):
+        parts = [self._some(tokenizers, pieces[k : k + _OF_ONE_GO]) for k in range(0, len(pieces), _OF_ONE_GO)]
+        *columns, texts = zip(*parts)
+        self.valid, self.n_a, self.n_b, self.n_links, self.pairs = map(np.concatenate, columns)
+        self.texts = [t for part in texts for t in part]
+
+    @staticmethod
+    def _some(tokenizers: TwoTokenizers, pieces: list[bytes]):
         a, b = tokenizers.encode(pieces)
-        spelled = [
-            b"".join(map(tokenizers.bytes_a.__getitem__, x)) == p and b"".join(map(tokenizers.bytes_b.__getitem__, y)) == p
-            for p, x, y in zip(pieces, a, b)
-        ]
-        self.valid = np.array(spelled, bool)
-        a = [x if ok else [] for x, ok in zip(a, spelled)]
-        b = [x if ok else [] for x, ok in zip(b, spelled)]
-        self.n_a = np.fromiter(map(len, a), np.int64, len(a))
-        self.n_b = np.fromiter(map(len, b), np.int64, len(b))
-        flat_a = np.fromiter((i for x in a for i in x), np.int64, int(self.n_a.sum()))
-        flat_b = np.fromiter((i for x in b for i in x), np.int64, int(self.n_b.sum()))
+        valid = np.ones(len(pieces), bool)
+        whole = b"".join(pieces)
+        (flat_a, n_a), (flat_b, n_b) = _flat(a), _flat(b)
         ends_a, ends_b = np.cumsum(tokenizers.size_a[flat_a]), np.cumsum(tokenizers.size_b[flat_b])
+        stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        same = all(
+            b"".join(map(spell.__getitem__, flat.tolist())) == whole and (np.append(0, ends)[np.cumsum(n)] == stops).all()
+            for spell, flat, ends, n in ((tokenizers.bytes_a, flat_a, ends_a, n_a), (tokenizers.bytes_b, flat_b, ends_b, n_b))
+        )
+        if not same:
+            # Pieces that are not spelled byte by byte have no tokens.
+            valid = np.array(tokenizers.spelled(pieces, a, b), bool)
+            a, b = ([x if ok else [] for x, ok in zip(ids, valid)] for ids in (a, b))
+            (flat_a, n_a), (flat_b, n_b) = _flat(a), _flat(b)
+            ends_a, ends_b = np.cumsum(tokenizers.size_a[flat_a]), np.cumsum(tokenizers.size_b[flat_b])
         # Pieces follow one another in both, so equal ends are common ends of one piece.
         _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        self.pairs = (flat_b[at_b] << _A) | flat_a[at_a]
-        owner = np.repeat(np.arange(len(pieces)), self.n_a)[at_a]
-        self.n_links = np.bincount(owner, minlength=len(pieces)).astype(np.int64)
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups, from_a, from_b = [], 0, 0
-        for to_a, to_b in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            groups.append(",".join(text_a[from_a:to_a]) + "|" + ",".join(text_b[from_b:to_b]))
-            from_a, from_b = to_a, to_b
-        stops = np.cumsum(self.n_links).tolist()
-        self.texts = [";".join(groups[x:y]) for x, y in zip([0, *stops[:-1]], stops)] if stops else []
+        owner = np.repeat(np.arange(len(pieces)), n_a)[at_a]
+        n_links = np.bincount(owner, minlength=len(pieces)).astype(np.int64)
+        pairs = (flat_b[at_b] << _A) | flat_a[at_a]
+        return valid, n_a, n_b, n_links, pairs, _group_texts(tokenizers, flat_a, flat_b, at_a, at_b, n_a + n_b)
+
+
+def _group_texts(tokenizers: TwoTokenizers, flat_a, flat_b, at_a, at_b, n_tokens: np.ndarray) -> list[bytes]:
+    """The groups of each piece: ids of the first tokenizer, then of the second, with the signs between them."""
+    sign_a, sign_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+    sign_a[at_a], sign_b[at_b] = 1, 2
+    # Tokens of the second tokenizer before a token's group, and of the first up to its group's end.
+    group_a = np.cumsum(sign_a > 0) - (sign_a > 0)
+    group_b = np.cumsum(sign_b > 0) - (sign_b > 0)
+    place_a = np.arange(len(flat_a)) + np.append(0, at_b + 1)[group_a]
+    place_b = np.arange(len(flat_b)) + (at_a + 1)[group_b] if len(flat_b) else flat_b
+    element = np.empty(len(flat_a) + len(flat_b), np.int64)
+    element[place_a], element[place_b] = 3 * flat_a + sign_a, 3 * flat_b + sign_b
+    sizes = tokenizers.signed_size[element]
+    text = tokenizers.signed[spread(tokenizers.signed_at[element], sizes)].tobytes()
+    stops = np.append(0, np.cumsum(sizes))[np.cumsum(n_tokens)].tolist()
+    return [text[x:y] for x, y in zip([0, *stops[:-1]], stops)]
 
 
 class Postings:
@@ -223,8 +270,9 @@ def _block_rows(number: int, ids: list, texts: list[bytes], tokenizers: TwoToken
 
     shas, stop = [], np.cumsum(np.where(valid, sizes, 0))
     for ok, x, y in zip(valid, stop - sizes, stop):
-        text = ";".join(map(links.texts.__getitem__, codes[x:y].tolist())) if ok else ""
-        shas.append(hashlib.sha256(text.encode()).hexdigest() if ok else "")
+        text = b"".join(map(links.texts.__getitem__, codes[x:y].tolist()))
+        # The sign after the last group is left out.
+        shas.append(hashlib.sha256(text[:-1]).hexdigest() if ok else "")
     n_links = per_doc(links.n_links)
     yield number, _BASE, dump(ids, per_doc(links.n_a), per_doc(links.n_b), n_links, shas)
     # One number per (pair, document), in the order of part, pair and document.
