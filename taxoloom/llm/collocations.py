@@ -37,9 +37,9 @@ CONTAINED_PERCENT = 50
 #: Phrases that are listed for each language.
 TOP = 2000
 #: Suffixes of the prefixes in one group.
-GROUP_SUFFIXES = 2_000_000
+GROUP_SUFFIXES = 500_000
 #: Bytes of text whose words meet in one part of the vocabulary.
-BYTES_PER_PART = 64 << 20
+BYTES_PER_PART = 16 << 20
 
 _BASE, _TOTALS, _VOCABULARY = -2, -1, -1
 _ID, _GROUP = 26, 24  # an id is the number of its part << 26 | rank, a group part << 24 | place
