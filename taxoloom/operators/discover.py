@@ -1,9 +1,10 @@
 """Automatic discovery of sub-concepts with a feature-weighted batch SOM.
 
-Every epoch is one Spark job: each partition assigns its rows to prototypes and
-returns at most one partial sum per prototype; the sums are combined in a
-shuffle of (tasks x prototypes) rows and the driver updates a matrix of at most
-400 prototypes.
+Equal rows are one weighted point, settled once as columnar blocks of places
+(index, cell), one per source column. Every epoch is one job of one stage: each
+task assigns its points to prototypes with dense products per block and returns
+one row of partial sums; the driver updates at most 400 prototypes. What moves per
+epoch is (running tasks x prototypes x features) numbers, whatever the rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .encode import Encoded, Feature, fit_encoder
+from ..plans.scratch import settle
+from .encode import Encoded, Span, SparseEncoded, fit_encoder
 from .restriction_search import (
     characterise,
     dedupe,
@@ -32,6 +34,8 @@ MAP_SIZES = (2, 20)
 EPOCHS = (5, 5000)
 # One full-batch weight step stands for the ten mini-batches of a pass.
 WEIGHT_STEP = 0.1
+#: Points of one packed block.
+BLOCK_POINTS = 1 << 16
 
 
 @dataclass
@@ -47,94 +51,131 @@ class WeightedSom:
         return 1.0 / (1.0 + np.exp(-self.weights))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-
 def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     safe = np.where(norm > 0, norm, 1.0)
     return m / safe, norm[:, 0]
 
 
+def _places(encoded: Encoded) -> DataFrame:
+    """The rows as ``indices`` and ``cells``; a dense row has a place for each feature."""
+    if isinstance(encoded, SparseEncoded):
+        return encoded.df
+    every = F.sequence(F.lit(0), F.lit(encoded.width - 1)) if encoded.width else F.array()
+    others = [F.col(f"`{c}`") for c in encoded.df.columns if c != "features"]
+    return encoded.df.select(*others, every.cast("array<int>").alias("indices"), F.col("features").alias("cells"))
+
+
+def _table(indices: pa.Array, cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of equal length as matrices; a missing index becomes place 0 with cell 0."""
+    n = len(indices)
+    at = indices.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return np.maximum(at, 0), cells.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
 def init_codebook(encoded: Encoded, map_size: int, seed: int) -> np.ndarray:
     """map_size² rows in hash order of their key and the seed, repeated when there are fewer."""
     cells = map_size * map_size
     order = F.md5(F.concat(F.col(f"`{encoded.key}`").cast("string"), F.lit(f"|{seed}")))
     rows = (
-        encoded.df.select("features", order.alias("h"), F.col(f"`{encoded.key}`").alias("k"))
+        _places(encoded).select("indices", "cells", order.alias("h"), F.col(f"`{encoded.key}`").alias("k"))
         .orderBy("h", "k")
         .limit(cells)
         .collect()
     )
-    picked = np.array([r["features"] for r in rows], dtype=float)
+    picked = np.zeros((len(rows), encoded.width))
+    for k, r in enumerate(rows):
+        for i, x in zip(r["indices"], r["cells"]):
+            if i >= 0:
+                picked[k, i] = x
     return np.resize(picked, (cells, encoded.width))
 
 
+def settle_points(encoded: Encoded) -> DataFrame:
+    """The distinct rows with their number, as columnar blocks of ``BLOCK_POINTS``, one row per block.
+
+    Equal rows are one weighted point, so an epoch costs what the distinct rows cost. There are as
+    many partitions as tasks can run at once, and an epoch sends one row per task to the driver.
+    """
+    rows = _places(encoded)
+    points = rows.groupBy("indices", "cells").agg(F.count(F.lit(1)).alias("w"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((*_table(batch.column(0), batch.column(1)), batch.column(2).to_numpy()))
+            size += batch.num_rows
+            if size >= BLOCK_POINTS:
+                yield _packed(held)
+                held, size = [], 0
+        if held:
+            yield _packed(held)
+
+    spread = points.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return settle(spread.mapInArrow(pack, "n int, indices binary, cells binary, w binary"), "points")
+
+
+def _packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    indices, cells, w = (np.concatenate(x) for x in zip(*parts))
+    columns = [pa.array([len(w)], pa.int32())]
+    columns += [pa.array([x.tobytes()], pa.binary()) for x in (indices.astype(np.int32), cells.astype(np.float64), w.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["n", "indices", "cells", "w"])
+
+
+def _likeness(at: np.ndarray, cells: np.ndarray, gate: np.ndarray, targets: np.ndarray):
+    """Directions of gated rows, their lengths, and their cosine with every prototype."""
+    y, norm = _unit_rows(cells * gate[at])
+    turned = np.ascontiguousarray(targets.T)
+    out = np.zeros((len(at), len(targets)))
+    for k in range(at.shape[1]):
+        # A number column has one index for all rows.
+        same = at[:1, k] if len(at) and (at[:, k] == at[0, k]).all() else at[:, k]
+        out += y[:, k, None] * turned[same]
+    return y, norm, out
+
+
 def _partial_sums(prototypes: np.ndarray, gate: np.ndarray):
-    """Per partition: (unit, n, Σ direction of its rows), and unit -1 with the weight gradient."""
+    """Per task: Σ direction and number of the rows of each unit, the weight gradient and the distance."""
     targets, _ = _unit_rows(prototypes)
-    cells, width = prototypes.shape
+    units, width = prototypes.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((cells, width))
-        count = np.zeros(cells, dtype=np.int64)
-        slope = np.zeros(width)
-        away, rows = 0.0, 0
-        for batch in batches:
-            x = _matrix(batch.column(0), width)
-            y, norm = _unit_rows(x * gate)
-            likeness = y @ targets.T
-            unit = likeness.argmax(axis=1)
-            cos = likeness[np.arange(len(unit)), unit]
-            owner = np.zeros((len(unit), cells))
-            owner[np.arange(len(unit)), unit] = 1.0
-            total += owner.T @ y
-            count += np.bincount(unit, minlength=cells)
+        total, count, slope = np.zeros(units * width), np.zeros(units, np.int64), np.zeros(width)
+        away = 0.0
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            at = np.frombuffer(row["indices"], np.int32).reshape(row["n"], -1)
+            x = np.frombuffer(row["cells"], np.float64).reshape(row["n"], -1)
+            w = np.frombuffer(row["w"], np.int64)
+            y, norm, like = _likeness(at, x, gate, targets)
+            unit = like.argmax(axis=1)
+            cos = like[np.arange(len(unit)), unit]
+            np.add.at(count, unit, w)
+            flat = (unit[:, None] * width + at).ravel()
+            total += np.bincount(flat, weights=(y * w[:, None]).ravel(), minlength=units * width)
             safe = np.where(norm > 0, norm, np.inf)
-            slope += (x * (targets[unit] - cos[:, None] * y) / safe[:, None]).sum(axis=0)
-            away += float((1.0 - cos).sum())
-            rows += len(unit)
-        used = np.flatnonzero(count)
-        units = np.append(used, -1)
-        sums = [row.tolist() for row in total[used]] + [slope.tolist() + [away]]
+            step = x * (targets[unit[:, None], at] - cos[:, None] * y) * (w / safe)[:, None]
+            slope += np.bincount(at.ravel(), weights=step.ravel(), minlength=width)
+            away += float(((1.0 - cos) * w).sum())
+        used = np.flatnonzero(total)
+        parts = [x.tobytes() for x in (used, total[used], count, slope)]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(units, pa.int32()),
-                pa.array(np.append(count[used], rows), pa.int64()),
-                pa.array(sums, pa.list_(pa.float64())),
-            ],
-            names=["unit", "n", "sums"],
+            [*(pa.array([x], pa.binary()) for x in parts), pa.array([away])], names=["at", "total", "count", "slope", "away"]
         )
 
     return run
 
 
-def _combined(partial: DataFrame, cells: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """The partial sums of all tasks added up per unit."""
-    # The number of rows travels as one more cell, so that the partial sums are read once.
-    cell = partial.select("unit", F.posexplode(F.concat(F.array(F.col("n").cast("double")), "sums")).alias("j", "x"))
-    found: dict[int, np.ndarray] = {}
-    for r in cell.groupBy("unit", "j").agg(F.sum("x").alias("x")).collect():
-        found.setdefault(r["unit"], np.zeros(cells + 1))[r["j"]] = r["x"] or 0.0
-    for unit, values in found.items():
-        yield unit, int(values[0]), values[1:]
-
-
-def _epoch(df: DataFrame, prototypes: np.ndarray, gate: np.ndarray):
-    width = prototypes.shape[1]
-    partial = df.select("features").mapInArrow(
-        _partial_sums(prototypes, gate), "unit int, n long, sums array<double>"
-    )
-    total, count = np.zeros_like(prototypes), np.zeros(len(prototypes), dtype=np.int64)
-    slope, away, rows = np.zeros(width), 0.0, 0
-    for unit, n, values in _combined(partial, width + 1):
-        if unit < 0:
-            slope, away, rows = values[:width], values[width], n
-        else:
-            total[unit], count[unit] = values[:width], n
-    return total, count, slope, away, rows
+def _epoch(points: DataFrame, prototypes: np.ndarray, gate: np.ndarray):
+    units, width = prototypes.shape
+    partial = points.mapInArrow(_partial_sums(prototypes, gate), "at binary, total binary, count binary, slope binary, away double")
+    total, count, slope, away = np.zeros(units * width), np.zeros(units, np.int64), np.zeros(width), 0.0
+    # One row per running task, in the order of the partitions.
+    for r in partial.collect():
+        total[np.frombuffer(r["at"], np.int64)] += np.frombuffer(r["total"])
+        count += np.frombuffer(r["count"], np.int64)
+        slope += np.frombuffer(r["slope"])
+        away += r["away"]
+    return total.reshape(units, width), count, slope, away, int(count.sum())
 
 
 def fit_wsom(
@@ -158,12 +199,12 @@ def fit_wsom(
     x, y = np.divmod(np.arange(cells), map_size)
     apart = (x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2
     first, second = np.zeros_like(weights), np.zeros_like(weights)
-    rows_df = encoded.df.persist()
+    points = settle_points(encoded).coalesce(encoded.df.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         prototypes = prototypes * som.gate
         for epoch in range(epochs):
             gate = som.gate
-            total, count, slope, away, rows = _epoch(rows_df, prototypes, gate)
+            total, count, slope, away, rows = _epoch(points, prototypes, gate)
             radius = max(0.5, (map_size / 2) * (1.0 - epoch / max(1, epochs - 1)))
             near = np.exp(-apart / (2 * radius * radius))
             mass = near @ count
@@ -179,7 +220,7 @@ def fit_wsom(
             som.weights = som.weights - WEIGHT_STEP * step / (spread + 1e-8)
             prototypes = moved
     finally:
-        rows_df.unpersist()
+        points.unpersist()
     som.prototypes = prototypes
     return som
 
@@ -187,26 +228,23 @@ def fit_wsom(
 def assign_bmu(encoded: Encoded, som: WeightedSom, keep: list[str] | None = None) -> DataFrame:
     """``(key, …keep, cluster)``: the best-matching unit of every row, x * map_size + y."""
     targets, _ = _unit_rows(som.prototypes)
-    gate, width = som.gate, encoded.width
+    gate = som.gate
     names = list(dict.fromkeys([encoded.key, *(keep or [])]))
-    raw = encoded.df.select(*[F.col(f"`{c}`") for c in names], "features")
+    raw = _places(encoded).select(*[F.col(f"`{c}`") for c in names], "indices", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y, _ = _unit_rows(_matrix(batch.column(len(names)), width) * gate)
-            unit = pa.array((y @ targets.T).argmax(axis=1), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], unit], names=[*names, "cluster"]
-            )
+            at, x = _table(batch.column(len(names)), batch.column(len(names) + 1))
+            _, _, like = _likeness(at, x, gate, targets)
+            unit = pa.array(like.argmax(axis=1), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], unit], names=[*names, "cluster"])
 
-    return raw.mapInArrow(run, raw.drop("features").withColumn("cluster", F.lit(0)).schema)
+    return raw.mapInArrow(run, raw.drop("indices", "cells").withColumn("cluster", F.lit(0)).schema)
 
 
-def select_best_column(features: list[Feature], gate) -> tuple[str | None, dict[str, float]]:
+def select_best_column(spans: list[Span], gate) -> tuple[str | None, dict[str, float]]:
     """Source column of the highest effective weight; a category counts its best value."""
-    weight: dict[str, float] = {}
-    for f in features:
-        weight[f.column] = max(weight.get(f.column, 0.0), float(gate[f.index]))
+    weight = {s.column: float(max(gate[s.start : s.start + s.size])) for s in spans if s.size}
     best = max(weight, key=weight.get, default=None)
     return best, weight
 
@@ -248,10 +286,10 @@ def discover(
         raise ValueError("the concept has too few rows (at least 4 are needed)")
     # Scales come from the whole table, as the encoding is shared by all concepts.
     encoder = fit_encoder(tax.df, tax.meta, tax.key, ignore)
-    if not encoder.features:
+    if not any(s.size for s in encoder.spans):
         raise ValueError("no encoded columns")
     som = fit_wsom(encoder.transform(rows), map_size, sparsity, epochs, seed)
-    best, weight = select_best_column(encoder.features, som.gate)
+    best, weight = select_best_column(encoder.spans, som.gate)
     m = tax.meta[best]
     clustered = assign_bmu(encoder.transform(rows, [best]), som, [best]).persist()
     try:

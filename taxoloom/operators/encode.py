@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,30 +9,66 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..metadata import ColumnMeta, Metadata
 from ..plans.local import local_frame
 from ..plans.numbering import contiguous_ids
+from ..plans.scratch import settle
 from ..sources.rowid import ROW_ID
-from .profile import value_counts
+
+
+FEATURES = "feature_idx long, feature_name string, column string, kind string, value string"
 
 
 @dataclass(frozen=True)
-class Feature:
-    """One encoded column: its name, source column and, if one-hot, the value."""
+class Span:
+    """The features of one source column: ``size`` of them from index ``start``."""
 
-    index: int
-    name: str
     column: str
     kind: str
-    value: str | None = None
+    start: int
+    size: int
 
 
 @dataclass
 class Encoded:
+    """Dense rows ``(key, …, features array<double>)``; ``features`` is the table of what each cell means."""
+
     df: DataFrame
-    features: list[Feature]
+    features: DataFrame
+    spans: list[Span]
     key: str
 
     @property
     def width(self) -> int:
-        return len(self.features)
+        return sum(s.size for s in self.spans)
+
+
+@dataclass
+class SparseEncoded(Encoded):
+    """Rows ``(key, …, indices array<int>, cells array<double>)`` with one place per source column.
+
+    A missing category has index -1 and cell 0. ``features`` and ``spans`` are those of the dense form.
+    """
+
+    def long(self) -> DataFrame:
+        """``(key, feature_idx, value)`` of the non-zero cells."""
+        cell = F.inline(F.arrays_zip(F.col("indices").alias("feature_idx"), F.col("cells").alias("value")))
+        rows = self.df.select(F.col(f"`{self.key}`"), cell).where("value <> 0")
+        return rows.withColumn("feature_idx", F.col("feature_idx").cast("long"))
+
+    def dense(self) -> Encoded:
+        """One cell per feature: what the places hold, and zeros."""
+        blocks = [_block(k, s) for k, s in enumerate(self.spans)]
+        array = F.concat(*blocks) if blocks else F.array().cast("array<double>")
+        others = [F.col(f"`{c}`") for c in self.df.columns if c not in ("indices", "cells")]
+        return Encoded(self.df.select(*others, array.alias("features")), self.features, self.spans, self.key)
+
+
+def _block(place: int, span: Span) -> Column:
+    cell, index = F.get("cells", F.lit(place)), F.get("indices", F.lit(place))
+    if span.kind != "categorical":
+        return F.array(cell)
+    if not span.size:
+        return F.array().cast("array<double>")
+    own = F.sequence(F.lit(span.start), F.lit(span.start + span.size - 1))
+    return F.transform(own, lambda j: F.when(j == index, cell).otherwise(F.lit(0.0)))
 
 
 def _scaled_columns(meta: Metadata, ignore: list[str]) -> tuple[list[ColumnMeta], list[ColumnMeta]]:
@@ -66,94 +101,94 @@ def _z_score(m: ColumnMeta, scale: tuple[float, float]) -> Column:
     return F.coalesce((scale_source(m) - F.lit(mean)) / F.lit(std), F.lit(0.0))
 
 
-def _sorted_values(df: DataFrame, m: ColumnMeta) -> list[str]:
-    """Distinct values in the order of the column's own type."""
-    values = df.where(m.present).select(m.ref.alias("v"), m.text.alias("t")).distinct()
-    return [r["t"] for r in values.orderBy("v").collect()]
-
-
-def _one_hot(m: ColumnMeta, values: list[str]) -> Column:
-    """One cell per value; the values are one array literal, so a wide column is no wide plan."""
-    domain = F.from_json(F.lit(json.dumps(values)), "array<string>")
-    text = m.text
-    return F.transform(domain, lambda v: F.coalesce(v == text, F.lit(False)).cast("double"))
+def _dictionary(df: DataFrame, m: ColumnMeta, start: int) -> DataFrame:
+    """``(feature_idx, value)``: the distinct values of a column, numbered in the order of its own type."""
+    values = df.where(m.present).select(m.ref.alias("v"), m.text.alias("value")).distinct()
+    return settle(contiguous_ids(values, "feature_idx", ["v"], start).select("feature_idx", "value"), "dictionary")
 
 
 @dataclass
 class Encoder:
-    """Feature map and, per source column, an array of cells, fitted on a whole table."""
+    """Scales and value dictionaries of a whole table.
+
+    The dictionaries are settled tables, and each row meets its own values by one equi-join per categorical
+    column; only the number of values of each column is known to the driver.
+    """
 
-    features: list[Feature]
-    blocks: list[Column]
+    columns: list[ColumnMeta]
+    scales: dict[str, tuple[float, float]]
+    dictionaries: dict[str, DataFrame]
+    spans: list[Span]
+    features: DataFrame
     key: str
 
-    def transform(self, df: DataFrame, keep: list[str] | None = None) -> Encoded:
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> SparseEncoded:
         """Encode ``df``, or any part of the fitted table, next to its ``keep`` columns."""
-        array = F.concat(*self.blocks) if self.blocks else F.array().cast("array<double>")
-        raw = [F.col(f"`{c}`") for c in dict.fromkeys([self.key, *(keep or [])])]
-        return Encoded(df.select(*raw, array.alias("features")), self.features, self.key)
+        names = list(dict.fromkeys([self.key, *(keep or [])]))
+        rows = df.select(
+            *[F.col(f"`{c}`") for c in names],
+            *[
+                (m.text if m.name in self.dictionaries else _z_score(m, self.scales[m.name])).alias(f"_cell_{i}")
+                for i, m in enumerate(self.columns)
+            ],
+        )
+        indices, cells = [], []
+        for i, (m, span) in enumerate(zip(self.columns, self.spans)):
+            if m.name not in self.dictionaries:
+                indices.append(F.lit(span.start))
+                cells.append(F.col(f"_cell_{i}"))
+                continue
+            own = self.dictionaries[m.name].select(F.col("value").alias(f"_value_{i}"), F.col("feature_idx").cast("int").alias(f"_index_{i}"))
+            rows = rows.join(own, F.col(f"_cell_{i}") == F.col(f"_value_{i}"), "left")
+            indices.append(F.coalesce(F.col(f"_index_{i}"), F.lit(-1)))
+            cells.append(F.col(f"_index_{i}").isNotNull().cast("double"))
+        found = rows.select(
+            *[F.col(f"`{c}`") for c in names],
+            F.array(*indices).cast("array<int>").alias("indices"),
+            F.array(*cells).cast("array<double>").alias("cells"),
+        )
+        return SparseEncoded(found, self.features, self.spans, self.key)
 
 
 def fit_encoder(df: DataFrame, meta: Metadata, key: str = ROW_ID, ignore: list[str] | None = None) -> Encoder:
-    """The dense form has one feature per distinct value, and its feature map is a driver list.
-
-    For columns with very many values ``encode_long`` keeps the map a table.
-    """
+    """One feature per number or date column and per distinct value of a categorical one, in metadata order."""
     used, scaled = _scaled_columns(meta, ignore or [])
-    scales = _scales(df, scaled)
-    features: list[Feature] = []
-    blocks: list[Column] = []
+    spark, width = df.sparkSession, 0
+    spans: list[Span] = []
+    dictionaries: dict[str, DataFrame] = {}
+    plain = []
     for m in used:
         if m.user_type in ("numeric", "date"):
-            features.append(Feature(len(features), m.name, m.name, m.user_type))
-            blocks.append(F.array(_z_score(m, scales[m.name])))
-            continue
-        values = _sorted_values(df, m)
-        features += [
-            Feature(len(features) + i, f"{m.name}_{v}", m.name, "categorical", v) for i, v in enumerate(values)
-        ]
-        blocks.append(_one_hot(m, values))
-    return Encoder(features, blocks, key)
+            plain.append((width, m.name, m.name, m.user_type, None))
+            spans.append(Span(m.name, m.user_type, width, 1))
+        else:
+            dictionaries[m.name] = _dictionary(df, m, width)
+            spans.append(Span(m.name, "categorical", width, dictionaries[m.name].count()))
+        width += spans[-1].size
+    features = local_frame(spark, plain, FEATURES)
+    for name, values in dictionaries.items():
+        features = features.unionByName(
+            values.select(
+                "feature_idx", F.concat_ws("_", F.lit(name), "value").alias("feature_name"), F.lit(name).alias("column"),
+                F.lit("categorical").alias("kind"), "value",
+            )
+        )
+    return Encoder(used, _scales(df, scaled), dictionaries, spans, features, key)
+
+
+def encode_sparse(df: DataFrame, meta: Metadata, key: str = ROW_ID, ignore: list[str] | None = None) -> SparseEncoded:
+    """One index and one cell per source column of each row; the form for columns of any width."""
+    return fit_encoder(df, meta, key, ignore).transform(df)
 
 
 def encode(df: DataFrame, meta: Metadata, key: str = ROW_ID, ignore: list[str] | None = None) -> Encoded:
-    """``(key, features array<double>)`` plus the feature map, in metadata order."""
-    return fit_encoder(df, meta, key, ignore).transform(df)
+    """``(key, features array<double>)`` plus the feature table, in metadata order."""
+    return encode_sparse(df, meta, key, ignore).dense()
 
 
 def encode_long(
     df: DataFrame, meta: Metadata, key: str = ROW_ID, ignore: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(key, feature_idx, value)`` of the non-zero cells, and the feature table.
-
-    The form for categorical columns of any width: the feature dictionary stays
-    a DataFrame and each row meets its own values by an equi-join.
-    """
-    used, scaled = _scaled_columns(meta, ignore or [])
-    scales = _scales(df, scaled)
-    texts = [m for m in used if m.user_type == "categorical"]
-    spark = df.sparkSession
-    plain = local_frame(
-        spark, [(m.ordinal, m.name, None) for m in scaled], "ordinal int, column string, value string"
-    )
-    ordinals = local_frame(spark, [(m.ordinal, m.name) for m in texts], "ordinal int, column string")
-    domain = plain
-    if texts:
-        domain = plain.unionByName(value_counts(df, texts).drop("n").join(ordinals, "column"))
-    features = contiguous_ids(domain, "feature_idx", ["ordinal", "value"]).select(
-        "feature_idx",
-        F.concat_ws("_", "column", "value").alias("feature_name"),
-        "column",
-        "value",
-    )
-    cells = [
-        F.struct(F.lit(m.name).alias("column"), F.lit(None).cast("string").alias("value"), _z_score(m, scales[m.name]).alias("x"))
-        for m in scaled
-    ] + [F.struct(F.lit(m.name).alias("column"), m.text.alias("value"), F.lit(1.0).alias("x")) for m in texts]
-    text_names = [m.name for m in texts]
-    rows = df.select(F.col(f"`{key}`"), F.inline(F.array(*cells))).where(
-        (F.col("x") != 0) & (F.col("value").isNotNull() | ~F.col("column").isin(text_names))
-    )
-    hit = (rows["column"] == features["column"]) & rows["value"].eqNullSafe(features["value"])
-    long = rows.join(features, hit).select(rows[key], "feature_idx", F.col("x").alias("value"))
-    return long, features
+    """``(key, feature_idx, value)`` of the non-zero cells, and the feature table."""
+    sparse = encode_sparse(df, meta, key, ignore)
+    return sparse.long(), sparse.features

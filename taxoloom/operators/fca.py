@@ -20,11 +20,13 @@ from ..functions.quantiles import exact_quantiles
 from ..metadata import ColumnMeta, Metadata
 from ..plans.local import local_frame
 from ..plans.numbering import contiguous_ids
-from ..plans.scratch import Parts, settle
+from ..plans.scratch import Parts, Settled, settle
 from ..sources.rowid import ROW_ID
 from .encode import scale_source
 
 NONE = -1
+#: Objects of a code that one part of its posting list holds.
+POSTING_OBJECTS = 50_000
 
 
 @dataclass
@@ -205,27 +207,36 @@ def closure(width: int, obj: str = "obj") -> Column:
     return F.array(*cells)
 
 
-def close(candidates: DataFrame, ctx: FormalContext) -> DataFrame:
+def close(candidates: DataFrame, ctx: FormalContext, share: int = POSTING_OBJECTS) -> DataFrame:
     """``(cand, intent, size)``: the closed intent of each candidate with a row.
 
-    A candidate meets its objects through the first code it fixes, so that the
-    two sides join on equal keys; candidates that fix nothing close over all.
+    Every code has a posting list of its objects. A candidate meets its objects in the list of the rarest
+    code that it fixes. A list of more than ``share`` objects is split by a salt: each object lies in one
+    part, and the candidates of that code visit all parts, where they add up their objects before
+    the parts meet. Candidates that fix nothing close over all objects.
     """
     width = len(ctx.columns)
-    first = F.filter(
-        F.transform("cand", lambda c, j: F.struct(j.alias("j"), c.alias("code"))), lambda x: x["code"] != NONE
-    )
-    cand = candidates.select("cand", F.get(first, F.lit(0)).alias("at"))
     held = ctx.objects.select("obj", "n", F.posexplode("obj").alias("j", "code")).where(F.col("code") != NONE)
-    fits = _within("cand", "obj", width)
-    fixed = cand.where(F.col("at").isNotNull()).select("cand", F.col("at.j").alias("j"), F.col("at.code").alias("code"))
-    some = held.join(fixed, ["j", "code"]).where(fits).groupBy("cand").agg(
-        closure(width).alias("intent"), F.sum("n").alias("size")
+    lists = held.groupBy("j", "code").agg(F.count(F.lit(1)).alias("objects"))
+    lists = settle(lists.withColumn("parts", F.ceil(F.col("objects") / share).cast("int")), "lists")
+    wanted = candidates.select("cand").distinct()
+    codes = wanted.select("cand", F.posexplode("cand").alias("j", "code")).where(F.col("code") != NONE)
+    rarest = (
+        codes.join(lists, ["j", "code"]).groupBy("cand")
+        .agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("objects", "j", "code", "parts")).alias("at"))
+        # A code without a list has no objects, and neither has the candidate.
+        .where(F.col("known") == F.size(F.filter("cand", lambda c: c != NONE)))
+        .select("cand", "at.j", "at.code", F.explode(F.sequence(F.lit(0), F.col("at.parts") - 1)).alias("salt"))
     )
+    posted = held.join(lists.select("j", "code", "parts"), ["j", "code"]).withColumn(
+        "salt", F.pmod(F.xxhash64("obj"), F.col("parts")).cast("int")
+    )
+    met = posted.join(rarest, ["j", "code", "salt"]).where(_within("cand", "obj", width))
+    part = met.groupBy("cand").agg(closure(width).alias("intent"), F.sum("n").alias("size"))
     top = ctx.objects.agg(closure(width).alias("intent"), F.sum("n").alias("size"))
-    free = cand.where(F.col("at").isNull()).select("cand", F.lit(1).alias("one"))
+    free = wanted.where(F.forall("cand", lambda c: c == NONE)).withColumn("one", F.lit(1))
     every = free.join(top.withColumn("one", F.lit(1)), "one").select("cand", "intent", "size")
-    return some.unionByName(every)
+    return part.unionByName(every)
 
 
 def _within(part: str, whole: str, width: int) -> Column:
@@ -239,12 +250,14 @@ def _within(part: str, whole: str, width: int) -> Column:
 
 @dataclass
 class Lattice:
-    """Concepts found from the top down, their growth steps and their objects."""
+    """Concepts found from the top down, and from which parent and code each was made.
+
+    ``tree`` holds ``(child, parent, j, code, depth)``: every concept but the top, once.
+    """
 
     context: FormalContext
     concepts: DataFrame
-    steps: DataFrame | None
-    extents: DataFrame
+    tree: DataFrame | None
     cut: bool
     depth: int
 
@@ -252,102 +265,113 @@ class Lattice:
 def fca(ctx: FormalContext, max_depth: int = 3) -> Lattice:
     """All formal concepts within ``max_depth`` growth steps of the top concept.
 
-    Each level is one aggregate over (concept, object) pairs exploded by the
-    free columns: no join between concepts and attributes. Levels are settled,
-    so the lineage stays one level deep.
+    Canonical generation. The generator of a concept is its smallest set of columns whose codes close to
+    its intent; of equally small ones the first when columns are compared from the highest down. A part of such
+    a generator is the generator of its own closure, so it is enough to grow a concept by columns above those of
+    its generator: each set of columns is tried from one parent only, and each concept is kept
+    once. A level is one aggregate over its (concept, object) pairs; the pairs of a level are
+    removed when those of the next are written.
     """
     spark, width = ctx.objects.sparkSession, len(ctx.columns)
-    concepts, steps, extents = Parts(spark, "concepts"), Parts(spark, "steps"), Parts(spark, "extents")
+    concepts, tree = Parts(spark, "concepts"), Parts(spark, "tree")
     top = ctx.objects.agg(closure(width).alias("intent"), F.sum("n").alias("size"))
     level = concepts.add(top.withColumn("depth", F.lit(0)))
-    extent = extents.add(_root_extent(ctx, level))
-    depth, cut, stepped = 0, True, False
+    extent = Settled(_root_extent(ctx, level), "extent")
+    depth, cut, made = 0, True, False
     while depth < max_depth:
-        grown = _grown(extent)
-        step = steps.add(
-            grown.groupBy(F.col("intent").alias("parent"), "j", "code").agg(
+        grown = _grown(extent.df)
+        step = Settled(
+            grown.groupBy(F.col("intent").alias("parent"), "generator", "j", "code").agg(
                 closure(width).alias("child"), F.sum("n").alias("size")
-            )
+            ),
+            "steps",
         )
-        stepped = True
         fresh = (
-            step.join(concepts.all().select(F.col("intent").alias("child")), "child", "left_anti")
+            step.df.join(concepts.all().select(F.col("intent").alias("child")), "child", "left_anti")
             .groupBy("child")
-            .agg(F.min(F.struct("parent", "j", "code")).alias("by"), F.max("size").alias("size"))
+            .agg(
+                F.min(F.struct(F.concat(F.array("j"), "generator").alias("generator"), "parent", "j", "code")).alias("by"),
+                F.max("size").alias("size"),
+            )
         )
-        fresh = settle(fresh.select("child", "by.parent", "by.j", "by.code", "size"), "fresh")
+        fresh = settle(fresh.select("child", "by.*", "size"), "fresh")
+        step.drop()
         if fresh.isEmpty():
             cut = False
             break
         depth += 1
-        extent = extents.add(
-            grown.withColumnRenamed("intent", "parent")
-            .join(fresh.drop("size"), ["parent", "j", "code"])
-            .select(F.col("child").alias("intent"), "obj", "n")
+        below = grown.select(F.col("intent").alias("parent"), "obj", "n", "j", "code").join(
+            fresh.drop("size"), ["parent", "j", "code"]
         )
+        last, extent = extent, Settled(below.select(F.col("child").alias("intent"), "generator", "obj", "n"), "extent")
+        last.drop()
         concepts.add(fresh.select(F.col("child").alias("intent"), "size", F.lit(depth).alias("depth")))
-    return Lattice(ctx, concepts.all(), steps.all() if stepped else None, extents.all(), cut, depth)
+        tree.add(fresh.select("child", "parent", "j", "code", F.lit(depth).alias("depth")))
+        made = True
+    extent.drop()
+    return Lattice(ctx, concepts.all(), tree.all() if made else None, cut, depth)
 
 
 def _root_extent(ctx: FormalContext, level: DataFrame) -> DataFrame:
     top = level.first()["intent"]
-    return ctx.objects.select(F.array(*[F.lit(c) for c in top]).cast("array<int>").alias("intent"), "obj", "n")
+    intent = F.array(*[F.lit(c) for c in top]).cast("array<int>")
+    return ctx.objects.select(intent.alias("intent"), F.array().cast("array<int>").alias("generator"), "obj", "n")
 
 
 def _grown(extent: DataFrame) -> DataFrame:
-    """Each (concept, object) pair once per attribute of the object the concept leaves free."""
-    return extent.select("intent", "obj", "n", F.posexplode("obj").alias("j", "code")).where(
-        (F.col("code") != NONE) & (F.get("intent", F.col("j")) == NONE)
+    """Each (concept, object) pair once per code of the object in a free column above the concept's generator."""
+    return extent.select("intent", "generator", "obj", "n", F.posexplode("obj").alias("j", "code")).where(
+        (F.col("code") != NONE)
+        & (F.get("intent", F.col("j")) == NONE)
+        # The highest column of a generator is its first.
+        & (F.col("j") > F.coalesce(F.get("generator", F.lit(0)), F.lit(-1)))
     )
 
 
-def hasse(lattice: Lattice) -> DataFrame:
-    """``(parent, child)`` intents of the direct relations between found concepts.
+def memberships(objects: DataFrame, lattice: Lattice) -> DataFrame:
+    """``(obj, intents)``: all found concepts whose codes the distinct code arrays ``obj`` have.
 
-    Every direct relation is a growth step, except below concepts at the depth
-    limit, whose steps were not taken: those are found by joining on the rarest
-    code they fix. A relation is dropped when another parent of the same child
-    lies below its parent.
+    An object descends the tree of generators, one equi-join per level, and visits each of its concepts once.
     """
-    width = len(lattice.context.columns)
-    found = lattice.concepts.select("intent", "depth")
-    pairs = None
-    if lattice.steps is not None:
-        pairs = (
-            lattice.steps.select("parent", "child")
-            .join(found.select(F.col("intent").alias("child")), "child", "left_semi")
-            .distinct()
+    spark = objects.sparkSession
+    top = lattice.concepts.where("depth = 0").first()
+    if top is None:
+        return objects.select("obj", F.array().cast("array<array<int>>").alias("intents"))
+    found = Parts(spark, "memberships")
+    root = F.array(*[F.lit(c) for c in top["intent"]]).cast("array<int>")
+    level = found.add(objects.select("obj", root.alias("intent")))
+    for depth in range(1, lattice.depth + 1):
+        arcs = lattice.tree.where(F.col("depth") == depth).select(F.col("parent").alias("intent"), "j", "code", "child")
+        free = level.select("obj", "intent", F.posexplode("obj").alias("j", "code")).where(
+            (F.col("code") != NONE) & (F.get("intent", F.col("j")) == NONE)
         )
-    if lattice.cut:
-        below = _contained(found, lattice.depth, width)
-        pairs = below if pairs is None else pairs.unionByName(below).distinct()
-    pairs = settle(pairs.select("parent", "child"), "relations")
-    other = pairs.select(F.col("parent").alias("middle"), F.col("child").alias("of"))
-    between = (
-        (pairs["child"] == other["of"])
-        & (pairs["parent"] != other["middle"])
-        & _within("parent", "middle", width)
-    )
-    return pairs.join(other, between, "left_anti")
+        level = found.add(free.join(arcs, ["intent", "j", "code"]).select("obj", F.col("child").alias("intent")))
+    return found.all().groupBy("obj").agg(F.sort_array(F.collect_list("intent")).alias("intents"))
 
 
-def _contained(found: DataFrame, depth: int, width: int) -> DataFrame:
-    """Pairs (concept at the depth limit, found concept with more codes)."""
-    codes = found.select("intent", "depth", F.posexplode("intent").alias("j", "code")).where(F.col("code") != NONE)
-    often = codes.groupBy("j", "code").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        codes.where(F.col("depth") == depth)
-        .join(often, ["j", "code"])
-        .groupBy(F.col("intent").alias("parent"))
-        .agg(F.min_by(F.struct("j", "code"), F.struct("n", "j", "code")).alias("at"))
-        .select("parent", "at.j", "at.code")
-    )
-    children = codes.select(F.col("intent").alias("child"), "j", "code")
-    return (
-        rarest.join(children, ["j", "code"])
-        .where((F.col("parent") != F.col("child")) & _within("parent", "child", width))
-        .select("parent", "child")
-    )
+def _finest(intents: Column, width: int) -> Column:
+    """The antichain of an array of intents of one object: those that no other one refines.
+
+    All hold codes of the same object, so there are at most 2^columns of them.
+    """
+    return F.filter(intents, lambda a: ~F.exists(intents, lambda b: (a != b) & _refines(b, a, width)))
+
+
+def _refines(fine: Column, coarse: Column, width: int) -> Column:
+    tests = [(F.get(coarse, F.lit(j)) == NONE) | (F.get(coarse, F.lit(j)) == F.get(fine, F.lit(j))) for j in range(width)]
+    return reduce(op.and_, tests)
+
+
+def hasse(lattice: Lattice) -> DataFrame:
+    """``(parent, child)`` intents of the direct relations between found concepts.
+
+    The concepts that contain a concept are found like those that contain an object, and the finest of them
+    are its parents: one aggregate per concept, no comparison of relations with each other.
+    """
+    width = len(lattice.context.columns)
+    above = memberships(lattice.concepts.select(F.col("intent").alias("obj")), lattice)
+    proper = F.filter("intents", lambda a: a != F.col("obj"))
+    return above.select(F.explode(_finest(proper, width)).alias("parent"), F.col("obj").alias("child"))
 
 
 def leaves(lattice: Lattice, relations: DataFrame) -> DataFrame:
@@ -358,14 +382,8 @@ def leaves(lattice: Lattice, relations: DataFrame) -> DataFrame:
 def most_specific(lattice: Lattice) -> DataFrame:
     """``(key, intent)``: the concepts of each row that no other of its concepts refines."""
     ctx, width = lattice.context, len(lattice.context.columns)
-    held = lattice.extents.select("obj", "intent")
-    finer = held.select(F.col("obj").alias("same"), F.col("intent").alias("fine"))
-    refined = (
-        (held["obj"] == finer["same"])
-        & (held["intent"] != finer["fine"])
-        & _within("intent", "fine", width)
-    )
-    minimal = held.join(finer, refined, "left_anti")
+    held = memberships(ctx.objects.select("obj"), lattice)
+    minimal = held.select("obj", F.explode(_finest(F.col("intents"), width)).alias("intent"))
     of_object = ctx.objects.select(*ctx.values, "obj").join(minimal, "obj")
     r, o = ctx.rows.alias("r"), of_object.alias("o")
     same = reduce(op.and_, [F.col(f"r.{v}").eqNullSafe(F.col(f"o.{v}")) for v in ctx.values])

@@ -66,7 +66,7 @@ def micro_clusters(encoded: Encoded, m: int, seed: int = 0) -> Encoded:
         "micro int, features array<double>",
     )
     moved = model.transform(points).drop("features", "vector").join(centers, "micro").drop("micro")
-    return Encoded(moved, encoded.features, encoded.key)
+    return Encoded(moved, encoded.features, encoded.spans, encoded.key)
 
 
 def hac(encoded: Encoded, linkage: str = "ward", metric: str = "euclidean") -> Dendrogram:

@@ -29,7 +29,7 @@ from .predicate import Restriction
 from .profile import value_counts
 from .taxonomy import Concept, Taxonomy
 
-TRIPLE = "s string, p string, o string, o_kind string, o_datatype string"
+TRIPLE = "s string, p string, o string, o_kind string, o_datatype string, o_lang string"
 RANGES = {"numeric": XSD + "decimal", "date": XSD + "date", "title_id": XSD + "string"}
 FACETS = {
     ">=": [XSD + "minInclusive"],
@@ -41,11 +41,11 @@ FACETS = {
 
 
 def _uri(s: str, p: str, o: str) -> tuple:
-    return (s, p, o, "blank" if o.startswith("_:") else "uri", None)
+    return (s, p, o, "blank" if o.startswith("_:") else "uri", None, None)
 
 
 def _text(s: str, p: str, o: str, datatype: str | None = None) -> tuple:
-    return (s, p, o, "literal", datatype)
+    return (s, p, o, "literal", datatype, None)
 
 
 def _frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -115,6 +115,7 @@ def _column_triple(s: Column, p: str, o: Column, kind: str, datatype: str | None
         o.alias("o"),
         F.lit(kind).alias("o_kind"),
         F.lit(datatype).cast("string").alias("o_datatype"),
+        F.lit(None).cast("string").alias("o_lang"),
     )
 
 
@@ -179,6 +180,7 @@ def type_triples(membership: DataFrame, ens: str, key: str) -> DataFrame:
         F.col("o"),
         F.lit("uri").alias("o_kind"),
         F.lit(None).cast("string").alias("o_datatype"),
+        F.lit(None).cast("string").alias("o_lang"),
     )
 
 
@@ -449,6 +451,7 @@ def intent_axioms(named: DataFrame, lattice: Lattice, meta: Metadata, cns: str)
                 o.alias("o"),
                 F.lit(kind).alias("o_kind"),
                 (dt if dt is not None else F.lit(None).cast("string")).alias("o_datatype"),
+                F.lit(None).cast("string").alias("o_lang"),
             ),
         )
 

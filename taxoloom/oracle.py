@@ -277,8 +277,8 @@ def edges(expr: str) -> str:
     return f"(SELECT quantile_cont(CAST({expr} AS DOUBLE), [{thirds}]) AS e FROM orders)"
 
 
-def bin_of(expr: str) -> str:
-    return f"CASE WHEN {expr} < e[2] THEN 0 WHEN {expr} < e[3] THEN 1 ELSE 2 END"
+def bin_of(expr: str, e: str = "e") -> str:
+    return f"CASE WHEN {expr} < {e}[2] THEN 0 WHEN {expr} < {e}[3] THEN 1 ELSE 2 END"
 
 
 def bins(expr: str, edge_sql: str, raw: str) -> str:
@@ -293,31 +293,33 @@ EVEN = (
     "FROM (SELECT min(o_totalprice) AS mn, max(o_totalprice) AS mx FROM orders))"
 )
 CTX = (
-    f"ctx AS (SELECT o_orderkey, o_orderstatus AS s, CAST({bin_of('o_totalprice')} AS VARCHAR) AS t, o_orderpriority AS p "
-    f"FROM orders, {edges('o_totalprice')})"
+    f"ctx AS (SELECT o_orderkey, o_orderstatus AS s, CAST({bin_of('o_totalprice', 'price.e')} AS VARCHAR) AS t, "
+    f"CAST({bin_of(SECONDS, 'day.e')} AS VARCHAR) AS y, o_orderpriority AS p "
+    f"FROM orders, {edges('o_totalprice')} price, {edges(SECONDS)} AS day)"
 )
+CODES = "styp"
+ALONE = ", ".join(f"CASE WHEN count(DISTINCT {c}) = 1 AND count({c}) = count(*) THEN min({c}) END AS {c}" for c in CODES)
 # A cell fixes some columns; its closure adds the columns that are constant in it.
 CLOSED = f"""
 WITH {CTX},
-     cell AS (SELECT CASE WHEN count(DISTINCT s) = 1 AND count(s) = count(*) THEN min(s) END AS s,
-                     CASE WHEN count(DISTINCT t) = 1 AND count(t) = count(*) THEN min(t) END AS t,
-                     CASE WHEN count(DISTINCT p) = 1 AND count(p) = count(*) THEN min(p) END AS p,
-                     count(*) AS size, 3 - (grouping(s) + grouping(t) + grouping(p)) AS fixed
-              FROM ctx GROUP BY CUBE (s, t, p)),
-     con AS (SELECT s, t, p, size, min(fixed) AS depth FROM cell GROUP BY ALL)
+     cell AS (SELECT {ALONE}, count(*) AS size,
+                     4 - (grouping(s) + grouping(t) + grouping(y) + grouping(p)) AS fixed
+              FROM ctx GROUP BY CUBE (s, t, y, p)),
+     con AS (SELECT s, t, y, p, size, min(fixed) AS depth FROM cell GROUP BY ALL),
+     found AS (SELECT * FROM con WHERE depth <= 3)
 """
-FIELDS = "s AS o_orderstatus, t AS o_totalprice, p AS o_orderpriority"
-NAME = "coalesce({0}.s, '*') || '/' || coalesce({0}.t, '*') || '/' || coalesce({0}.p, '*')"
+FIELDS = "s AS o_orderstatus, t AS o_totalprice, y AS o_orderdate, p AS o_orderpriority"
+NAME = " || '/' || ".join(f"coalesce({{0}}.{c}, '*')" for c in CODES)
 
 
 def wider(a: str, b: str) -> str:
     """Concept ``a`` fixes a proper part of what ``b`` fixes."""
-    parts = " AND ".join(f"({a}.{c} IS NULL OR {a}.{c} IS NOT DISTINCT FROM {b}.{c})" for c in "stp")
+    parts = " AND ".join(f"({a}.{c} IS NULL OR {a}.{c} IS NOT DISTINCT FROM {b}.{c})" for c in CODES)
     return f"({parts} AND {a}.size > {b}.size)"
 
 
 def holds(con: str, row: str) -> str:
-    return " AND ".join(f"({con}.{c} IS NULL OR {con}.{c} = {row}.{c})" for c in "stp")
+    return " AND ".join(f"({con}.{c} IS NULL OR {con}.{c} = {row}.{c})" for c in CODES)
 
 
 # -- export -------------------------------------------------------------------
@@ -338,7 +340,7 @@ def local(expr: str) -> str:
 
 def triple(subject: str, p: str, o: str, kind: str, datatype: str | None, frm: str) -> str:
     dt = f"CAST({_sql(datatype) if datatype else 'NULL'} AS VARCHAR)"
-    return f"SELECT {subject} AS s, {_sql(p)} AS p, {o} AS o, '{kind}' AS o_kind, {dt} AS o_datatype FROM {frm}"
+    return f"SELECT {subject} AS s, {_sql(p)} AS p, {o} AS o, '{kind}' AS o_kind, {dt} AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM {frm}"
 
 
 CUST = f"'{ENS}entity_' || c_custkey"
@@ -375,6 +377,81 @@ TURTLE = (
 )
 
 
+NUMBERED_CONCEPTS = (
+    "SELECT *, (s IS NOT NULL)::INT + (t IS NOT NULL)::INT + (y IS NOT NULL)::INT + (p IS NOT NULL)::INT AS m, "
+    "CASE WHEN seq = 0 THEN 'root' WHEN seq < 10 THEN 'c0' || seq ELSE 'c' || seq END AS id FROM ("
+    "SELECT *, row_number() OVER (ORDER BY depth, size DESC, "
+    + ", ".join(f"{c} NULLS FIRST" for c in CODES)
+    + ") - 1 AS seq FROM found)"
+)
+
+
+def _part(c: str, before: str, column: str, value: str, lo: str, hi: str, last: str, datatype: str) -> str:
+    return (
+        f"SELECT id, m, {before} AS i, '{CNS}{column}' AS prop, {value} AS value, {lo} AS lo, {hi} AS hi, {last} AS closed, "
+        f"CAST({datatype} AS VARCHAR) AS dt FROM named, {edges('o_totalprice')} price, {edges(SECONDS)} AS day WHERE {c} IS NOT NULL"
+    )
+
+
+def _held(columns: str) -> str:
+    return " + ".join(["0", *(f"({c} IS NOT NULL)::INT" for c in columns)])
+
+
+def _category(c: str, before: str, column: str) -> str:
+    return _part(c, before, column, f"'{CNS}{column}_' || {local(c)}", "NULL", "NULL", "false", "NULL")
+
+
+def _range(c: str, before: str, column: str, bound: str, datatype: str) -> str:
+    return _part(
+        c, before, column, "NULL", bound.format(f"CAST({c} AS INTEGER) + 1"), bound.format(f"CAST({c} AS INTEGER) + 2"),
+        f"{c} = '2'", _sql(datatype),
+    )
+
+
+def _axiom(s: str, p: str, o: str, kind: str, where: str, dt: str = "NULL") -> str:
+    return f"SELECT {s} AS s, {p} AS p, {o} AS o, '{kind}' AS o_kind, CAST({dt} AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM part WHERE {where}"
+
+
+def _node(kind: str, i: str | None = None) -> str:
+    return f"'_:' || id || '_{kind}'" + (f" || ({i})" if i else "")
+
+
+PARTS = union(
+    [
+        _category("s", _held(""), "o_orderstatus"),
+        _range("t", _held("s"), "o_totalprice", "CAST(price.e[{0}] AS VARCHAR)", XSD + "decimal"),
+        _range("y", _held("st"), "o_orderdate", "strftime(make_timestamp(CAST(floor(day.e[{0}]) AS BIGINT) * 1000000), '%Y-%m-%d')", XSD + "date"),
+        _category("p", _held("sty"), "o_orderpriority"),
+    ]
+)
+_WHOLE = f"CASE WHEN m > 1 THEN {_node('x')} ELSE {_node('r', 'i')} END"
+LATTICE_AXIOMS = f"{CLOSED}, named AS ({NUMBERED_CONCEPTS}), part AS ({PARTS})" + union(
+    [
+        _axiom(f"'{CNS}' || id", _sql(OWL + "equivalentClass"), _WHOLE, "blank", "i = 0"),
+        _axiom(_node("x"), _sql(RDF_TYPE), _sql(OWL + "Class"), "uri", "i = 0 AND m > 1"),
+        _axiom(_node("x"), _sql(OWL + "intersectionOf"), _node("l", "i"), "blank", "i = 0 AND m > 1"),
+        _axiom(_node("l", "i"), _sql(RDF + "first"), _node("r", "i"), "blank", "m > 1"),
+        _axiom(_node("l", "i"), _sql(RDF + "rest"), _node("l", "i + 1"), "blank", "m > 1 AND i < m - 1"),
+        _axiom(_node("l", "i"), _sql(RDF + "rest"), _sql(RDF + "nil"), "uri", "m > 1 AND i = m - 1"),
+        _axiom(_node("r", "i"), _sql(RDF_TYPE), _sql(OWL + "Restriction"), "uri", "true"),
+        _axiom(_node("r", "i"), _sql(OWL + "onProperty"), "prop", "uri", "true"),
+        _axiom(_node("r", "i"), _sql(OWL + "hasValue"), "value", "uri", "value IS NOT NULL"),
+        _axiom(_node("r", "i"), _sql(OWL + "someValuesFrom"), _node("d", "i"), "blank", "value IS NULL"),
+        _axiom(_node("d", "i"), _sql(RDF_TYPE), _sql(RDFS + "Datatype"), "uri", "value IS NULL"),
+        _axiom(_node("d", "i"), _sql(OWL + "onDatatype"), "dt", "uri", "value IS NULL"),
+        _axiom(_node("d", "i"), _sql(OWL + "withRestrictions"), _node("f", "i"), "blank", "value IS NULL"),
+        _axiom(_node("f", "i"), _sql(RDF + "first"), _node("lo", "i"), "blank", "value IS NULL"),
+        _axiom(_node("f", "i"), _sql(RDF + "rest"), _node("g", "i"), "blank", "value IS NULL"),
+        _axiom(_node("g", "i"), _sql(RDF + "first"), _node("hi", "i"), "blank", "value IS NULL"),
+        _axiom(_node("g", "i"), _sql(RDF + "rest"), _sql(RDF + "nil"), "uri", "value IS NULL"),
+        _axiom(_node("lo", "i"), _sql(XSD + "minInclusive"), "lo", "literal", "value IS NULL", "dt"),
+        _axiom(
+            _node("hi", "i"), f"CASE WHEN closed THEN '{XSD}maxInclusive' ELSE '{XSD}maxExclusive' END", "hi", "literal", "value IS NULL", "dt"
+        ),
+    ]
+)
+
+
 def uri(i: str) -> str:
     return CNS + LOCAL[i]
 
@@ -809,44 +886,20 @@ ORACLE: dict[str, str] = {
     "fca_3": bins("o_totalprice", EVEN, "o_totalprice"),
     "fca_4": bins(SECONDS, edges(SECONDS), "o_orderdate"),
     "fca_5": f"WITH {CTX} SELECT o_orderkey, {FIELDS} FROM ctx",
-    "fca_6": f"WITH {CTX} SELECT {FIELDS}, count(*) AS n FROM ctx GROUP BY s, t, p",
+    "fca_6": f"WITH {CTX} SELECT {FIELDS}, count(*) AS n FROM ctx GROUP BY s, t, y, p",
     "fca_7": CLOSED + f"SELECT {FIELDS}, size FROM cell WHERE fixed = 1",
-    "fca_8": CLOSED + f"SELECT {FIELDS}, size, CAST(depth AS INTEGER) AS depth FROM con WHERE depth <= 3",
+    "fca_8": CLOSED + f"SELECT {FIELDS}, size, CAST(depth AS INTEGER) AS depth FROM found",
     "fca_9": CLOSED
-    + f", d AS (SELECT * FROM con WHERE depth <= 3) SELECT {NAME.format('a')} AS parent_name, {NAME.format('b')} AS child_name "
-    f"FROM d a JOIN d b ON {wider('a', 'b')} WHERE NOT EXISTS (SELECT 1 FROM d m WHERE {wider('a', 'm')} AND {wider('m', 'b')})",
+    + f"SELECT {NAME.format('a')} AS parent_name, {NAME.format('b')} AS child_name FROM found a JOIN found b ON {wider('a', 'b')} "
+    f"WHERE NOT EXISTS (SELECT 1 FROM found m WHERE {wider('a', 'm')} AND {wider('m', 'b')})",
     "fca_10": CLOSED
-    + f", d AS (SELECT * FROM con WHERE depth <= 3), obj AS (SELECT DISTINCT s, t, p FROM ctx), "
-    f"best AS (SELECT obj.s, obj.t, obj.p, {NAME.format('a')} AS concept FROM obj JOIN d a ON {holds('a', 'obj')} "
-    f"WHERE NOT EXISTS (SELECT 1 FROM d m WHERE {holds('m', 'obj')} AND {wider('a', 'm')})) "
-    "SELECT o_orderkey, concept FROM ctx JOIN best ON ctx.s IS NOT DISTINCT FROM best.s AND ctx.t IS NOT DISTINCT FROM best.t "
-    "AND ctx.p IS NOT DISTINCT FROM best.p",
+    + f", obj AS (SELECT DISTINCT s, t, y, p FROM ctx), "
+    f"best AS (SELECT obj.s, obj.t, obj.y, obj.p, {NAME.format('a')} AS concept FROM obj JOIN found a ON {holds('a', 'obj')} "
+    f"WHERE NOT EXISTS (SELECT 1 FROM found m WHERE {holds('m', 'obj')} AND {wider('a', 'm')})) "
+    "SELECT o_orderkey, concept FROM ctx JOIN best ON " + " AND ".join(f"ctx.{c} IS NOT DISTINCT FROM best.{c}" for c in CODES),
     "fca_11": CLOSED
-    + f"SELECT {FIELDS}, size FROM con a WHERE NOT EXISTS (SELECT 1 FROM con m WHERE {wider('a', 'm')})",
-    "fca_12": CLOSED + """
-        , m AS (SELECT *, (s IS NOT NULL)::INT + (t IS NOT NULL)::INT + (p IS NOT NULL)::INT AS m, (t IS NOT NULL)::INT AS r
-                FROM con WHERE depth <= 3 AND coalesce(s, t, p) IS NOT NULL)
-    """
-    + "SELECT p, CAST(n AS BIGINT) AS n FROM ("
-    + union(
-        f"SELECT {_sql(p)} AS p, {n} AS n FROM m"
-        for p, n in [
-            (OWL + "equivalentClass", "count(*)"),
-            (RDF_TYPE, "sum(m + r + (m > 1)::INT)"),
-            (OWL + "intersectionOf", "sum((m > 1)::INT)"),
-            (RDF + "first", "sum(CASE WHEN m > 1 THEN m ELSE 0 END + 2 * r)"),
-            (RDF + "rest", "sum(CASE WHEN m > 1 THEN m ELSE 0 END + 2 * r)"),
-            (OWL + "onProperty", "sum(m)"),
-            (OWL + "hasValue", "sum(m - r)"),
-            (OWL + "someValuesFrom", "sum(r)"),
-            (OWL + "onDatatype", "sum(r)"),
-            (OWL + "withRestrictions", "sum(r)"),
-            (XSD + "minInclusive", "sum(r)"),
-            (XSD + "maxExclusive", "sum((t IN ('0', '1'))::INT)"),
-            (XSD + "maxInclusive", "sum((t = '2')::INT)"),
-        ]
-    )
-    + ")",
+    + f"SELECT {FIELDS}, size FROM found a WHERE NOT EXISTS (SELECT 1 FROM found m WHERE {wider('a', 'm')})",
+    "fca_12": LATTICE_AXIOMS,
     "hac_1_totals": "SELECT count(*) - 1 AS n_merges, count(*) AS root_size FROM supplier",
     "hac_4": "SELECT 'root' AS concept_id, count(*) AS n FROM supplier",
     "hac_5_rows": "SELECT s_suppkey, CAST(1 AS BIGINT) AS n_leaves FROM supplier",

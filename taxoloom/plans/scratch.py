@@ -43,6 +43,20 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Settled:
+    """A settled table that is removed once what was made from it is written."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self._spark, self._path = df.sparkSession, scratch_path(df.sparkSession, name)
+        df.write.parquet(self._path)
+        self.df = self._spark.read.schema(df.schema).parquet(self._path)
+
+    def drop(self) -> None:
+        context = self._spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self._path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Parts:
     """A table that grows by one written part per round of a loop.
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import parsing
 from ..metadata import Metadata, metadata_from_types
+from .delimited import file_lines, joined_records, parse_records, spans_lines
 
 # Texts read as a missing value in delimited files.
 NA_TOKENS = [
@@ -24,11 +26,11 @@ _QUOTED = r'"(?:[^"\\]|\\.)*"(?:\^\^<[^>\s]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?'
 _TRIPLE = rf"^\s*({_NODE})\s*<([^>\s]*)>\s*({_NODE}|{_QUOTED})\s*\.\s*(?:#.*)?$"
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Read a table; the format defaults to the file extension.
 
-    Quoted cells of delimited files may hold line breaks. With ``multiline=False`` every line is a
-    record, so large files are split over tasks; a line with an unclosed quote then raises.
+    Quoted cells of delimited files may hold line breaks, and large files are still split over tasks;
+    a quoted cell that is not closed at the end of its file raises.
     """
     fmt = fmt or os.path.splitext(path)[1].lower().lstrip(".")
     if fmt not in FORMATS:
@@ -38,7 +40,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, multiline
     elif fmt == "json":
         df = _read_json(spark, path)
     else:
-        df = _read_delimited(spark, path, "," if fmt == "csv" else "\t", multiline)
+        df = _read_delimited(spark, path, "," if fmt == "csv" else "\t")
     if not df.columns or df.isEmpty():
         raise ValueError(f"nothing to read in {path}: it needs at least one row and one column")
     return df
@@ -52,21 +54,16 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def _read_delimited(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFrame:
+def _read_delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """Header row, NA texts as NULL, and a numeric type where every value is a number."""
-    if not multiline:
-        quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-        if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
-            raise ValueError(f"a quoted cell of {path} spans lines: read it with multiline=True")
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    given = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("inferSchema", False)
+    lines = file_lines(spark, path)
+    if spans_lines(lines, sep):
+        # The header, too, may hold a break.
+        names = given.option("multiLine", True).csv(path).columns
+        raw = parse_records(joined_records(lines, sep), names, sep)
+    else:
+        raw = given.option("multiLine", False).csv(path)
     if not raw.columns:
         return raw
     text = raw.select(
@@ -114,14 +111,36 @@ def meta_from_config(df: DataFrame, path: str) -> Metadata:
     return metadata_from_types(df, types)
 
 
-def read_ntriples(spark: SparkSession, path: str, languages: bool = False) -> DataFrame:
+def _statements(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of N-Triples files that are neither blank nor comments."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"))
+    return lines.where((F.col("line") != "") & ~F.col("line").startswith("#"))
+
+
+def malformed_lines(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
+    """The sources that cannot be read or hold a line that is no triple, with the reason; one job for all."""
+    bad: dict[str, str] = {}
+    checked = None
+    for name, path in paths.items():
+        try:
+            lines = _statements(spark, path).where(~F.col("line").rlike(_TRIPLE)).select(F.lit(name).alias("name"), "line")
+        except AnalysisException as problem:
+            bad[name] = str(problem)
+            continue
+        checked = lines if checked is None else checked.unionByName(lines)
+    if checked is not None:
+        for r in checked.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line")).collect():
+            bad[r["name"]] = f"{r['n']} times {MALFORMED}: {r['line']}"
+    return bad
+
+
+def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """Triples from N-Triples files: one triple per line, so the input splits.
 
-    A literal with a language has the datatype ``rdf:langString``; ``languages`` adds its tag
-    as ``o_lang``. A line that is neither a triple, a comment nor blank raises.
+    ``o_datatype`` and ``o_lang`` are those of a literal; one with a language has the datatype
+    ``rdf:langString``. A line that is neither a triple, a comment nor blank raises when it is read.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"))
-    lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    lines = _statements(spark, path)
     lines = lines.where(
         F.when(F.col("line").rlike(_TRIPLE), True).otherwise(F.raise_error(F.concat(F.lit(MALFORMED + ": "), "line")))
     )
@@ -151,21 +170,25 @@ def read_ntriples(spark: SparkSession, path: str, languages: bool = False) -> Da
         .alias("o"),
         "o_kind",
         F.when(literal & (lang != ""), LANG_STRING).when(literal & (datatype != ""), datatype).alias("o_datatype"),
-        *([F.when(literal & (lang != ""), lang).alias("o_lang")] if languages else []),
+        F.when(literal & (lang != ""), lang).alias("o_lang"),
     )
 
 
-def unescape(c):
-    """Undo N-Triples escapes; a backslash pair is parked first."""
-    parked = F.replace(c, F.lit("\\\\"), F.lit("\u0000"))
-    for text, char in (
-        ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")
-    ):
-        parked = F.replace(parked, F.lit(text), F.lit(char))
-    codes = F.regexp_extract_all(parked, F.lit(r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"), F.lit(0))
-    parked = F.aggregate(
-        F.array_distinct(codes),
-        parked,
-        lambda text, code: F.replace(text, code, F.decode(F.unhex(F.lpad(F.substring(code, 3, 8), 8, "0")), "UTF-32")),
-    )
-    return F.replace(parked, F.lit("\u0000"), F.lit("\\"))
+# The escapes of one letter.
+_LETTERS = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+_TOKEN = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|(?s)\\.|[^\\]+"
+
+
+def unescape(c: Column) -> Column:
+    """Undo N-Triples escapes, in one pass from left to right."""
+
+    def plain(token: Column) -> Column:
+        second = F.substring(token, 2, 1)
+        out = F.when(~F.startswith(token, F.lit("\\")), token)
+        for letter, char in _LETTERS.items():
+            out = out.when(second == letter, F.lit(char))
+        code = F.lpad(F.substring(token, 3, 8), 8, "0")
+        return out.when(F.length(token) > 2, F.decode(F.unhex(code), "UTF-32")).otherwise(token)
+
+    tokens = F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(tokens, plain), "")).otherwise(c)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from taxoloom.metadata import metadata_from_types
 from taxoloom.operators import restriction_search as rs
@@ -15,10 +16,11 @@ from taxoloom.operators.discover import (
     init_codebook,
     resolve,
     select_best_column,
-    _combined,
+    settle_points,
+    _epoch,
     suggested_epochs,
 )
-from taxoloom.operators.encode import encode
+from taxoloom.operators.encode import Span, encode, encode_sparse
 from taxoloom.operators.taxonomy import Taxonomy
 
 
@@ -131,11 +133,59 @@ def test_training_does_not_depend_on_partitioning(spark):
     assert np.allclose(one.prototypes, many.prototypes) and np.allclose(one.weights, many.weights)
 
 
-def test_partial_sums_of_all_tasks_add_up(spark):
-    rows = [(0, 2, [1.0, 2.0]), (0, 3, [0.5, -1.0]), (3, 1, [0.0, 4.0]), (-1, 6, [1.0, 1.0])]
-    partial = spark.createDataFrame(rows, "unit int, n long, sums array<double>").repartition(3)
-    got = {unit: (n, sums.tolist()) for unit, n, sums in _combined(partial, 2)}
-    assert got == {0: (5, [1.5, 1.0]), 3: (1, [0.0, 4.0]), -1: (6, [1.0, 1.0])}
+def test_equal_rows_are_one_weighted_point(spark):
+    rnd = random.Random(3)
+    kinds = [(rnd.gauss(0, 1), rnd.choice("abc"), rnd.choice(["x", "y", None])) for _ in range(12)]
+    rows = [(i, *kinds[i % 12 if i % 3 else 0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, x double, c string, d string")
+    meta = metadata_from_types(df, {"row_id": ("title_id", False), "c": ("categorical", True), "d": ("categorical", True)})
+    sparse = encode_sparse(df, meta)
+    blocks = settle_points(sparse).collect()
+    weights = np.concatenate([np.frombuffer(r["w"], np.int64) for r in blocks])
+    assert len(weights) == 9 and weights.sum() == 300 and weights.max() >= 100
+    # The dense rows, one point each, train the same map.
+    a, b = fit_wsom(sparse, 3, epochs=40, seed=2), fit_wsom(sparse.dense(), 3, epochs=40, seed=2)
+    assert np.allclose(a.prototypes, b.prototypes) and np.allclose(a.weights, b.weights)
+    found = {r["row_id"]: r["cluster"] for r in assign_bmu(sparse, a).collect()}
+    assert found == {r["row_id"]: r["cluster"] for r in assign_bmu(sparse.dense(), b).collect()}
+
+
+def reference_epoch(x, prototypes, gate):
+    """One pass over dense rows, row by row."""
+    total, count, slope, away = np.zeros_like(prototypes), np.zeros(len(prototypes), int), np.zeros(x.shape[1]), 0.0
+    unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-300)
+    for row in x:
+        y = row * gate
+        n = np.linalg.norm(y)
+        y = y / n if n > 0 else y
+        cos = unit @ y
+        u = int(cos.argmax())
+        total[u] += y
+        count[u] += 1
+        away += 1 - cos[u]
+        if n > 0:
+            slope += row * (unit[u] - cos[u] * y) / n
+    return total, count, slope, away
+
+
+def test_epoch_equals_a_pass_over_dense_rows(spark):
+    df, meta = planted(spark, 90)
+    meta.set("c", include=True)
+    enc = encode_sparse(df, meta)
+    x = np.array([r["features"] for r in enc.dense().df.orderBy("row_id").collect()])
+    book, gate = init_codebook(enc, 3, 5), np.linspace(0.2, 0.9, enc.width)
+    total, count, slope, away, rows = _epoch(settle_points(enc), book, gate)
+    t, c, s, w = reference_epoch(x, book, gate)
+    assert np.allclose(total, t) and (count == c).all() and np.allclose(slope, s) and away == pytest.approx(w) and rows == 90
+
+
+def test_discovery_with_a_feature_per_row(spark):
+    df, meta = planted(spark)
+    df = df.withColumn("name", F.concat(F.lit("n"), "row_id"))
+    meta = metadata_from_types(df, {"row_id": ("title_id", False), "c": ("categorical", False), "truth": ("numeric", False), "name": ("categorical", True)})
+    tax = Taxonomy(df, meta)
+    got = discover(tax, tax.root_id, map_size=3, epochs=10, seed=1)
+    assert len(got.som.weights) == 403 and got.proposed
 
 
 def test_codebook_repeats_rows(spark):
@@ -180,11 +230,9 @@ def test_limits(spark):
 
 
 def test_best_column_ties_and_categories():
-    from taxoloom.operators.encode import Feature
-
-    fs = [Feature(0, "a", "a", "numeric"), Feature(1, "c_x", "c", "categorical", "x"), Feature(2, "c_y", "c", "categorical", "y")]
-    assert select_best_column(fs, [0.5, 0.1, 0.5])[0] == "a"
-    assert select_best_column(fs, [0.5, 0.1, 0.6])[0] == "c"
+    spans = [Span("a", "numeric", 0, 1), Span("c", "categorical", 1, 2), Span("none", "categorical", 3, 0)]
+    assert select_best_column(spans, [0.5, 0.1, 0.5])[0] == "a"
+    assert select_best_column(spans, [0.5, 0.1, 0.6])[0] == "c"
     assert select_best_column([], [])[0] is None
 
 

@@ -86,9 +86,32 @@ def test_lattice_equals_brute_force(spark, seed, depth):
     assert {tuple(r["intent"]): r["depth"] for r in lat.concepts.collect()} == concepts
     assert {(tuple(r["parent"]), tuple(r["child"])) for r in f.hasse(lat).collect()} == edges
     assert {(r["row_id"], tuple(r["intent"])) for r in f.most_specific(lat).collect()} == minimal
-    cand = lat.concepts.select(F.col("intent").alias("cand"))
-    for r in f.close(cand, ctx).collect():
-        assert list(r["cand"]) == list(r["intent"])
+    # Every concept but the top comes from one parent only.
+    assert lat.tree.count() == lat.tree.select("child").distinct().count() == len(concepts) - 1
+    sizes = {tuple(r["intent"]): r["size"] for r in lat.concepts.collect()}
+    for share in (50_000, 2):
+        cand = lat.concepts.select(F.col("intent").alias("cand"))
+        for r in f.close(cand, ctx, share).collect():
+            assert list(r["cand"]) == list(r["intent"]) and r["size"] == sizes[tuple(r["cand"])]
+
+
+def test_closure_of_any_codes(spark):
+    """Candidates that no concept fixes, with unknown codes, and with one code that most objects have."""
+    rnd = random.Random(8)
+    rows = [("k" if rnd.random() < 0.9 else "l", "xyz"[rnd.randrange(3)], "uvw"[rnd.randrange(3)]) for _ in range(60)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_id long, a string, b string, c string")
+    ctx = f.formal_context(df, metadata_from_types(df, {"row_id": ("title_id", False), **{c: ("categorical", True) for c in "abc"}}))
+    code = {(r["j"], r["value"]): r["code"] for r in ctx.attributes.collect()}
+    objects = [tuple(code[j, v] for j, v in enumerate(r)) for r in rows]
+    cands = list(itertools.product([f.NONE, code[0, "k"], 99], [f.NONE, code[1, "x"]], [f.NONE, code[2, "u"], code[2, "v"]]))
+    expected = {}
+    for c in cands:
+        inside = [o for o in objects if all(x in (f.NONE, y) for x, y in zip(c, o))]
+        if inside:
+            expected[c] = (tuple(o.pop() if len(o) == 1 else f.NONE for o in map(set, zip(*inside))), len(inside))
+    given = spark.createDataFrame([(list(c),) for c in cands * 2], "cand array<int>")
+    found = {tuple(r["cand"]): (tuple(r["intent"]), r["size"]) for r in f.close(given, ctx, share=4).collect()}
+    assert found == expected
 
 
 def test_bins(spark):

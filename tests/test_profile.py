@@ -154,20 +154,22 @@ def test_encoding(spark):
     )
     meta = metadata_from_types(df, {"row_id": ("title_id", False), "a": ("categorical", True), "a_b": ("date", True)})
     enc = encode(df, meta)
-    assert [f.name for f in enc.features] == ["x", "k", "a_a", "a_b", "a_b"]
-    assert [f.column for f in enc.features] == ["x", "k", "a", "a", "a_b"]
+    known = enc.features.orderBy("feature_idx").collect()
+    assert [f["feature_name"] for f in known] == ["x", "k", "a_a", "a_b", "a_b"]
+    assert [f["column"] for f in known] == ["x", "k", "a", "a", "a_b"]
     rows = {r["row_id"]: r["features"] for r in enc.df.collect()}
     h = 0.5**0.5
     assert np.allclose(rows[0], [-h, 0, 0, 1, -h]) and np.allclose(rows[1], [h, 0, 1, 0, h]) and rows[2] == [0.0] * 5
     # A column whose name starts another's is ignored alone.
-    assert [f.column for f in encode(df, meta, ignore=["a"]).features] == ["x", "k", "a_b"]
+    assert [s.column for s in encode(df, meta, ignore=["a"]).spans] == ["x", "k", "a_b"]
     long, features = encode_long(df, meta)
     names = {r["feature_idx"]: r["feature_name"] for r in features.collect()}
     assert names == {0: "x", 1: "k", 2: "a_a", 3: "a_b", 4: "a_b"}
     cells = {(r["row_id"], r["feature_idx"]): r["value"] for r in long.collect()}
     dense = {(i, j): v for i, fs in rows.items() for j, v in enumerate(fs) if v}
     assert cells.keys() == dense.keys() and all(cells[k] == pytest.approx(dense[k]) for k in cells)
-    assert encode(df, metadata_from_types(df, {c: ("title_id", False) for c in df.columns})).features == []
+    none = encode(df, metadata_from_types(df, {c: ("title_id", False) for c in df.columns}))
+    assert none.width == 0 and none.features.count() == 0 and all(r["features"] == [] for r in none.df.collect())
 
 
 def test_wide_categories(spark):

@@ -1,5 +1,8 @@
 """Export and statistics: our own export gives the published iris figures."""
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,7 +135,7 @@ def test_names_and_decimals(spark):
 
 def test_escapes_survive_a_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
-        [("http://x/a", "http://x/p", 'q"\\n\n\tz\\', "literal", None), ("_:b", "http://x/p", "_:c", "blank", None)],
+        [("http://x/a", "http://x/p", 'q"\\n\n\tz\\', "literal", None, None), ("_:b", "http://x/p", "_:c", "blank", None, None)],
         rdf.TRIPLE,
     )
     write_ntriples(df, str(tmp_path / "nt"))
@@ -143,8 +146,8 @@ def test_escapes_survive_a_round_trip(spark, tmp_path):
 
 def dag(spark, edges, isolated=()):
     sub = "http://www.w3.org/2000/01/rdf-schema#subClassOf"
-    rows = [(f"u:{c}", sub, f"u:{p}", "uri", None) for c, p in edges]
-    rows += [(f"u:{c}", RDF_TYPE, OWL + "Class", "uri", None) for c in isolated]
+    rows = [(f"u:{c}", sub, f"u:{p}", "uri", None, None) for c, p in edges]
+    rows += [(f"u:{c}", RDF_TYPE, OWL + "Class", "uri", None, None) for c in isolated]
     return spark.createDataFrame(rows, rdf.TRIPLE)
 
 
@@ -160,6 +163,41 @@ def test_depth_is_the_longest_path(spark):
         stats.class_depths(stats.named_classes(loop), stats.subclass_edges(loop))
 
 
+def test_many_ontologies_take_one_batch(spark, caplog):
+    """Three ontologies run as many jobs as one, a cycle takes out only its own, and rows equal those alone."""
+    chain = dag(spark, [(f"c{i + 1}", f"c{i}") for i in range(5)] + [("c5", "c0"), ("x", "c1")], ["lone"])
+    wide = dag(spark, [(f"w{i}", "top") for i in range(30)])
+    loop = dag(spark, [("b", "a"), ("c", "b"), ("b", "c")])
+    typed = spark.createDataFrame([(f"i:{k}", RDF_TYPE, f"u:w{k % 7}", "uri", None, None) for k in range(50)], rdf.TRIPLE)
+    sources = {"chain": chain, "wide": wide.unionByName(typed), "empty": chain.limit(0)}
+
+    def jobs(group, given):
+        spark.sparkContext.setJobGroup(group, group)
+        rows = {r["file"]: r.asDict() for r in stats.stats_of_many(spark, given).collect()}
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return rows, n
+
+    alone, n_alone = jobs("alone", {"chain": chain})
+    rows, n_all = jobs("all", sources)
+    assert n_all <= n_alone + 2 and rows["chain"] == alone["chain"]
+    assert rows["wide"] == stats.taxonomy_stats(sources["wide"], "wide").first().asDict()
+    assert (rows["wide"]["med_inst"], rows["wide"]["med_leaf_inst"], rows["chain"]["n_levels"]) == (0.0, 0.0, 6)
+    assert rows["empty"]["n_classes"] == 0 and rows["empty"]["coverage"] == 0.0
+    rows, _ = jobs("loop", sources | {"loop": loop})
+    assert set(rows) == {"chain", "wide", "empty"} and "loop" in caplog.text
+
+
+def test_medians_are_exact(spark):
+    rnd = random.Random(6)
+    for n in (1, 2, 7, 40):
+        held = [rnd.randrange(6) for _ in range(n)]
+        rows = [(f"u:k{i}", RDF_TYPE, OWL + "Class", "uri", None, None) for i in range(n)]
+        rows += [(f"i:{i}_{j}", RDF_TYPE, f"u:k{i}", "uri", None, None) for i, m in enumerate(held) for j in range(m)]
+        row = stats.taxonomy_stats(spark.createDataFrame(rows, rdf.TRIPLE), "t").first()
+        assert row["med_inst"] == row["med_leaf_inst"] == statistics.median(held)
+
+
 def test_colliding_values(spark):
     df = spark.createDataFrame([(0, "a b"), (1, "a_b"), (2, "c")], "row_id long, v string")
     meta = metadata_from_types(df, {"row_id": ("title_id", False), "v": ("categorical", True)})
