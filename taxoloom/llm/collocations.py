@@ -36,6 +36,8 @@ LEAST_COUNT = 10
 CONTAINED_PERCENT = 50
 #: Phrases that are listed for each language.
 TOP = 2000
+#: Shares of a language that are cut to ``TOP`` before they meet.
+SHARES = 16
 #: Suffixes of the prefixes in one group.
 GROUP_SUFFIXES = 500_000
 #: Bytes of text whose words meet in one part of the vocabulary.
@@ -344,11 +346,13 @@ def collocations(
         F.col("most").isNull() | (F.col("most") * 100 < F.col("a") * contained_percent)
     )
     kept = kept.join(words.select(F.col("id").alias("first"), "lang"), F.col("ids")[0] == F.col("first")).drop("first", "most")
-    # Phrases are spelled only for rows that can be listed; ties with the last one are all among them.
+    # Phrases are spelled only for rows that can be listed; ties with the last one are all among them. A language is
+    # first cut down in shares, so that what its last task reads does not grow with the number of tasks.
     order = [F.desc("score"), F.desc("a")]
-    listed = settle(
-        kept.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= top).drop("place"), "listed"
-    )
+    kept = kept.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(SHARES)))
+    for by in (["lang", "share"], ["lang"]):
+        kept = kept.withColumn("place", F.rank().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= top).drop("place")
+    listed = settle(kept.drop("share"), "listed")
     spelled = (
         listed.select("ids", F.posexplode("ids").alias("pos", "id")).join(words.select("id", "word"), "id").groupBy("ids")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"))
