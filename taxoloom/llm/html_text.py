@@ -80,54 +80,81 @@ def _is_part(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> boo
     return False
 
 
+_DOCTYPE = re.compile(r"<!doctype[^>\[]*\[[^\]]*\]\s*>", re.I)
+
+
 class _Tree(HTMLParser):
-    """Elements and texts of a page, with the end tags that HTML lets authors leave out."""
+    """Elements and texts of a page, with the end tags that HTML lets authors leave out.
+
+    ``open`` are the elements that are not closed yet, ``where`` the places of each tag among them and
+    ``guards`` those of parts of the page, so no tag walks up the tree.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("#page", None)
+        self.root = _Node("#page", None)
+        self.open: list[_Node] = [self.root]
+        self.where: dict[str, list[int]] = {}
+        self.guards: list[int] = []
+        self.top: set[str] = set()
+
+    def parse_html_declaration(self, i):
+        """Comments are read as such; any other declaration ends with the next ``>``, a document type after its subset."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        subset = _DOCTYPE.match(self.rawdata, i)
+        if subset:
+            return subset.end()
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    def _last(self, names: set[str]) -> int:
+        """The innermost open element of these names; 0, the page, without one."""
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=0)
+
+    def _leave(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.open) > place:
+            node = self.open.pop()
+            self.where[node.tag].pop()
+            if self.guards and self.guards[-1] == len(self.open):
+                self.guards.pop()
 
     def _close(self, names: set[str], within: set[str]) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in within:
-            if node.tag in names:
-                self.at = node.parent
-                return
-            node = node.parent
+        place = self._last(names)
+        if place and place > self._last(within - names):
+            self._leave(place)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n.tag == tag for n in self.root.children if isinstance(n, _Node)):
+        if tag in ("html", "body") and tag in self.top:
             return
         if tag in CLOSES_P:
             self._close({"p"}, SCOPES | {"td", "th", "li"})
         if tag in SIBLINGS:
             for _ in SIBLINGS[tag]:
                 self._close(SIBLINGS[tag], {"table", "ul", "ol", "dl", "select"})
-        inside, node = False, self.at
-        while node is not None and not inside:
-            inside, node = node.tag in ("article", "main"), node.parent
-        child = _Node(tag, self.at, _is_part(tag, attrs, inside))
-        self.at.children.append(child)
+        at = self.open[-1]
+        child = _Node(tag, at, _is_part(tag, attrs, bool(self.where.get("article") or self.where.get("main"))))
+        at.children.append(child)
+        if at is self.root:
+            self.top.add(tag)
         if tag not in VOID:
-            self.at = child
+            self.where.setdefault(tag, []).append(len(self.open))
+            if child.cut and tag not in INLINE:
+                self.guards.append(len(self.open))
+            self.open.append(child)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in VOID and self.at.tag == tag:
-            self.at = self.at.parent
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            if node.cut and node.tag not in INLINE and tag not in SCOPES:
-                return  # a stray end tag does not leave a part of the page
-            node = node.parent
+        place = self._last({tag})
+        # A stray end tag does not leave a part of the page.
+        if place and (tag in SCOPES or not self.guards or self.guards[-1] <= place):
+            self._leave(place)
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.open[-1].children.append(data)
 
 
 def _in_order(top: _Node) -> list[_Node]:

@@ -1,9 +1,10 @@
 """URL verdicts from rules, and from trust that spreads over the links between hosts.
 
-Pages that a rule allows make their hosts trusted seeds, pages that a rule blocks distrusted ones.
-Trust follows links from a host to the hosts that it links to, distrust goes back from a host
-to those that link to it, both as personalised PageRank over weighted host edges. A page
-without a rule gets its host's verdict.
+Pages that a rule allows make their hosts trusted seeds, pages that a rule blocks distrusted ones, each by
+the share of the host's pages. Trust follows links from a host to the hosts that it links to, distrust goes back from a host
+to those that link to it, both as personalised PageRank over weighted host edges. A seed's weight does not
+depend on how many seeds there are, so hosts without a path between them do not touch each other's
+verdicts. A page without a rule gets its host's verdict.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``kind, host, rank`` of every host that trust (kind 0) or distrust (kind 1) reaches.
 
-    ``seeds`` has ``kind, host``. What a host without edges would pass on is lost. A round
+    ``seeds`` has ``kind, host, weight``; the weight is where a seed's rank starts. What a host without edges would pass on is lost. A round
     is a join and a sum, written to the shared folder; rounds end when every host's rank settles
     relative to itself, so a host that is newly reached asks for another round, and the number of
     seeds does not matter.
@@ -67,10 +68,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
     )
     total = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     arcs = settle(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "arcs")
-    n = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start = settle(
-        seeds.select("kind", "host", (1.0 / F.when(F.col("kind") == 0, n.get(0, 1)).otherwise(n.get(1, 1))).alias("rank")), "seeds"
-    )
+    start = settle(seeds.select("kind", "host", F.col("weight").alias("rank")), "seeds")
     ranks = start
     while True:
         moved = ranks.join(arcs, (ranks["host"] == arcs["src"]) & (ranks["kind"] == arcs["kind"])).select(
@@ -92,8 +90,9 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict``.
 
     ``rules`` are part of the plan, so they are a list that a person keeps; the longest one that
-    fits decides. Otherwise a host is blocked if distrust is at least half of its
-    rank, and allowed if neither kind reaches it.
+    fits decides. Otherwise a host is blocked if distrust is at least half of its rank (a tie blocks), and allowed if
+    neither kind reaches it. Pages without a rule on a host that has pages with one count for it like trust, so
+    a rule for some paths is not the verdict of the whole host unless links or most pages say so.
 
     A null url, and one without ``://``, has an empty host and path and is allowed. Null html has
     no links. Rows that repeat a page are judged each and count as pages of their host; without
@@ -103,15 +102,21 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     named = pages.select(
         F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     ).withColumn("found", _rule(F.col("host"), F.col("path"), rules))
-    seeds = settle(
-        named.filter("found IS NOT NULL")
-        .select(F.when(F.col("found.verdict") == "allow", 0).otherwise(1).alias("kind"), "host").distinct(),
-        "seeds",
+    verdict = F.col("found.verdict")
+    hosts = settle(
+        named.groupBy("host").agg(
+            F.avg(F.coalesce((verdict == "allow").cast("double"), F.lit(0.0))).alias("good"),
+            F.avg(F.coalesce((verdict == "block").cast("double"), F.lit(0.0))).alias("bad"),
+        ).filter("good > 0 OR bad > 0"),
+        "hosts",
     )
+    kinds = F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("good").alias("weight")), F.struct(F.lit(1).alias("kind"), F.col("bad").alias("weight"))))
+    seeds = hosts.select("host", kinds).filter("weight > 0")
     ranks = spread(host_edges(pages.select("url", "html")), seeds)
+    plain = hosts.select(F.lit(-1).alias("kind"), "host", ((1.0 - F.col("good") - F.col("bad")) * (1 - DAMPING)).alias("rank"))
     distrust = F.sum(F.when(F.col("kind") == 1, F.col("rank")).otherwise(0.0))
     blocked = (
-        ranks.groupBy("host").agg(distrust.alias("bad"), F.sum("rank").alias("all"))
+        ranks.unionByName(plain).groupBy("host").agg(distrust.alias("bad"), F.sum("rank").alias("all"))
         .filter((F.col("bad") > 0) & (F.col("bad") >= F.col("all") * BLOCKED_FROM))
         .select(F.col("host").alias("bad_host"))
     )

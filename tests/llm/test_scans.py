@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +13,7 @@ from taxoloom.llm.html_text import extract_text, main_text
 from taxoloom.llm.language_id import PieceTable, draw, drop_undecided, fit, identify, log_likelihoods, predict_languages
 from taxoloom.llm.license_scan import TEMPLATES, scan_licenses
 from taxoloom.llm.source_mix import mix_sources, mixed
-from taxoloom.llm.url_filter import judge_urls
+from taxoloom.llm.url_filter import DAMPING, judge_urls
 
 import numpy as np
 
@@ -94,6 +96,17 @@ def test_main_text():
     assert main_text("<div>" * 3000 + "deep words" + "</div>" * 3000) == "deep words"
 
 
+def test_broken_declarations_and_deep_pages():
+    assert main_text("a<![x[ y ]]>b<p>text</p>") == "ab\n\ntext" and main_text("<![ 1]>x") == "x"
+    assert main_text("<!DOCTYPE html [<!ELEMENT x (y)> <!ENTITY z 'w'>]><p>hello</p>") == "hello"
+    for page in ("<!", "<!--", "<!x", "<![CDATA[ x", "<!doctype", "<p>a<!-- b", "</", "<a href=", "&#xffffffff; &bogus; x"):
+        main_text(page)
+    started = time.time()
+    for tags in ("<div>", "<b>", "<p><b>", "<li>", "<table><td>", "</b><b>", "<nav></p>"):
+        main_text(tags * 50_000 + "text")
+    assert time.time() - started < 60
+
+
 def test_extracts_every_page(spark, tables):
     pages = spark.read.parquet(f"{tables}/pages.parquet")
     rows = pages.unionByName(spark.createDataFrame([(None, None, None), (-1, "u", "")], pages.schema))
@@ -247,6 +260,72 @@ def test_url_verdicts_do_not_depend_on_the_number_of_seeds(spark):
         assert len(got) == 6 and all(r["verdict"] == "block" for r in got)
 
 
+def brute_ranks(edges, weights, back):
+    """Personalised PageRank by plain iteration."""
+    out = {}
+    for (src, dst), w in edges.items():
+        src, dst = (dst, src) if back else (src, dst)
+        out.setdefault(src, {})[dst] = w
+    rank = dict(weights)
+    for _ in range(300):
+        after = {h: (1 - DAMPING) * w for h, w in weights.items()}
+        for src, arcs in out.items():
+            for dst, w in arcs.items():
+                after[dst] = after.get(dst, 0.0) + DAMPING * rank.get(src, 0.0) * w / sum(arcs.values())
+        rank = after
+    return rank
+
+
+def test_verdicts_equal_brute_force_page_rank(spark):
+    r = random.Random(3)
+    hosts = [f"h{k}.example.com" for k in range(14)] + ["a.net", "b.net", "c.org", "d.org"]
+    pages, edges, held = [], {}, {}
+    for k in range(70):
+        host = r.choice(hosts)
+        path = r.choice(["/en/", "/de/", "/fr/", "/x"])
+        to = set(r.sample(hosts, r.choice([0, 0, 1, 2]))) - {host}
+        pages.append((k, f"http://{host}{path}", "".join(f'<a href="//{h}/">x</a>' for h in sorted(to)), host, path))
+        for h in to:
+            edges[host, h] = edges.get((host, h), 0) + 1
+
+    def rule(host, path):
+        if host.endswith(".net"):
+            return "block"
+        if host.endswith(".org") and path == "/fr/":
+            return "allow"
+        return "block" if path == "/de/" and host.endswith("example.com") else None
+
+    for _, _, _, host, path in pages:
+        held.setdefault(host, []).append(rule(host, path))
+    good = {h: v.count("allow") / len(v) for h, v in held.items() if "allow" in v}
+    bad = {h: v.count("block") / len(v) for h, v in held.items() if "block" in v}
+    up, down = brute_ranks(edges, good, False), brute_ranks(edges, bad, True)
+    expected = {}
+    for k, _, _, host, path in pages:
+        plain = (1 - DAMPING) * (1 - good.get(host, 0) - bad.get(host, 0)) if host in good or host in bad else 0.0
+        all_, distrust = up.get(host, 0) + down.get(host, 0) + plain, down.get(host, 0)
+        assert not all_ or abs(distrust / all_ - 0.5) > 1e-3
+        expected[k] = rule(host, path) or ("block" if distrust > 0 and distrust >= all_ / 2 else "allow")
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    found = {x["page_id"]: x["verdict"] for x in judge_urls(df).collect()}
+    assert found == expected and len({v for k, v in found.items() if not rule(*pages[k][3:])}) == 2
+    # Seeds of either kind that nothing links to change no verdict.
+    for name in ("http://t{}.org/fr/", "http://t{}.net/"):
+        more = spark.createDataFrame([(1000 + k, name.format(k), "") for k in range(40)], df.schema)
+        assert {x["page_id"]: x["verdict"] for x in judge_urls(df.unionByName(more)).collect() if x["page_id"] < 1000} == expected
+
+
+def test_a_path_rule_is_not_the_verdict_of_a_host(spark):
+    rows = [(k, f"http://some.example.com/{'de' if k < 3 else 'x'}/{k}", "") for k in range(9)]
+    rows += [(20 + k, f"http://most.example.com/{'de' if k < 5 else 'x'}/{k}", "") for k in range(9)]
+    # Seeded both ways, half and half: a tie blocks.
+    rows += [(40, "http://e.example.net/en/", ""), (41, "http://e.example.net/", ""), (42, "http://e.example.net", "")]
+    rows += [(50, "http://f.example.net/en/", ""), (51, "http://f.example.net/", ""), (52, "http://f.example.net/q", ""), (53, "http://f.example.net", "")]
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == ("block" if k < 3 else "allow") for k in range(9)) and all(got[20 + k] == "block" for k in range(9))
+    assert got[42] == "allow" and got[53] == "block"
+
+
 def test_license_notices_that_adjoin_or_miss_words(frame):
     mit, nc, gpl, apache = (TEMPLATES[k] for k in ("MIT", "CC-BY-NC-4.0", "GPL-3.0", "Apache-2.0 header"))
     rows = [(1, " ".join([mit] * 40)), (2, f"a: {mit} b and c: {mit} d: {nc} {nc} e: {mit}"), (3, "It is Released under MIT License here"),
