@@ -36,6 +36,8 @@ EPOCHS = (5, 5000)
 WEIGHT_STEP = 0.1
 #: Points of one packed block.
 BLOCK_POINTS = 1 << 16
+#: Points that a task of an epoch has at least, where there are as many.
+TASK_POINTS = 1 << 15
 
 
 @dataclass
@@ -92,10 +94,9 @@ def init_codebook(encoded: Encoded, map_size: int, seed: int) -> np.ndarray:
 
 
 def settle_points(encoded: Encoded) -> DataFrame:
-    """The distinct rows with their number, as columnar blocks of ``BLOCK_POINTS``, one row per block.
+    """The distinct rows with their number, as columnar blocks of up to ``BLOCK_POINTS``, one row per block.
 
-    Equal rows are one weighted point, so an epoch costs what the distinct rows cost. There are as
-    many partitions as tasks can run at once, and an epoch sends one row per task to the driver.
+    Equal rows are one weighted point, so an epoch costs what the distinct rows cost.
     """
     rows = _places(encoded)
     points = rows.groupBy("indices", "cells").agg(F.count(F.lit(1)).alias("w"))
@@ -199,7 +200,11 @@ def fit_wsom(
     x, y = np.divmod(np.arange(cells), map_size)
     apart = (x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2
     first, second = np.zeros_like(weights), np.zeros_like(weights)
-    points = settle_points(encoded).coalesce(encoded.df.sparkSession.sparkContext.defaultParallelism).persist()
+    points = settle_points(encoded)
+    n = points.agg(F.sum("n")).first()[0] or 0
+    # A task with few points costs more to start than to run.
+    tasks = min(encoded.df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_POINTS))
+    points = points.coalesce(max(1, tasks)).persist()
     try:
         prototypes = prototypes * som.gate
         for epoch in range(epochs):
