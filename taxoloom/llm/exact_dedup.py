@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.scratch import settle
 from .common import BLANKS, prepare, text_bytes, without_ids
 
-#: Bytes of distinct text that a task holds before it passes its groups on.
+#: Bytes that a task holds for distinct texts before it passes its groups on.
 HELD_BYTES = 48 << 20
+#: Bytes that a group takes besides its text: trie, node, digest and its place in the lists.
+GROUP_BYTES = 1200
 _GROUPS_PER_TASK = 33
 
 _LOCAL = (
@@ -134,7 +136,7 @@ def _local_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not node.groups:
                 node.groups = [number, hashlib.sha256(plain).hexdigest()]
                 found.append((key, plain, node))
-                held += len(plain)
+                held += len(plain) + GROUP_BYTES
                 number += 1
             members.append((node.groups[0], doc_id, n, node.groups[1]))
         arrays = [pa.array(c, f.type) for c, f in zip(zip(*members), schema)] if members else []

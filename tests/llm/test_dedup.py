@@ -2,8 +2,10 @@ import hashlib
 import re
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from taxoloom.llm import exact_dedup
 from taxoloom.llm.exact_dedup import Trie, drop_exact, exact_owners
 from taxoloom.llm.graph import components
 from taxoloom.llm.near_dedup import drop_near, near_components, signature, shingles
@@ -171,3 +173,16 @@ def test_repeats_edge_tables(frame, prose):
     text = prose(1, 20)
     got = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in repeats_digest(frame([(None, text), (5, text), (5, text)])).collect())
     assert got == [(0, 20), (5, 0), (5, 0)]
+
+
+def test_short_texts_count_with_all_that_their_groups_hold(monkeypatch):
+    """A task of very many short texts passes its groups on before they fill its memory."""
+    monkeypatch.setattr(exact_dedup.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(exact_dedup, "HELD_BYTES", 1 << 20)
+    rows = [f"text number {k}" for k in range(8000)]
+    batches = (
+        pa.RecordBatch.from_arrays([pa.array(range(k, k + 500)), pa.array([20] * 500), pa.array(rows[k : k + 500])], names=["doc_id", "points", "text"])
+        for k in range(0, 8000, 500)
+    )
+    sizes = [b.num_rows for b in exact_dedup._local_groups(batches) if b.column("bytes").null_count == 0]
+    assert sum(sizes) == 8000 and max(sizes) * exact_dedup.GROUP_BYTES < 2 << 20
