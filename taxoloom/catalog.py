@@ -32,7 +32,11 @@ from .sources import meta_from_config, read_ntriples, read_table, with_row_id, w
 CONCEPT_NS = "http://example.org/orders/schema#"
 ENTITY_NS = "http://example.org/orders/data/"
 PREFIXES = {"": CONCEPT_NS, "ent": ENTITY_NS, "owl": OWL, "rdfs": RDFS, "xsd": XSD}
-PROFILED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: All tables but ``embeddings``, whose vectors are no cells of a flat table.
+PROFILED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "pages", "benchmark", "labels", "conversations",
+)
 
 ORDERS = {
     "o_orderkey": ("title_id", False),

@@ -19,6 +19,11 @@ COLUMNS = {
         "l_tax", "l_returnflag$", "l_linestatus$", "l_shipdate@",
     ],
     "events": ["event_id", "ts@", "user_id", "event_type$", "value", "props$"],
+    "documents": ["doc_id", "text$", "lang$", "source$", "n_chars"],
+    "pages": ["page_id", "url$", "html$"],
+    "benchmark": ["item_id", "text$"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role$", "text$"],
 }
 """Columns in order; ``$`` marks text and ``@`` timestamps."""
 
