@@ -696,10 +696,8 @@ def som_2(spark, sf_dir):
 @query("som_3")
 def som_3(spark, sf_dir):
     _, model = _fit(spark, sf_dir)
-    return local_frame(
-        spark,
-        [(i, [round(float(x), 6) for x in p]) for i, p in enumerate(model.prototypes)], "unit int, x array<double>"
-    )
+    cells = [(u, j, round(float(x), 6) + 0.0) for u, row in enumerate(model.prototypes) for j, x in enumerate(row)]
+    return local_frame(spark, cells, "unit int, feature_idx int, x double")
 
 
 @query("som_4")

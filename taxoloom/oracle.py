@@ -198,6 +198,89 @@ ENCODED = union(
 )
 
 
+# -- training -----------------------------------------------------------------
+
+WIDTH, SIDE, EPOCHS = 10, 5, 100
+
+
+def hot_cell(column: str, i: int) -> str:
+    value = f"(SELECT v FROM (SELECT DISTINCT {column} AS v FROM orders WHERE {column} IS NOT NULL) ORDER BY v LIMIT 1 OFFSET {i})"
+    return f"coalesce(CAST({column} = {value} AS DOUBLE), 0.0)"
+
+
+def scaled(expr: str) -> str:
+    return f"coalesce(({expr} - avg({expr}) OVER ()) / stddev_samp({expr}) OVER (), 0.0)"
+
+
+def each(cell: str) -> str:
+    """A list with one sum per feature; ``{0}`` is the feature's place."""
+    return "[" + ", ".join(f"sum({cell.format(j)})" for j in range(1, WIDTH + 1)) + "]"
+
+
+ROW_CELLS = [
+    *(hot_cell("o_orderstatus", i) for i in range(STATUSES)), scaled("o_totalprice"), scaled(SECONDS),
+    *(hot_cell("o_orderpriority", i) for i in range(WIDTH - STATUSES - 2)),
+]
+ZEROS = "[" + ", ".join(["0.0::DOUBLE"] * WIDTH) + "]"
+# One row per epoch: prototypes, feature weights, their moments, and the epoch's figures.
+TRAINED = f"""
+WITH RECURSIVE x AS MATERIALIZED (SELECT o_orderkey, [{', '.join(ROW_CELLS)}] AS v FROM orders),
+start AS (
+  SELECT list(v ORDER BY h, o_orderkey) AS book FROM (
+    SELECT o_orderkey, v, md5(CAST(o_orderkey AS VARCHAR) || '|7') AS h FROM x ORDER BY h, o_orderkey LIMIT {SIDE * SIDE})),
+near AS MATERIALIZED (
+  SELECT e, list(row ORDER BY u) AS near FROM (
+    SELECT e, u, list(exp(-((u // {SIDE} - w // {SIDE}) ** 2 + (u % {SIDE} - w % {SIDE}) ** 2) / (2 * r * r)) ORDER BY w) AS row
+    FROM (SELECT e, greatest(0.5, {SIDE / 2} * (1.0 - e / {EPOCHS - 1}.0)) AS r FROM range({EPOCHS}) t(e)),
+         range({SIDE * SIDE}) a(u), range({SIDE * SIDE}) b(w) GROUP BY e, u) GROUP BY e),
+st AS (
+  SELECT 0 AS e, list_transform(book, lambda p: list_transform(p, lambda a: a * 0.5)) AS proto, {ZEROS} AS w, {ZEROS} AS m1, {ZEROS} AS m2,
+         0.0::DOUBLE AS dist, 0::BIGINT AS units, 0.0::DOUBLE AS loss FROM start
+  UNION ALL
+  SELECT * FROM (
+    WITH g AS (
+      SELECT st.*, list_transform(w, lambda a: 1.0 / (1.0 + exp(-a))) AS gate,
+             list_transform(proto, lambda p: list_transform(p, lambda a:
+               a / CASE WHEN list_dot_product(p, p) > 0 THEN sqrt(list_dot_product(p, p)) ELSE 1.0 END)) AS t
+      FROM st WHERE e < {EPOCHS}),
+    gated AS (SELECT v, list_transform(v, lambda a, j: a * gate[j]) AS raw, t FROM x, g),
+    sized AS (SELECT v, t, sqrt(list_dot_product(raw, raw)) AS len, raw FROM gated),
+    turned AS (SELECT v, t, len, CASE WHEN len > 0 THEN list_transform(raw, lambda a: a / len) ELSE raw END AS dir FROM sized),
+    likened AS (SELECT *, list_transform(t, lambda p: list_dot_product(dir, p)) AS likes FROM turned),
+    placed AS (SELECT v, t, len, dir, list_max(likes) AS cos, list_position(likes, list_max(likes)) AS u FROM likened),
+    summed AS (SELECT u, count(*) AS c, {each('dir[{0}]')} AS total FROM placed GROUP BY u),
+    whole AS (
+      SELECT sum(1.0 - cos) AS away, count(*) AS rows,
+             {each('CASE WHEN len > 0 THEN v[{0}] * (t[u][{0}] - cos * dir[{0}]) / len ELSE 0 END')} AS slope FROM placed),
+    listed AS (SELECT list(c ORDER BY u) AS counts, list(u ORDER BY u) AS us, list(total ORDER BY u) AS totals FROM summed),
+    massed AS (
+      SELECT g.*, whole.*, listed.*, near,
+             list_transform(near, lambda row: list_sum(list_transform(us, lambda a, i: row[a] * counts[i]))) AS mass
+      FROM g, whole, listed, near WHERE near.e = g.e),
+    moved AS (
+      SELECT *, list_transform(proto, lambda old, u: CASE WHEN mass[u] > 1e-9 THEN list_transform(old, lambda a, j:
+               list_sum(list_transform(us, lambda other, i: near[u][other] * totals[i][j])) / greatest(mass[u], 1e-12)) ELSE old END) AS pulled,
+             list_transform(gate, lambda a, j: (-slope[j] / rows + 0.01) * a * (1.0 - a)) AS grad FROM massed),
+    stepped AS (
+      SELECT *, list_transform(m1, lambda a, j: 0.9 * a + 0.1 * grad[j]) AS n1,
+             list_transform(m2, lambda a, j: 0.999 * a + 0.001 * grad[j] * grad[j]) AS n2 FROM moved)
+    SELECT e + 1, pulled, list_transform(w, lambda a, j:
+             a - 0.1 * (n1[j] / (1 - 0.9 ** (e + 1))) / (sqrt(n2[j] / (1 - 0.999 ** (e + 1))) + 1e-8)),
+           n1, n2, away / rows, len(us)::BIGINT, away / rows + 0.01 * list_sum(gate) FROM stepped)),
+model AS (SELECT proto, list_transform(w, lambda a: 1.0 / (1.0 + exp(-a))) AS gate FROM st WHERE e = {EPOCHS})
+"""
+# A row's direction is not needed: its length does not change which cosine is the highest.
+SOM_5 = TRAINED + """
+SELECT o_orderkey, CAST(list_position(likes, list_max(likes)) - 1 AS INTEGER) AS cluster FROM (
+  SELECT o_orderkey, list_transform(proto, lambda p:
+    list_dot_product(list_transform(v, lambda a, j: a * gate[j]), p) / sqrt(list_dot_product(p, p))) AS likes FROM x, model)
+"""
+SOM_6 = TRAINED + f"""
+SELECT column_name, round(weight, 6) AS weight, weight = max(weight) OVER () AS best FROM (
+  SELECT unnest(['o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS column_name,
+         unnest([list_max(gate[1:{STATUSES}]), gate[{STATUSES + 1}], gate[{STATUSES + 2}], list_max(gate[{STATUSES + 3}:{WIDTH}])]) AS weight FROM model)
+"""
+
 # -- discovery ----------------------------------------------------------------
 
 STEPS = ", ".join(f"{p / 100}" for p in range(5, 100, 5))
@@ -867,6 +950,13 @@ ORACLE: dict[str, str] = {
                CAST((SELECT greatest(5, least(5000, floor(250000.0 / count(*) + 0.5))) FROM orders) AS INTEGER) AS suggested
         FROM (VALUES (1, 20), (2, 5), (20, 5000), (21, 20), (5, 4), (5, 5001)) v(map_size, epochs)
     """,
+    "som_3": TRAINED
+    + "SELECT CAST(u - 1 AS INTEGER) AS unit, CAST(j - 1 AS INTEGER) AS feature_idx, round(proto[u][j], 6) + 0.0 AS x "
+    f"FROM model, range(1, {SIDE * SIDE + 1}) a(u), range(1, {WIDTH + 1}) b(j)",
+    "som_4": TRAINED
+    + "SELECT CAST(e AS INTEGER) AS epoch, round(dist, 6) AS dist, CAST(units AS INTEGER) AS units, round(loss, 6) AS loss FROM st WHERE e > 0",
+    "som_5": SOM_5,
+    "som_6": SOM_6,
     "som_7": SOM_7,
     "som_8": SOM_8,
     "som_9": SOM_9,
