@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.scratch import settle
 from .blocks import (
-    BLOCK_BYTES, ROWS, counted, distinct_runs, dump, joined, load, partitions_for, row_batches, streamed, table_batches,
+    ROWS, counted, distinct_runs, dump, joined, load, partitions_for, row_batches, streamed, table_batches,
     text_blocks, text_total,
 )
 from .common import mix, prepare
@@ -40,6 +40,8 @@ TOP = 2000
 SHARES = 16
 #: Suffixes of the prefixes in one group.
 GROUP_SUFFIXES = 500_000
+#: Bytes of text that a task holds before it closes a block: its words take a multiple of them.
+BLOCK_BYTES = 4 << 20
 #: Bytes of text whose words meet in one part of the vocabulary.
 BYTES_PER_PART = 16 << 20
 
