@@ -16,6 +16,8 @@ BLANKS = b" \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text for one slice of a keyed exchange.
 BYTES_PER_SLICE = 4 << 20
+#: Bytes of text for one partition of a keyed exchange.
+BYTES_PER_PARTITION = 16 << 20
 #: Words that a task holds before it closes a block of documents.
 BLOCK_WORDS = 2_000_000
 _BLOCKS_PER_TASK = 24
@@ -190,7 +192,7 @@ def exchange_batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.Reco
         yield batch()
 
 
-def answer(requests: DataFrame, merge: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+def answer(requests: DataFrame, merge: Callable[[list[bytes]], list[bytes]], n: int) -> DataFrame:
     """Bring the requests of all blocks for a slice together; ``merge`` gives each its answer."""
 
     def run(batches):
@@ -201,15 +203,15 @@ def answer(requests: DataFrame, merge: Callable[[list[bytes]], list[bytes]]) ->
 
         return exchange_batches(rows())
 
-    return requests.repartition("slice").sortWithinPartitions("slice", "block").mapInArrow(run, EXCHANGE)
+    return requests.repartition(n, "slice").sortWithinPartitions("slice", "block").mapInArrow(run, EXCHANGE)
 
 
-def by_block(*tables: DataFrame) -> DataFrame:
-    """All rows of a block in one partition, in the order of their slices."""
+def by_block(n: int, *tables: DataFrame) -> DataFrame:
+    """All rows of a block in one of ``n`` partitions, in the order of their slices."""
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t)
-    return rows.repartition("block").sortWithinPartitions("block", "slice")
+    return rows.repartition(n, "block").sortWithinPartitions("block", "slice")
 
 
 def slices_of(docs: DataFrame, text: str) -> tuple[int, int]:
@@ -218,11 +220,19 @@ def slices_of(docs: DataFrame, text: str) -> tuple[int, int]:
     return int(max(8, -(-total // BYTES_PER_SLICE))), total
 
 
-def cut_by_slice(keys: np.ndarray, bits: int, n_slices: int) -> np.ndarray:
-    """Bounds of each slice in a rising array of ``bits``-wide keys."""
-    edges = [(k << bits) // n_slices for k in range(1, n_slices)]
-    inner = np.searchsorted(keys, np.array(edges, np.uint64)) if edges else []
-    return np.concatenate([[0], inner, [len(keys)]]).astype(np.int64)
+def partitions_of(spark: SparkSession, total: int) -> int:
+    """Partitions of an exchange, so that what one task reads does not grow with the ``total`` bytes of text."""
+    return int(max(spark.sparkContext.defaultParallelism, -(-total // BYTES_PER_PARTITION)))
+
+
+def cut_by_slice(keys: np.ndarray, bits: int, n_slices: int) -> dict[int, tuple[int, int]]:
+    """Bounds of each slice that a rising array of ``bits``-wide keys has a key in; the others cost nothing."""
+    if not len(keys):
+        return {}
+    high = keys >> np.uint64(max(bits - 32, 0))
+    slices = (high * np.uint64(n_slices) >> np.uint64(min(bits, 32))).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], slices[1:] != slices[:-1]]))
+    return dict(zip(slices[first].tolist(), zip(first.tolist(), [*first[1:].tolist(), len(keys)])))
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:

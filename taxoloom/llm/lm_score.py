@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.scratch import settle
 from .common import (
     EXCHANGE, Block, answer, blocks_of, by_block, cut_by_slice, exchange_batches, mix, mod_of_id, pack, pack_sorted,
-    prepare, runs, slices_of, unpack, unpack_sorted,
+    partitions_of, prepare, runs, slices_of, unpack, unpack_sorted,
 )
 
 #: Documents whose crc32 of the id has this remainder are held out of training.
@@ -104,11 +104,9 @@ class _Texts:
 
 
 def _requests(number: int, keys: np.ndarray, counts: np.ndarray, n_slices: int, first: int):
-    bounds = cut_by_slice(keys, 64, n_slices)
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if b > a:
-            part = pack_sorted(keys[a:b])
-            yield number, first + k, len(part).to_bytes(4, "little") + part + pack(counts[a:b])
+    for k, (a, b) in cut_by_slice(keys, 64, n_slices).items():
+        part = pack_sorted(keys[a:b])
+        yield number, first + k, len(part).to_bytes(4, "little") + part + pack(counts[a:b])
 
 
 def _merge(requests: list[bytes]) -> list[bytes]:
@@ -155,7 +153,7 @@ def _counts(group: list[dict], keys: np.ndarray, n_slices: int, first: int) -> n
     for row in group:
         k = row["slice"] - first
         if 0 <= k < n_slices:
-            out[bounds[k] : bounds[k + 1]] = unpack(row["data"], np.int64)
+            out[slice(*bounds[k])] = unpack(row["data"], np.int64)
     return out
 
 
@@ -276,11 +274,12 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hel
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
         F.coalesce(mod_of_id(doc_id, FOLDS) == HELD_OUT if held is None else held, F.lit(False)).alias("held"),
     )
-    n_slices, _ = slices_of(rows, "text")
+    n_slices, total = slices_of(rows, "text")
+    n = partitions_of(docs.sparkSession, total)
     blocks = settle(rows.mapInArrow(_pack_blocks, EXCHANGE), "texts")
     asked = blocks.mapInArrow(partial(_ask, n_slices=n_slices), EXCHANGE)
-    answers = settle(answer(asked, _merge), "counts")
-    grouped = by_block(blocks, answers)
+    answers = settle(answer(asked, _merge, n), "counts")
+    grouped = by_block(n, blocks, answers)
     model = _model(grouped.mapInArrow(partial(_statistics, n_slices=n_slices), "kind int, class int, value double"))
     scored = grouped.mapInArrow(
         partial(_scores, n_slices=n_slices, model=model),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.scratch import settle
 from .common import (
     EXCHANGE, Block, answer, blocks_of, by_block, cut_by_slice, exchange_batches, pack, pack_flags,
-    pack_sorted, prepare, runs, slices_of, unpack, unpack_flags, unpack_sorted, windows,
+    pack_sorted, partitions_of, prepare, runs, slices_of, unpack, unpack_flags, unpack_sorted, windows,
 )
 
 #: Words of a window.
@@ -76,12 +76,10 @@ def _requests(number: int, block: Block, at: np.ndarray, level: int, n: int, bit
     else:
         owner = block.owners()[at][order]
         value = owner[first] != owner[first + counts - 1]
-    bounds = cut_by_slice(keys, bits, n_slices)
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if b > a:
-            packed = pack(value[a:b]) if last else pack_flags(value[a:b])
-            part = pack_sorted(keys[a:b])
-            yield number, k, len(part).to_bytes(4, "little") + part + packed
+    for k, (a, b) in cut_by_slice(keys, bits, n_slices).items():
+        packed = pack(value[a:b]) if last else pack_flags(value[a:b])
+        part = pack_sorted(keys[a:b])
+        yield number, k, len(part).to_bytes(4, "little") + part + packed
 
 
 def _opened(data: bytes, last: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +142,7 @@ def _answers(block: Block, at: np.ndarray, level: int, n: int, bits: int, n_slic
     value = np.zeros(len(keys), np.int64 if last else bool)
     bounds = cut_by_slice(keys, bits, n_slices)
     for row in group:
-        a, b = bounds[row["slice"]], bounds[row["slice"] + 1]
+        a, b = bounds[row["slice"]]
         value[a:b] = unpack(row["data"], np.int64) if last else unpack_flags(row["data"], b - a)
     found = np.empty(len(at), value.dtype)
     found[order] = np.repeat(value, counts)
@@ -211,6 +209,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n_slices, total = slices_of(rows, "text")
+    n = partitions_of(docs.sparkSession, total)
     lengths = levels(window)
     # A short key tells most windows apart: collisions only let a candidate through.
     widths = [min(64, total.bit_length() + 4)] * (len(lengths) - 1) + [64]
@@ -226,10 +225,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             _next_level, level=level, n=lengths[level], longer=lengths[level + 1],
             bits=(widths[level], widths[level + 1]), n_slices=n_slices, last=level + 2 == len(lengths),
         )
-        found = settle(by_block(blocks, mask, answer(requests, _merge_flags)).mapInArrow(grow, EXCHANGE), "windows")
+        found = settle(by_block(n, blocks, mask, answer(requests, _merge_flags, n)).mapInArrow(grow, EXCHANGE), "windows")
     end = partial(_without_repeats, level=len(lengths) - 1, n=window, bits=64, n_slices=n_slices)
     mask, requests = found.filter(F.col("slice") == _MASK), found.filter("slice >= 0")
-    return by_block(blocks, mask, answer(requests, _merge_ids)).mapInArrow(
+    return by_block(n, blocks, mask, answer(requests, _merge_ids, n)).mapInArrow(
         end, "doc_id long, n_words long, n_removed long, spans array<int>, kept string"
     )
 

@@ -1,11 +1,13 @@
 import hashlib
 import re
+import time
 from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from taxoloom.llm import exact_dedup
+from taxoloom.llm.common import cut_by_slice
 from taxoloom.llm.exact_dedup import Trie, drop_exact, exact_owners
 from taxoloom.llm.graph import components
 from taxoloom.llm.near_dedup import drop_near, near_components, signature, shingles
@@ -186,3 +188,21 @@ def test_short_texts_count_with_all_that_their_groups_hold(monkeypatch):
     )
     sizes = [b.num_rows for b in exact_dedup._local_groups(batches) if b.column("bytes").null_count == 0]
     assert sum(sizes) == 8000 and max(sizes) * exact_dedup.GROUP_BYTES < 2 << 20
+
+
+def test_slices_cost_what_the_keys_cost():
+    """A small block among a million slices, and slices that together hold every key once, in order."""
+    r = np.random.default_rng(1)
+    for bits in (20, 33, 40, 64):
+        keys = np.unique(r.integers(0, 1 << bits, 500, dtype=np.uint64, endpoint=False) if bits < 64 else r.integers(0, 2**64 - 1, 500, dtype=np.uint64))
+        for n_slices in (1, 8, 1_000_000, 1 << 30):
+            started = time.perf_counter()
+            cut = cut_by_slice(keys, bits, n_slices)
+            assert time.perf_counter() - started < 0.05 and len(cut) <= len(keys)
+            assert [i for a, b in cut.values() for i in range(a, b)] == list(range(len(keys)))
+            assert list(cut) == sorted(cut) and 0 <= min(cut) and max(cut) < n_slices
+            # Any part of the keys falls into the same slices.
+            some = cut_by_slice(keys[::7], bits, n_slices)
+            of = {int(k): s for s, (a, b) in cut.items() for k in keys[a:b]}
+            assert all(of[int(k)] == s for s, (a, b) in some.items() for k in keys[::7][a:b])
+    assert cut_by_slice(np.zeros(0, np.uint64), 64, 1000) == {}
