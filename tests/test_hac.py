@@ -121,3 +121,45 @@ def test_single_row(spark):
     concepts, member = h.cut_tree(tree)
     assert [r["id"] for r in concepts.collect()] == ["root"]
     assert [tuple(r) for r in member.collect()] == [("root", 7)]
+
+
+@pytest.mark.parametrize(
+    "linkage,metric",
+    [("ward", "euclidean"), ("complete", "euclidean"), ("average", "cityblock"), ("single", "chebyshev"), ("average", "cosine")],
+)
+def test_rounds_over_blocks_equal_brute_force(spark, monkeypatch, linkage, metric):
+    """Many blocks, clusters larger than what a task holds at once, and all merges made in rounds."""
+    for name, value in (("LAST_CLUSTERS", 2), ("BLOCK_POINTS", 7), ("HELD_CELLS", 9)):
+        monkeypatch.setattr(h, name, value)
+    test_equals_brute_force(spark, linkage, metric)
+
+
+def test_more_distinct_rows_than_one_matrix(spark):
+    """20,500 distinct rows, more than were clustered before, in groups of 2,050."""
+    df = spark.range(20_500).selectExpr("id as row_id", "cast(1000 * (id % 10) + 0.01 * floor(id / 10) as double) as x")
+    tree = h.hac(encode(df, metadata_from_types(df, {"row_id": ("title_id", False)})))
+    assert tree.merges.count() == tree.merges.select("node").distinct().count() == 20_499
+    assert tree.merges.agg({"size": "max"}).first()[0] == 20_500
+    tops = tree.merges.where("size % 2050 = 0").groupBy("size").count().collect()
+    assert {r["size"]: r["count"] for r in tops}[2050] == 10
+
+
+def test_ends_inside_and_above_points(spark):
+    """A cut that ends in merges of points, at whole points and among equal rows holds every row once."""
+    df = spark.range(64).selectExpr("id as row_id", "cast(case when id < 40 then 0 when id < 41 then 50 else id end as double) as x")
+    tree = h.hac(encode(df, metadata_from_types(df, {"row_id": ("title_id", False)})))
+    merges = {r["node"]: r for r in tree.merges.collect()}
+    leaf = {r["leaf"]: r["row_id"] for r in tree.leaves.collect()}
+
+    def under(node):
+        return {leaf[node]} if node < tree.n else under(merges[node]["left"]) | under(merges[node]["right"])
+
+    for depth in (1, 2, 3, 5, 9):
+        concepts, member = h.to_taxonomy(tree, depth)
+        held = {}
+        for r in member.collect():
+            held.setdefault(r["concept_id"], []).append(r["row_id"])
+        assert sorted(i for ids in held.values() for i in ids) == list(range(64))
+        assert {r["id"]: r["size"] for r in concepts.where("n_rows > 0").collect()} == {c: len(ids) for c, ids in held.items()}
+        groups = {frozenset(under(n)) for n in (*merges, *leaf)}
+        assert all(frozenset(ids) in groups for ids in held.values())
