@@ -163,3 +163,17 @@ def test_ends_inside_and_above_points(spark):
         assert {r["id"]: r["size"] for r in concepts.where("n_rows > 0").collect()} == {c: len(ids) for c, ids in held.items()}
         groups = {frozenset(under(n)) for n in (*merges, *leaf)}
         assert all(frozenset(ids) in groups for ids in held.values())
+
+
+def test_rows_of_a_k_means_task_are_bounded(spark, monkeypatch):
+    """One file split of many rows is dealt out before the rows are kept as vectors."""
+    from pyspark.ml.clustering import KMeans
+
+    df = spark.range(4000).coalesce(1).selectExpr("id as row_id", "cast(id % 50 as double) + 1000 * (id % 2) as x")
+    enc = encode(df, metadata_from_types(df, {"row_id": ("title_id", False)}))
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(h, "TRAINED_CELLS", 100, raising=False)
+    monkeypatch.setattr(KMeans, "fit", lambda self, data: seen.append(data.rdd.getNumPartitions()) or fit(self, data))
+    small = h.micro_clusters(enc, 2)
+    assert seen == [40]
+    assert small.df.count() == 4000 and small.df.select("features").distinct().count() == 2
