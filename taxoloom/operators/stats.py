@@ -26,6 +26,10 @@ THING = OWL + "Thing"
 SUBCLASS = RDFS + "subClassOf"
 
 
+# Rows that a task makes distinct or counts at once.
+TASK_ROWS = 500_000
+
+
 class BadOntology(ValueError):
     """An ontology that cannot be read, or whose subclass relation has a cycle."""
 
@@ -38,6 +42,16 @@ def _by(df: DataFrame) -> list[str]:
     return ["file"] if "file" in df.columns else []
 
 
+def _dealt(df: DataFrame, triples: DataFrame, *key: str) -> DataFrame:
+    """``df``, made of rows of ``triples``, by ``key`` in as many tasks as the triples need."""
+    return df.repartition(_tasks(triples), *_by(df), *key)
+
+
+def _tasks(triples: DataFrame) -> int:
+    usual = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-triples.count() // TASK_ROWS))
+
+
 def _types(triples: DataFrame) -> DataFrame:
     return triples.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "uri")).select(*_by(triples), "s", "o")
 
@@ -76,13 +90,13 @@ def subclass_edges(triples: DataFrame) -> DataFrame:
 def class_instances(triples: DataFrame, classes: DataFrame) -> DataFrame:
     """Distinct ``(individual, class)`` pairs."""
     by = _by(triples)
-    return (
+    pairs = (
         _types(triples)
         .where(_is_named("s"))
         .join(classes.select(*by, F.col("class").alias("o")), [*by, "o"], "left_semi")
         .select(*by, F.col("s").alias("individual"), F.col("o").alias("class"))
-        .distinct()
     )
+    return _dealt(pairs, triples, "individual", "class").distinct()
 
 
 def individuals(triples: DataFrame, classes: DataFrame, instances: DataFrame | None = None) -> DataFrame:
@@ -90,7 +104,8 @@ def individuals(triples: DataFrame, classes: DataFrame, instances: DataFrame | N
     by = _by(triples)
     declared = _types(triples).where((F.col("o") == OWL + "NamedIndividual") & _is_named("s"))
     typed = class_instances(triples, classes) if instances is None else instances
-    return declared.select(*by, F.col("s").alias("individual")).unionByName(typed.select(*by, "individual")).distinct()
+    every = declared.select(*by, F.col("s").alias("individual")).unionByName(typed.select(*by, "individual"))
+    return _dealt(every, triples, "individual").distinct()
 
 
 def _without(classes: DataFrame, edges: DataFrame, end: str) -> DataFrame:
@@ -169,10 +184,10 @@ def coverage(
     """Number of individuals, and the share typed by a class that is not a root."""
     by = _by(classes)
     instances = class_instances(triples, classes) if instances is None else instances
-    top = roots(classes, edges)
+    top = settle(roots(classes, edges), "roots")
     held = instances.join(top, [*by, "class"], "left_anti").select(*by, "individual", F.lit(1).alias("hit"))
     total = individuals(triples, classes, instances).select(*by, "individual", F.lit(0).alias("hit"))
-    per = held.unionByName(total).groupBy(*by, "individual").agg(F.max("hit").alias("hit"))
+    per = _dealt(held.unionByName(total), triples, "individual").groupBy(*by, "individual").agg(F.max("hit").alias("hit"))
     return per.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_individuals"),
         F.coalesce(F.round(F.sum("hit") / F.count(F.lit(1)), 4), F.lit(0.0)).alias("coverage"),
