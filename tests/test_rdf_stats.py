@@ -206,3 +206,17 @@ def test_colliding_values(spark):
     tax = Taxonomy(df, meta)
     triples = rdf.export_triples(tax, *NS)
     assert triples.count() == triples.distinct().count()
+
+
+def test_tasks_of_the_statistics_grow_with_the_triples(spark, monkeypatch):
+    rows = [(f"http://x/i{i}", RDF_TYPE, f"http://x/C{i % 3}", "uri") for i in range(300)] * 2
+    rows += [(f"http://x/C{k}", RDF_TYPE, OWL + "Class", "uri") for k in range(3)]
+    triples = spark.createDataFrame(rows, "s string, p string, o string, o_kind string").coalesce(2)
+    monkeypatch.setattr(stats, "TASK_ROWS", 20, raising=False)
+    classes = stats.named_classes(triples)
+    pairs = stats.class_instances(triples, classes)
+    every = stats.individuals(triples, classes, pairs)
+    assert pairs.rdd.getNumPartitions() == every.rdd.getNumPartitions() == 31
+    assert pairs.count() == every.count() == 300
+    counts = {r["class"]: r["n"] for r in stats.instance_counts(triples, classes).collect()}
+    assert counts == {f"http://x/C{k}": 100 for k in range(3)}
