@@ -38,6 +38,10 @@ WEIGHT_STEP = 0.1
 BLOCK_POINTS = 1 << 16
 #: Points that a task of an epoch has at least, where there are as many.
 TASK_POINTS = 1 << 15
+#: Points of equal indices worked on at once; shorter runs are worked on together.
+RUN_POINTS, SHORT_RUN = 1 << 12, 256
+#: Blocks that a task of an epoch is handed at once.
+BATCH_BLOCKS = 4
 
 
 @dataclass
@@ -118,16 +122,19 @@ def settle_points(encoded: Encoded) -> DataFrame:
 
 def _packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     indices, cells, w = (np.concatenate(x) for x in zip(*parts))
+    if indices.shape[1]:
+        # Points of equal indices follow each other.
+        order = np.lexsort(indices.T)
+        indices, cells, w = indices[order], cells[order], w[order]
     columns = [pa.array([len(w)], pa.int32())]
     columns += [pa.array([x.tobytes()], pa.binary()) for x in (indices.astype(np.int32), cells.astype(np.float64), w.astype(np.int64))]
     return pa.RecordBatch.from_arrays(columns, names=["n", "indices", "cells", "w"])
 
 
-def _likeness(at: np.ndarray, cells: np.ndarray, gate: np.ndarray, targets: np.ndarray):
-    """Directions of gated rows, their lengths, and their cosine with every prototype."""
+def _likeness(at: np.ndarray, cells: np.ndarray, gate: np.ndarray, turned: np.ndarray):
+    """Directions of gated rows, their lengths, and their cosine with every prototype, a column of ``turned``."""
     y, norm = _unit_rows(cells * gate[at])
-    turned = np.ascontiguousarray(targets.T)
-    out = np.zeros((len(at), len(targets)))
+    out = np.zeros((len(at), turned.shape[1]))
     for k in range(at.shape[1]):
         # A number column has one index for all rows.
         same = at[:1, k] if len(at) and (at[:, k] == at[0, k]).all() else at[:, k]
@@ -135,28 +142,49 @@ def _likeness(at: np.ndarray, cells: np.ndarray, gate: np.ndarray, targets: np.n
     return y, norm, out
 
 
+def _runs(at: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of pieces of up to ``RUN_POINTS`` rows, each of equal indices unless those are short."""
+    starts = np.append(0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1)
+    if len(at) < SHORT_RUN * len(starts):
+        starts = np.array([0])
+    ends = np.append(starts[1:], len(at))
+    return [(lo, min(lo + RUN_POINTS, hi)) for first, hi in zip(starts.tolist(), ends.tolist()) for lo in range(first, hi, RUN_POINTS)]
+
+
 def _partial_sums(prototypes: np.ndarray, gate: np.ndarray):
     """Per task: Σ direction and number of the rows of each unit, the weight gradient and the distance."""
-    targets, _ = _unit_rows(prototypes)
+    turned = np.ascontiguousarray(_unit_rows(prototypes)[0].T)
     units, width = prototypes.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count, slope = np.zeros(units * width), np.zeros(units, np.int64), np.zeros(width)
         away = 0.0
-        for row in (r for batch in batches for r in batch.to_pylist()):
-            at = np.frombuffer(row["indices"], np.int32).reshape(row["n"], -1)
-            x = np.frombuffer(row["cells"], np.float64).reshape(row["n"], -1)
-            w = np.frombuffer(row["w"], np.int64)
-            y, norm, like = _likeness(at, x, gate, targets)
-            unit = like.argmax(axis=1)
-            cos = like[np.arange(len(unit)), unit]
-            np.add.at(count, unit, w)
-            flat = (unit[:, None] * width + at).ravel()
-            total += np.bincount(flat, weights=(y * w[:, None]).ravel(), minlength=units * width)
-            safe = np.where(norm > 0, norm, np.inf)
-            step = x * (targets[unit[:, None], at] - cos[:, None] * y) * (w / safe)[:, None]
-            slope += np.bincount(at.ravel(), weights=step.ravel(), minlength=width)
-            away += float(((1.0 - cos) * w).sum())
+        for row in (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+            indices = np.frombuffer(row["indices"], np.int32).reshape(row["n"], -1)
+            cells = np.frombuffer(row["cells"], np.float64).reshape(row["n"], -1)
+            weights = np.frombuffer(row["w"], np.int64)
+            for lo, hi in _runs(indices):
+                at, x, w = indices[lo:hi], cells[lo:hi], weights[lo:hi]
+                y, norm, like = _likeness(at, x, gate, turned)
+                unit = like.argmax(axis=1)
+                cos = like[np.arange(len(unit)), unit]
+                count += np.bincount(unit, weights=w, minlength=units).astype(np.int64)
+                safe = np.where(norm > 0, norm, np.inf)
+                share = w / safe
+                if (at[0] == at[-1]).all() and (at == at[0]).all():
+                    # One set of places for all rows.
+                    own = at[0]
+                    step = x * (turned[own].T[unit] - cos[:, None] * y) * share[:, None]
+                    for k, j in enumerate(own):
+                        total[j::width] += np.bincount(unit, weights=y[:, k] * w, minlength=units)
+                        slope[j] += step[:, k].sum()
+                else:
+                    flat = unit[:, None] * width + at
+                    some, back = np.unique(flat, return_inverse=True)
+                    total[some] += np.bincount(back.ravel(), weights=(y * w[:, None]).ravel())
+                    step = x * (turned[at, unit[:, None]] - cos[:, None] * y) * share[:, None]
+                    np.add.at(slope, at.ravel(), step.ravel())
+                away += float(((1.0 - cos) * w).sum())
         used = np.flatnonzero(total)
         parts = [x.tobytes() for x in (used, total[used], count, slope)]
         yield pa.RecordBatch.from_arrays(
@@ -205,6 +233,10 @@ def fit_wsom(
     # A task with few points costs more to start than to run.
     tasks = min(encoded.df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_POINTS))
     points = points.coalesce(max(1, tasks)).persist()
+    # A batch is held whole by its task, and a row is a block.
+    conf, rows_of_batch = encoded.df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(rows_of_batch)
+    conf.set(rows_of_batch, BATCH_BLOCKS)
     try:
         prototypes = prototypes * som.gate
         for epoch in range(epochs):
@@ -225,6 +257,7 @@ def fit_wsom(
             som.weights = som.weights - WEIGHT_STEP * step / (spread + 1e-8)
             prototypes = moved
     finally:
+        conf.set(rows_of_batch, usual)
         points.unpersist()
     som.prototypes = prototypes
     return som
@@ -232,7 +265,7 @@ def fit_wsom(
 
 def assign_bmu(encoded: Encoded, som: WeightedSom, keep: list[str] | None = None) -> DataFrame:
     """``(key, …keep, cluster)``: the best-matching unit of every row, x * map_size + y."""
-    targets, _ = _unit_rows(som.prototypes)
+    turned = np.ascontiguousarray(_unit_rows(som.prototypes)[0].T)
     gate = som.gate
     names = list(dict.fromkeys([encoded.key, *(keep or [])]))
     raw = _places(encoded).select(*[F.col(f"`{c}`") for c in names], "indices", "cells")
@@ -240,7 +273,7 @@ def assign_bmu(encoded: Encoded, som: WeightedSom, keep: list[str] | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, x = _table(batch.column(len(names)), batch.column(len(names) + 1))
-            _, _, like = _likeness(at, x, gate, targets)
+            _, _, like = _likeness(at, x, gate, turned)
             unit = pa.array(like.argmax(axis=1), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], unit], names=[*names, "cluster"])
 

@@ -259,3 +259,22 @@ def test_merging():
     # 1 and 2 are most alike and merge first; the result then takes 3.
     assert [f.f1 for f in out] == [0.7]
     assert len(rs.merge_clusters(search, found, centroids, 0.6)) == 3
+
+
+def test_an_epoch_holds_a_few_blocks_at_a_time(spark, monkeypatch):
+    """The batches of an epoch do not grow with the points of a task, and the setting is put back."""
+    from taxoloom.operators import discover as module
+
+    df = spark.range(4000).selectExpr("id as row_id", "sin(id) as x", "cos(id * 3) as y", "cast(id % 3 as string) as c")
+    enc = encode_sparse(df, metadata_from_types(df, {"row_id": ("title_id", False), "c": ("categorical", True)}))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual, seen, epoch = spark.conf.get(name), [], module._epoch
+    monkeypatch.setattr(module, "_epoch", lambda *a: seen.append(int(spark.conf.get(name))) or epoch(*a))
+    whole = fit_wsom(enc, 3, 0.01, 6, 5)
+    assert seen == [module.BATCH_BLOCKS] * 6 and spark.conf.get(name) == usual
+    for run, short in ((50, 1), (64, 10**9)):
+        monkeypatch.setattr(module, "RUN_POINTS", run)
+        monkeypatch.setattr(module, "SHORT_RUN", short)
+        again = fit_wsom(enc, 3, 0.01, 6, 5)
+        assert np.allclose(again.prototypes, whole.prototypes) and np.allclose(again.weights, whole.weights)
+        assert [h[2] for h in again.history] == [h[2] for h in whole.history]
