@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from taxoloom.metadata import metadata_from_types
 from taxoloom.operators import restriction_search as rs
 from taxoloom.operators.discover import (
+    DealtSom,
     assign_bmu,
     check_parameters,
     discover,
@@ -20,7 +21,7 @@ from taxoloom.operators.discover import (
     _epoch,
     suggested_epochs,
 )
-from taxoloom.operators.encode import Span, encode, encode_sparse
+from taxoloom.operators.encode import Span, encode, encode_sparse, fit_encoder
 from taxoloom.operators.taxonomy import Taxonomy
 
 
@@ -278,3 +279,79 @@ def test_an_epoch_holds_a_few_blocks_at_a_time(spark, monkeypatch):
         again = fit_wsom(enc, 3, 0.01, 6, 5)
         assert np.allclose(again.prototypes, whole.prototypes) and np.allclose(again.weights, whole.weights)
         assert [h[2] for h in again.history] == [h[2] for h in whole.history]
+
+
+def named(spark, n=300):
+    """Points with a wide column of names: most occur once, one often, some not at all, and every seventh is missing."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(n):
+        name = None if i % 7 == 0 else "often" if i % 3 == 0 else f"n{i // 2 * 2 if i % 5 == 0 else i}"
+        rows.append((i, 10.0 * (i % 3) + rnd.gauss(0, 0.3), rnd.gauss(0, 1), rnd.choice(["x", "y", None]), name))
+    df = spark.createDataFrame(rows, "row_id long, x double, z double, c string, name string")
+    return df, metadata_from_types(df, {"row_id": ("title_id", False), "c": ("categorical", True), "name": ("categorical", True)})
+
+
+@pytest.fixture
+def dealt(monkeypatch):
+    """Every map is dealt out, and a feature of more than ten points stays with the driver."""
+    from taxoloom.operators import discover as module
+
+    def on():
+        monkeypatch.setattr(module, "MAP_CELLS", 1)
+        monkeypatch.setattr(module, "HEAVY_PARTS", 100)
+
+    return on
+
+
+@pytest.mark.parametrize("map_size, epochs, part", [(3, 12, False), (2, 8, True), (7, 25, False)])
+def test_a_dealt_map_equals_one_on_the_driver(spark, dealt, map_size, epochs, part):
+    df, meta = named(spark)
+    encoder = fit_encoder(df, meta)
+    # Of a part of the rows, most names are held by no point.
+    enc = encoder.transform(df.where("row_id % 4 = 1") if part else df)
+    whole = fit_wsom(enc, map_size, 0.01, epochs, 3)
+    clusters = {r["row_id"]: r["cluster"] for r in assign_bmu(encoder.transform(df), whole).collect()}
+    columns = whole.best_column(encoder.spans)
+    dealt()
+    som = fit_wsom(enc, map_size, 0.01, epochs, 3)
+    assert isinstance(som, DealtSom) and np.allclose(som.history, whole.history)
+    held = som.held
+    assert len(held) == 5
+    assert np.allclose(som.weights, whole.weights[held]) and np.allclose(som.prototypes, whole.prototypes[:, held])
+    rest = {r["feature_idx"]: r for r in som.features().collect()}
+    assert set(rest).isdisjoint(held.tolist()) and (part or len(rest) + len(held) == encoder.spans[-1].start + encoder.spans[-1].size)
+    for j, r in rest.items():
+        assert r["gate"] == pytest.approx(whole.gate[j]) and np.allclose(r["row"], whole.prototypes[:, j], rtol=1e-7, atol=1e-12)
+    assert np.allclose(som.centroids @ som.centroids.T, whole.prototypes @ whole.prototypes.T)
+    best, weight = som.best_column(encoder.spans)
+    assert best == columns[0] and weight == pytest.approx(columns[1])
+    assert {r["row_id"]: r["cluster"] for r in assign_bmu(encoder.transform(df), som).collect()} == clusters
+
+
+def test_discovery_with_a_dealt_map(spark, dealt):
+    df, meta = named(spark)
+
+    def run():
+        tax = Taxonomy(df, meta)
+        got = discover(tax, tax.root_id, map_size=3, epochs=8, seed=2)
+        return got, [tax[i].restrictions for i in got.proposed]
+
+    one, proposed = run()
+    dealt()
+    other, again = run()
+    assert proposed and again == proposed and other.column == one.column
+    assert isinstance(other.som, DealtSom) and other.column_weights == pytest.approx(one.column_weights)
+
+
+def test_the_driver_and_the_tasks_are_sent_no_part_of_a_wide_map(spark, dealt, monkeypatch):
+    """What an epoch sends and returns has the width of the held features, whatever the number of names."""
+    from taxoloom.operators import discover as module
+
+    widths, epoch = [], module._dealt_epoch
+    monkeypatch.setattr(module, "_dealt_epoch", lambda e, prototypes, weights, lengths, mix, *a: widths.append((prototypes.shape, len(mix))) or epoch(e, prototypes, weights, lengths, mix, *a))
+    dealt()
+    for n in (100, 400):
+        df, meta = named(spark, n)
+        fit_wsom(encode_sparse(df, meta), 2, 0.01, 5, 1)
+    assert widths == [((4, 5), 1)] * 10
