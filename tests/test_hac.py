@@ -177,3 +177,48 @@ def test_rows_of_a_k_means_task_are_bounded(spark, monkeypatch):
     small = h.micro_clusters(enc, 2)
     assert seen == [40]
     assert small.df.count() == 4000 and small.df.select("features").distinct().count() == 2
+
+
+def test_average_tree_of_many_points_takes_few_rounds(spark, monkeypatch):
+    """What lies inside blocks is merged there: rounds over all clusters do not grow with the height of the tree."""
+    for name, value in (("LAST_CLUSTERS", 32), ("BLOCK_POINTS", 256)):
+        monkeypatch.setattr(h, name, value)
+    added, add = [], h.Parts.add
+    monkeypatch.setattr(h.Parts, "add", lambda self, df: added.append(1) or add(self, df))
+    rnd = random.Random(5)
+    rows = [(i, float(i % 9), rnd.gauss(0, 1)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double")
+    enc = encode(df, metadata_from_types(df, {"row_id": ("title_id", False)}))
+    tree = h.hac(enc, "average", "cityblock")
+    merges, rounds = {r["node"]: r for r in tree.merges.collect()}, len(added)
+    leaf = {r["leaf"]: r["row_id"] for r in tree.leaves.collect()}
+    below = {i: frozenset([leaf[i]]) for i in range(tree.n)}
+    for node in sorted(merges):
+        below[node] = below[merges[node]["left"]] | below[merges[node]["right"]]
+    got = {below[node]: r["distance"] for node, r in merges.items()}
+
+    x = np.array([r["features"] for r in enc.df.orderBy("row_id").collect()])
+    d, size, held, expected = np.abs(x[:, None] - x).sum(axis=2), np.ones(len(x)), [frozenset([i]) for i in range(len(x))], {}
+    np.fill_diagonal(d, np.inf)
+    for _ in range(len(x) - 1):
+        a, b = np.unravel_index(d.argmin(), d.shape)
+        held[a] |= held[b]
+        expected[held[a]] = d[a, b]
+        d[a] = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
+        d[:, a] = d[a]
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(v) for k, v in expected.items())
+    assert rounds <= 5
+
+
+def test_running_sums_of_distances():
+    """Average cityblock distances of larger clusters are the means over all pairs of members."""
+    rng = np.random.default_rng(3)
+    first, w, x = np.array([0, 1, 30]), rng.integers(1, 4, 90).astype(float), np.round(rng.normal(size=(90, 3)), 1)
+    left, right = h.Block(np.arange(3), first, np.zeros(3), w, x), h.Block(np.arange(3), first + 1 - (first == 0), np.zeros(3), w, x)
+    d, pairs = np.concatenate([d for _, d in h._linked(left, right, "average", "cityblock")]), h._pairwise(x, x, "cityblock")
+    for i, p in enumerate(np.split(np.arange(90), left.first[1:])):
+        for j, q in enumerate(np.split(np.arange(90), right.first[1:])):
+            assert d[i, j] == pytest.approx(np.average(pairs[np.ix_(p, q)], weights=np.outer(w[p], w[q])))
